@@ -1,0 +1,49 @@
+"""Joins whose left side may hold one key in a great share of its rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1000  # a key is hot from 1/1000 of the rows on, so fewer than 1000 can be
+HOT_ROWS = 1_000_000  # and from this many rows on
+SALTS = 64
+
+
+def join_skewed(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """``left`` joined to ``right`` with the hot keys of ``left`` spread over many tasks.
+
+    ``left`` is read three times, so pass a table, not a computation. Keys that hold
+    ``hot_rows`` rows and a thousandth of ``left`` are looked up first: they are less
+    than a thousand by that rule, which makes their table safe to broadcast. Their
+    rows on the left get a random-like salt, their rows on the right one copy per
+    salt; all other keys have the salt 0 and are not copied. Nothing is dropped.
+    """
+    on = list(on)
+    total = left.count()
+    if total < hot_rows:
+        return left.join(right, on, how)
+    threshold = max(hot_rows, total // HOT_SHARE)
+    hot = (
+        left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > threshold)
+        .select(*on, F.lit(True).alias("_hot"))
+    )
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = left.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.coalesce(salt, F.lit(0))
+    )
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+    copies = right.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.coalesce(every, F.array(F.lit(0))))
+    )
+    joined = spread.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how)
+    return joined.drop("_salt")
