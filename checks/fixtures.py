@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.operators.categorize import KEYWORDS, keyword_category
+from pagesift.sources.staging import spread
 
 TITLES = (
     "About the company", "Our products", "Key features", "Pricing plans", "Customer reviews",
@@ -23,7 +24,9 @@ def quoted(text: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = {"documents": "doc_id", "pages": "page_id"}.get(name)
+    return spread(rows, key) if key else rows
 
 
 # --- sections made of documents -------------------------------------------------

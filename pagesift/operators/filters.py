@@ -41,10 +41,11 @@ def freeze(df: DataFrame, **columns: Column) -> DataFrame:
 
 def clean_sections(df: DataFrame, rules: FilterRules = DEFAULT_RULES) -> DataFrame:
     """Cleaned title and content; boilerplate phrases leave the content only."""
+    plain = freeze(
+        df, section_title=clean_text("section_title"), content=clean_text("content")
+    )
     return freeze(
-        df,
-        section_title=clean_text("section_title"),
-        content=strip_phrases(clean_text("content"), rules.boilerplate_phrases),
+        plain, content=strip_phrases("content", rules.boilerplate_phrases, collapsed=True)
     )
 
 
@@ -52,9 +53,12 @@ def has_excluded_category(category: Column, rules: FilterRules) -> Column:
     return text_or_empty(category).isin(*rules.excluded_categories)
 
 
-def has_boilerplate_keyword(lower_text: Column, rules: FilterRules) -> Column:
-    """``lower_text`` is the lower-cased title, a blank, and the content."""
-    return contains_any(lower_text, rules.boilerplate_keywords)
+def has_boilerplate_keyword(
+    lower_title: Column, lower_content: Column, rules: FilterRules
+) -> Column:
+    """A keyword stands in the title, the content, or across a blank between them."""
+    both = F.array(F.concat(lower_title, F.lit(" "), lower_content))
+    return F.exists(both, lambda text: contains_any(text, rules.boilerplate_keywords))
 
 
 def has_excluded_title(lower_title: Column, rules: FilterRules) -> Column:
@@ -82,13 +86,7 @@ def has_too_few_words(content: Column, rules: FilterRules) -> Column:
 
 
 def _lowered(cleaned: DataFrame) -> DataFrame:
-    title, content = F.col("section_title"), F.col("content")
-    return freeze(
-        cleaned,
-        _title=F.lower(title),
-        _content=F.lower(content),
-        _both=F.lower(F.concat(title, F.lit(" "), content)),
-    )
+    return freeze(cleaned, _title=F.lower("section_title"), _content=F.lower("content"))
 
 
 def _row_tests(df: DataFrame, rules: FilterRules) -> list[tuple[str, Column]]:
@@ -96,7 +94,7 @@ def _row_tests(df: DataFrame, rules: FilterRules) -> list[tuple[str, Column]]:
     if "ai_category" in df.columns:
         tests.append(("category", has_excluded_category(F.col("ai_category"), rules)))
     return tests + [
-        ("keyword", has_boilerplate_keyword(F.col("_both"), rules)),
+        ("keyword", has_boilerplate_keyword(F.col("_title"), F.col("_content"), rules)),
         ("title", has_excluded_title(F.col("_title"), rules)),
         ("product_link", is_product_link(F.col("_title"), F.col("_content"))),
         ("words", has_too_few_words(F.col("content"), rules)),
