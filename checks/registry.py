@@ -442,6 +442,18 @@ def _urls(spark, sf) -> DataFrame:
     return SU.url_list(listed_urls(spark, sf), "row_id")
 
 
+@register("url_csv_scan", Q.with_(LISTED_URLS, _URLS) + """
+SELECT u.url_no, u.url, l."Site Name" AS site, l."Rank"::INT AS rank
+FROM urls u JOIN listed_urls l ON l.row_id = u.url_no""")
+def _url_csv_scan(spark, sf):
+    path = new_folder(spark, "urls")
+    O.write_csv(listed_urls(spark, sf).withColumnRenamed("row_id", "No"), path, sort_by="No")
+    scanned = SU.read_url_csv(spark, path).drop("row_id")
+    urls = SU.url_list(scanned, "No", wanted="WEBSITE")
+    rows = scanned.select("No", F.col("Site Name").alias("site"), F.col("Rank").alias("rank"))
+    return urls.join(rows, urls["url_no"] == rows["No"]).drop("No")
+
+
 @register("url_column_resolve", Q.with_(LISTED_URLS) + """
 SELECT row_id AS url_no, trim("Site Name") AS first_column, "Website" AS website
 FROM listed_urls WHERE "Website" IS NOT NULL AND trim("Website") <> ''""")

@@ -58,10 +58,12 @@ def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             & (F.col("_h1_length") > F.col("_sub_length") * F.lit(MIN_LENGTH_SHARE))
         )
     )
+    starts = sections.where(is_sub & (F.length("content") > LONG_SECTION)).select(
+        "url", F.substring("content", 1, PROBE_LENGTH).alias("_opening")
+    )
+    # The URLs with most rows are those the semi join removes, so it is salted, too.
     openings = (
-        sections.where(is_sub & (F.length("content") > LONG_SECTION))
-        .select("url", F.substring("content", 1, PROBE_LENGTH).alias("_opening"))
-        .join(numbers.select("url"), "url", "left_semi")
+        join_skewed(starts, numbers.select("url"), ["url"], "left_semi", hot_rows)
         .groupBy("url")
         .agg(F.collect_list("_opening").alias("_openings"))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.numbers import round_tenth
+
 # The widest a column may be shown, by name and otherwise, and its margin.
 WIDE_COLUMNS = ("content", "description")
 WIDE_CAP, CAP, MARGIN = 80, 40, 2
@@ -51,7 +53,7 @@ def filter_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     percentage = _share(removed, F.col("original_rows")) * 100
     return n.select(
         "original_rows", "filtered_rows", removed.alias("removed_rows"),
-        F.bround(percentage, 1).alias("removal_percentage"),
+        round_tenth(percentage).alias("removal_percentage"),
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,9 @@ def join_skewed(
     ``left`` is read three times, so pass a table, not a computation. Keys that hold
     ``hot_rows`` rows and a thousandth of ``left`` are looked up first: they are less
     than a thousand by that rule, which makes their table safe to broadcast. Their
-    rows on the left get a random-like salt, their rows on the right one copy per
-    salt; all other keys have the salt 0 and are not copied. Nothing is dropped.
+    rows on the left get a salt from all their columns, their rows on the right one
+    copy per salt; all other keys have the salt 0 and are not copied. Rows whose key
+    is null match nothing and are spread as well. Nothing is dropped.
     """
     on = list(on)
     total = left.count()
@@ -37,7 +40,9 @@ def join_skewed(
         left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > threshold)
         .select(*on, F.lit(True).alias("_hot"))
     )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    no_key = reduce(or_, [F.col(k).isNull() for k in on])
+    any_salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    salt = F.when(F.col("_hot") | no_key, any_salt)
     spread = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.coalesce(salt, F.lit(0))
     )

@@ -25,7 +25,7 @@ def listed_sections(
     A page is split once however often it is listed. Listed URLs without a page
     give one error row each.
     """
-    listed = stage(pages_for_urls(urls, pages), "listed")
+    listed = stage(pages_for_urls(urls, pages, hot_rows), "listed")
     wanted = listed.where(F.col("page_id").isNotNull()).select("page_id").distinct()
     needed = pages.join(wanted, "page_id", "left_semi")
     sections = extract_sections(needed, placed=True).drop("url")

@@ -12,9 +12,23 @@ from pagesift.functions.urls import is_valid_url, normalize_url
 URL_COLUMNS = ("url", "link", "website")
 
 
-def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file or folder with a header row; column types are inferred."""
-    return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=True)
+# Cells of a CSV file that mean there is no value.
+MISSING = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def read_url_csv(spark: SparkSession, path: str, order: str = "row_id") -> DataFrame:
+    """A CSV file with a header row, types inferred, and its row order as a column."""
+    options = {"header": True, "inferSchema": True, "quote": '"', "escape": '"', "multiLine": True}
+    table = spark.read.options(**options).csv(path)
+    cells = [
+        F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c)
+        if t == "string" else F.col(f"`{c}`")
+        for c, t in table.dtypes
+    ]
+    return table.select(F.monotonically_increasing_id().alias(order), *cells)
 
 
 def resolve_url_column(columns: list[str], wanted: str = "url") -> str:

@@ -1,0 +1,38 @@
+import pytest
+from pyspark.sql import functions as F
+
+from pagesift.operators.skew import join_skewed
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
+def test_salting_changes_no_rows(spark, as_table, how):
+    """A third of the rows has one key, a third has none."""
+    left = as_table(
+        spark.range(6000).select(
+            "id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.col("id") % 500)
+            .cast("long").alias("k"), (F.col("id") % 2).alias("j"),
+        ), "l")
+    right = as_table(
+        spark.range(0, 400, 3).select(F.col("id").alias("k"), (F.col("id") % 2).alias("j"),
+                                      (F.col("id") * 10).alias("v")), "r")
+    for on in (["k"], ["k", "j"]):
+        some = right if len(on) == 2 else right.drop("j")
+        plain = left.join(some, on, how)
+        salted = join_skewed(left, some, on, how, hot_rows=100, salts=8)
+        assert salted.columns == plain.columns
+        assert sorted(map(tuple, salted.collect()), key=str) == sorted(
+            map(tuple, plain.collect()), key=str)
+
+
+def test_hot_rows_go_to_many_tasks(spark, as_table):
+    left = as_table(spark.range(9000).withColumn("k", F.least("id", F.lit(5000)) * 0), "l")
+    right = as_table(spark.range(3).withColumnRenamed("id", "k"), "r")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = join_skewed(left, right.withColumn("v", F.lit(1)), ["k"], hot_rows=100)
+        parts = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["count"] for r in parts) == 9000 and len(parts) > 2
