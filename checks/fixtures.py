@@ -80,7 +80,7 @@ doc_sections AS (
 
 # --- pages with more kinds of layout than the given ones -------------------------
 
-# What is replaced in the html, in order, by page_id % 6.
+# What is replaced in the html, in order, by page_id % 7.
 LAYOUTS: dict[int, tuple[tuple[str, str], ...]] = {
     # headings of three levels, and one without a title
     1: (
@@ -96,15 +96,21 @@ LAYOUTS: dict[int, tuple[tuple[str, str], ...]] = {
     # the heading in a cell of a row, its text beside the row
     4: (
         ("<article><h1>", '<article><div class="row"><div class="cell"><h1>'),
-        ("</h1>", "</h1></div></div>"), ("<h1>", "<h1>Our services "),
+        ("</h1>", "</h1><!-- c --></div></div><a href='/x'>first</a> <em>second <u>third</u></em>"),
+        ("<h1>", "<h1>Our services "),
     ),
     # the heading too deep for its text, in a box
     5: (
         ("<article><h1>", '<article><section class="Big-Card x"><div><div><h1>'),
         ("</h1>", "</h1></div></div></section>"), ("<h1>", "<h1>News: "),
     ),
+    # the heading in a table cell, its text in the next one
+    6: (
+        ("<article><h1>", "<article><table><tr><td><h1>Partner "),
+        ("</h1>", "</h1></td><td>Size <b>5</b></td></tr><tr><td>no part</td></tr></table>"),
+    ),
 }
-MAIN = (("<article>", "<main>"), ("</article>", "</main>"))  # where page_id % 12 = 3
+MAIN = (("<article>", "<main>"), ("</article>", "</main>"))  # where page_id % 14 = 3
 # Metadata put behind the charset, by page_id % 4; N stands for the page_id.
 META: dict[int, str] = {
     0: '<meta content="About &amp; more N" name="description">'
@@ -134,8 +140,8 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html, page_id = F.col("html"), F.col("page_id")
     out = html
     for rest, pairs in LAYOUTS.items():
-        out = F.when(page_id % 6 == rest, _replaced(html, pairs)).otherwise(out)
-    out = F.when(page_id % 12 == 3, _replaced(out, MAIN)).otherwise(out)
+        out = F.when(page_id % 7 == rest, _replaced(html, pairs)).otherwise(out)
+    out = F.when(page_id % 14 == 3, _replaced(out, MAIN)).otherwise(out)
     meta = F.lit("")
     for rest, text in META.items():
         numbered = F.replace(F.lit(text), F.lit("N"), page_id.cast("string"))
@@ -155,12 +161,12 @@ def _layout_sql() -> str:
     )
     return f"""
 laid_out AS (
-  SELECT page_id, url, CASE page_id % 6 {cases} ELSE html END AS html,
+  SELECT page_id, url, CASE page_id % 7 {cases} ELSE html END AS html,
          CASE page_id % 4 {metas} ELSE '' END AS meta FROM pages),
 layout_pages AS MATERIALIZED (
   SELECT page_id, url,
     CASE WHEN page_id % 25 = 1 THEN {quoted(EMPTY_HTML)} WHEN page_id % 25 = 2 THEN ''
-    ELSE replace(CASE WHEN page_id % 12 = 3 THEN {_replaced_sql('html', MAIN)} ELSE html END,
+    ELSE replace(CASE WHEN page_id % 14 = 3 THEN {_replaced_sql('html', MAIN)} ELSE html END,
                  {quoted(CHARSET)}, {quoted(CHARSET)} || meta) END AS html
   FROM laid_out)"""
 

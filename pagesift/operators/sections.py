@@ -27,15 +27,19 @@ EMPTY_ROW = ("NO_CONTENT", "none", "No sections found on page")
 MAIN_ROW = ("Main Content", "body")
 MAX_CONTENT = 5000
 
-# Elements with a mandatory end tag count for depth. The others that start a block
-# are often left open; they only tell one sibling from the next.
+# Elements with a mandatory end tag count for depth.
 CONTAINERS = (
     "html", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside",
     "ul", "ol", "dl", "table", "form", "fieldset", "figure", "blockquote", "details",
 )
-LEAVES = (
-    "p", "li", "dt", "dd", "tr", "td", "th", "caption", "pre", "address", "hr", "figcaption",
-    "summary", "option",
+# These count for depth on pages that close them as often as they open them.
+CELLS = ("li", "dt", "dd", "tr", "td", "th")
+# The others that start a block are often left open; they tell one sibling from the next.
+LEAVES = ("p", "caption", "pre", "address", "hr", "figcaption", "summary", "option")
+# Inline elements without content.
+VOID = (
+    "area", "base", "br", "col", "embed", "img", "input", "link", "meta", "param", "source",
+    "track", "wbr",
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -51,13 +55,23 @@ HOLDER_REACH = 5
 
 _PAGE = 0  # heading position that stands for the page itself
 _ITSELF = 1 << 32  # the same, packed: position 0, depth 0, level 0
-_BLOCKS = "|".join((*CONTAINERS, *LEAVES, *HEADINGS, "title"))
-_CLOSERS = tuple(f"/{t}" for t in (*CONTAINERS, *HEADINGS)) + LEAVES  # what ends a heading
-
-
-def _block_tag(token: Column) -> Column:
-    """Name of a block tag, with the slash of a closing one; '' for an inline tag."""
-    return F.lower(F.regexp_extract(token, rf"(?i)^<(/?(?:{_BLOCKS}))(?![a-zA-Z0-9])", 1))
+_BLOCKS = (*CONTAINERS, *CELLS, *LEAVES, *HEADINGS, "title")
+_ENDS_HEADING = tuple(f"/{t}" for t in (*CONTAINERS, *CELLS, *HEADINGS)) + CELLS + LEAVES
+_INLINE_OPEN, _INLINE_CLOSE, _INLINE_VOID = "+", "-", "0"
+
+
+def _tag(token: Column) -> Column:
+    """Name of a block tag, with the slash of a closing one; a sign for an inline tag."""
+    names = "|".join(_BLOCKS)
+    block = F.lower(F.regexp_extract(token, rf"(?i)^<(/?(?:{names}))(?![a-zA-Z0-9])", 1))
+    void = token.rlike(rf"(?i)^<(?:{'|'.join(VOID)})(?![a-zA-Z0-9])|/>$")
+    inline = (
+        F.when(token.rlike("^<[!?]"), "")
+        .when(token.startswith("</"), _INLINE_CLOSE)
+        .when(void, _INLINE_VOID)
+        .otherwise(_INLINE_OPEN)
+    )
+    return F.coalesce(F.nullif(block, F.lit("")), inline)
 
 
 def _is_holder(token: Column) -> Column:
@@ -103,11 +117,11 @@ def page_meta(pages: DataFrame) -> DataFrame:
 def page_pieces(
     pages: DataFrame, holders: bool = False, placed: bool = False
 ) -> DataFrame:
-    """One row per block tag and non-blank text of a page, in document order.
+    """One row per tag and non-blank text of a page, in document order.
 
-    ``pos`` counts from 1 and ``tag`` is '' for a text. Every page has a row, also
-    one without html; its first row carries ``page``: url, metadata, and whether
-    there is html. Texts between inline tags are pieces of their own. With
+    ``pos`` counts from 1; ``tag`` is '' for a text and a sign for an inline tag. Every
+    page has a row, also one without html; its first row carries ``page``: url,
+    metadata, and whether there is html. With
     ``holders``, ``holder`` marks opening tags that look like section containers.
 
     The pages are hashed by ``page_id`` when all that is left of them are the pieces.
@@ -117,7 +131,7 @@ def page_pieces(
     def piece(t: Column) -> Column:
         none = F.lit(False)
         tag = F.struct(
-            _block_tag(t).alias("tag"), F.lit("").alias("text"),
+            _tag(t).alias("tag"), F.lit("").alias("text"),
             (_is_holder(t) if holders else none).alias("holder"),
         )
         text = F.struct(
@@ -176,32 +190,49 @@ def _located(pieces: DataFrame) -> DataFrame:
     ``cover`` has the last heading of level <= L at L - 1, packed into a number that
     grows with its position, so that the last one is the running maximum.
     ``in_heading`` is the position of the heading the row lies in, or null.
-    ``low`` is the smallest depth a block tag touches; null for a text.
+    ``low`` is the depth at which a tag separates siblings, null for other rows: the
+    smallest depth a block tag touches, and the depth of an inline element that lies
+    directly in a container. Inline elements are counted from the last block tag on.
     """
     tag = F.col("tag")
-    opens, closes = tag.isin(*CONTAINERS), tag.isin(*[f"/{t}" for t in CONTAINERS])
-    delta = F.when(opens, 1).when(closes, -1).otherwise(0)
-    article = F.when(tag == "article", 1).when(tag == "/article", -1).otherwise(0)
     page = W.partitionBy("page_id").orderBy("pos")
     upto = page.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = page.rowsBetween(W.unboundedPreceding, -1)
     whole = page.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    deep = pieces.withColumns(
-        {"depth": F.sum(delta).over(upto).cast("int"), "_article": F.sum(article).over(upto)}
-    )
-    level = F.when(tag.isin(*HEADINGS), F.substring(tag, 2, 1).cast("int"))
-    heading = _pack(F.col("pos"), F.col("depth"), level)
+
+    def balance(name: str) -> Column:
+        return F.when(tag == name, 1).when(tag == f"/{name}", -1).otherwise(0)
 
     def n(test: Column, frame=upto) -> Column:
         return F.count(F.when(test, 1)).over(frame)
 
+    even = pieces.withColumns({f"_even_{c}": F.sum(balance(c)).over(whole) == 0 for c in CELLS})
+    opens, closes = tag.isin(*CONTAINERS), tag.isin(*[f"/{t}" for t in CONTAINERS])
+    for c in CELLS:
+        opens = opens | ((tag == c) & F.col(f"_even_{c}"))
+        closes = closes | ((tag == f"/{c}") & F.col(f"_even_{c}"))
+    inline = F.when(tag == _INLINE_OPEN, 1).when(tag == _INLINE_CLOSE, -1).otherwise(0)
+    is_block = ~tag.isin("", _INLINE_OPEN, _INLINE_CLOSE, _INLINE_VOID)
+    turned = even.withColumn("_turn", F.when(opens, 1).when(closes, -1).otherwise(0))
+    deep = turned.withColumns(
+        {
+            "depth": F.sum("_turn").over(upto).cast("int"),
+            "_article": F.sum(balance("article")).over(upto),
+            "_inline": F.sum(inline).over(upto),
+        }
+    )
+    # An open leaf or heading is the sibling; what is inline in it separates nothing.
+    is_leaf = tag.isin(*LEAVES, *CELLS, *HEADINGS) & (F.col("_turn") == 0)
+    block = F.when(is_block, F.struct(F.col("_inline").alias("inline"), is_leaf.alias("leaf")))
+    level = F.when(tag.isin(*HEADINGS), F.substring(tag, 2, 1).cast("int"))
+    heading = _pack(F.col("pos"), F.col("depth"), level)
     covers = [F.max(F.when(level <= top, heading)).over(upto) for top in range(1, 7)]
     marked = deep.withColumns(
         {
             "gap": n(F.col("text") != "", before),
             "cover": F.array(*covers),
-            "_ended": F.max(F.when(tag.isin(*_CLOSERS), F.col("pos"))).over(upto),
-            "low": F.when(tag != "", F.col("depth") - F.when(opens, 1).otherwise(0)),
+            "_block": F.last(block, ignorenulls=True).over(upto),
+            "_ended": F.max(F.when(tag.isin(*_ENDS_HEADING), F.col("pos"))).over(upto),
             "_in_main": (n(tag == "main") > 0) & (n(tag == "/main") == 0),
             "_in_article": (n(tag == "article") > 0)
             & (n((tag == "/article") & (F.col("_article") <= 0)) == 0),
@@ -210,6 +241,15 @@ def _located(pieces: DataFrame) -> DataFrame:
             "_has_article": n(tag == "article", whole) > 0,
         }
     )
+    nested = F.col("_inline") - F.coalesce(F.col("_block.inline"), F.lit(0))
+    at_top = (
+        ((tag == _INLINE_OPEN) & (nested == 1))
+        | ((tag == _INLINE_CLOSE) & (nested <= 0))
+        | ((tag == _INLINE_VOID) & (nested <= 0))
+    ) & ~F.coalesce(F.col("_block.leaf"), F.lit(False))
+    low = F.when(is_block, F.col("depth") - F.greatest(F.col("_turn"), F.lit(0))).when(
+        at_top, F.col("depth")
+    )
     last = _pos(F.col("cover")[5])
     in_main_text = (
         F.when(F.col("_has_main"), F.col("_in_main"))
@@ -217,7 +257,7 @@ def _located(pieces: DataFrame) -> DataFrame:
         .otherwise(~F.col("_in_title"))
     )
     return marked.select(
-        *pieces.columns, "depth", "gap", "cover", "low",
+        *pieces.columns, "depth", "gap", "cover", low.alias("low"), (F.col("_turn") > 0).alias("opens"),
         F.when(last > F.coalesce("_ended", F.lit(0)), last).alias("in_heading"),
         in_main_text.alias("in_main"),
     )
@@ -404,15 +444,15 @@ def container_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT)
         ),
         "",
     )
-    is_open = F.col("tag").isin(*CONTAINERS)
+    is_open = F.col("opens")
     is_head = F.col("tag").isin(*HEADINGS)
     parts = (
         rows.where(is_open | is_head | (F.col("text") != ""))
         .withColumn("title", F.when(F.col("in_heading").isNotNull(), title))
         .where((F.col("depth") > 0) & (~is_head | (F.col("title") != "")))
         .select(
-            "page_id", "pos", "text", "title", "depth", "holder",
-            is_open.alias("opens"), is_head.alias("is_head"),
+            "page_id", "pos", "text", "title", "depth", "holder", "opens",
+            is_head.alias("is_head"),
             F.explode(
                 F.when(is_open, F.array("depth")).otherwise(F.sequence(F.lit(1), "depth"))
             ).alias("at"),
