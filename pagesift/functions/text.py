@@ -24,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, as the only element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(""))
 

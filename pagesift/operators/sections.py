@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
-from pagesift.functions.text import collapse_space, decode_entities, strip, text_or_empty
+from pagesift.functions.text import collapse_space, decode_entities, let, strip, text_or_empty
 from pagesift.operators.filters import freeze
 
 # Rows a page without sections stands for, and the length limit.
@@ -55,28 +55,28 @@ HOLDER_REACH = 5
 
 _PAGE = 0  # heading position that stands for the page itself
 _ITSELF = 1 << 32  # the same, packed: position 0, depth 0, level 0
-_BLOCKS = (*CONTAINERS, *CELLS, *LEAVES, *HEADINGS, "title")
+_BLOCKS = tuple(f"{s}{t}" for t in (*CONTAINERS, *CELLS, *LEAVES, *HEADINGS, "title") for s in ("", "/"))
 _ENDS_HEADING = tuple(f"/{t}" for t in (*CONTAINERS, *CELLS, *HEADINGS)) + CELLS + LEAVES
 _INLINE_OPEN, _INLINE_CLOSE, _INLINE_VOID = "+", "-", "0"
 
 
 def _tag(token: Column) -> Column:
     """Name of a block tag, with the slash of a closing one; a sign for an inline tag."""
-    names = "|".join(_BLOCKS)
-    block = F.lower(F.regexp_extract(token, rf"(?i)^<(/?(?:{names}))(?![a-zA-Z0-9])", 1))
-    void = token.rlike(rf"(?i)^<(?:{'|'.join(VOID)})(?![a-zA-Z0-9])|/>$")
-    inline = (
-        F.when(token.rlike("^<[!?]"), "")
-        .when(token.startswith("</"), _INLINE_CLOSE)
-        .when(void, _INLINE_VOID)
-        .otherwise(_INLINE_OPEN)
-    )
-    return F.coalesce(F.nullif(block, F.lit("")), inline)
+
+    def kind(name: Column) -> Column:
+        void = name.isin(*VOID) | token.endswith("/>")
+        inline = F.when(name.startswith("/"), _INLINE_CLOSE).when(void, _INLINE_VOID)
+        return F.when((name == "") | name.isin(*_BLOCKS), name).otherwise(
+            F.coalesce(inline, F.lit(_INLINE_OPEN))
+        )
+
+    name = F.regexp_extract(token, "^<(/?[a-zA-Z][a-zA-Z0-9:_-]*)", 1)
+    return let(F.lower(name), kind)
 
 
 def _is_holder(token: Column) -> Column:
     tag = "|".join(HOLDER_TAGS)
-    classes = F.lower(F.coalesce(H.attribute(token, "class"), F.lit("")))
+    classes = F.lower(H.attribute(token, "class"))
     words = "|".join(HOLDER_CLASSES)
     return token.rlike(rf"(?i)^<(?:{tag})(?![a-zA-Z0-9])") & classes.rlike(words)
 
