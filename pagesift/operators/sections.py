@@ -115,7 +115,7 @@ def page_meta(pages: DataFrame) -> DataFrame:
 
 
 def page_pieces(
-    pages: DataFrame, holders: bool = False, placed: bool = False
+    pages: DataFrame, holders: bool = False, wanted: DataFrame | None = None
 ) -> DataFrame:
     """One row per tag and non-blank text of a page, in document order.
 
@@ -125,7 +125,8 @@ def page_pieces(
     ``holders``, ``holder`` marks opening tags that look like section containers.
 
     The pages are hashed by ``page_id`` when all that is left of them are the pieces.
-    ``placed`` says that they come from a join or a bucketed table on ``page_id``.
+    ``wanted`` has the ids of the pages to keep, each once; they are joined at that
+    point, so that no html is shuffled (a semi join would be pushed down to the scan).
     """
 
     def piece(t: Column) -> Column:
@@ -149,7 +150,8 @@ def page_pieces(
             F.transform(H.tokens(content), piece), lambda x: (x["tag"] != "") | (x["text"] != "")
         ),
     ).select("page_id", "page", "pieces")
-    rows = (narrow if placed else narrow.repartition("page_id")).select(
+    placed = narrow.repartition("page_id") if wanted is None else narrow.join(wanted, "page_id")
+    rows = placed.select(
         "page_id", "page", F.posexplode_outer("pieces").alias("_i", "piece")
     )
     index = F.coalesce("_i", F.lit(0))
@@ -299,7 +301,7 @@ def _joined(test: Column, order: str, sep: str = "") -> Column:
     return F.array_join(F.transform(found, lambda x: x["text"]), sep)
 
 
-def _covered(pages: DataFrame, placed: bool) -> DataFrame:
+def _covered(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:
     """One row per text and heading that covers it, with how far it lies from the heading.
 
     ``reach`` is 0 under the heading's own parent, 1 under its grandparent and so
@@ -308,7 +310,7 @@ def _covered(pages: DataFrame, placed: bool) -> DataFrame:
     """
     last_row = F.struct("text", "cover", "in_heading", "in_main")
     texts = (
-        _located(page_pieces(pages, placed=placed))
+        _located(page_pieces(pages, wanted=wanted))
         .groupBy("page_id", "gap")
         .agg(
             F.min("low").alias("low"),
@@ -351,7 +353,7 @@ def _covered(pages: DataFrame, placed: bool) -> DataFrame:
 
 
 def extract_sections(
-    pages: DataFrame, max_content: int | None = MAX_CONTENT, placed: bool = False
+    pages: DataFrame, max_content: int | None = MAX_CONTENT, wanted: DataFrame | None = None
 ) -> DataFrame:
     """``pages(page_id, url, html)`` to sections, numbered by ``sec_no`` within a page.
 
@@ -360,19 +362,19 @@ def extract_sections(
     grandparent, then its great-grandparent; else all of it in document order, each
     piece once. ``content_source`` says which. Pieces of one sibling element are
     joined by a bar, siblings by a blank. A page without headings gives its main
-    text, one without text or html a row that says so. ``placed`` as for ``page_pieces``.
+    text, one without text or html a row that says so. ``wanted`` as for ``page_pieces``.
     """
     path = F.col("path")
     near = path <= 2
     used = F.col("own") | (F.col("reach") == path) | F.coalesce(~near, F.lit(True))
     sibling = F.when(F.col("low") <= F.col("head_depth") - path, " ").otherwise(" | ")
     piece = F.struct("gap", "own", sibling.alias("sep"), "text")
-    wanted = used & (F.col("text") != "")
-    grouped = _covered(pages, placed).groupBy("page_id", "head_pos").agg(
+    kept = used & (F.col("text") != "")
+    grouped = _covered(pages, wanted).groupBy("page_id", "head_pos").agg(
         F.max("level").alias("level"),
         F.max("path").alias("path"),
         F.first("page", ignorenulls=True).alias("page"),
-        F.sort_array(F.collect_list(F.when(wanted, piece))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(kept, piece))).alias("pieces"),
     )
     pieces = F.col("pieces")
     text_of = lambda x: x["text"]

@@ -17,8 +17,12 @@ from pagesift.sources.rules import DEFAULT_RULES, FilterRules
 from pagesift.sources.staging import stage
 
 
+# So many page ids are sent to every task; more are joined by a shuffle.
+FEW_PAGES = 1_000_000
+
+
 def listed_sections(
-    urls: DataFrame, pages: DataFrame, hot_rows: int = HOT_ROWS
+    urls: DataFrame, pages: DataFrame, hot_rows: int = HOT_ROWS, few_pages: int = FEW_PAGES
 ) -> DataFrame:
     """Sections of every listed URL in list order: ``url_no, sec_no, url, ...``.
 
@@ -26,9 +30,14 @@ def listed_sections(
     give one error row each.
     """
     listed = stage(pages_for_urls(urls, pages, hot_rows), "listed")
-    wanted = listed.where(F.col("page_id").isNotNull()).select("page_id").distinct()
-    needed = pages.join(wanted, "page_id", "left_semi")
-    sections = extract_sections(needed, placed=True).drop("url")
+    ids = listed.where(F.col("page_id").isNotNull()).select("page_id").distinct()
+    wanted = stage(ids, "wanted")
+    if wanted.count() <= few_pages:
+        needed = pages.join(F.broadcast(wanted), "page_id", "left_semi")
+        sections = extract_sections(needed)
+    else:
+        sections = extract_sections(pages, wanted=wanted)
+    sections = sections.drop("url")
     joined = join_skewed(listed, sections, ["page_id"], "left", hot_rows)
     absent = F.col("sec_no").isNull()
 

@@ -1,5 +1,6 @@
 import pytest
 
+from pagesift.operators.sections import extract_sections
 from pagesift.plans.site_report import listed_sections, site_report
 from pagesift.sources.rules import FALLBACK_RULES
 
@@ -16,10 +17,10 @@ def inputs(spark, as_table):
     return urls, pages
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
-def test_every_listed_url_gives_rows(spark, as_table, hot_rows):
+@pytest.mark.parametrize("hot_rows, few_pages", [(1_000_000, 1_000_000), (1, 0)])
+def test_every_listed_url_gives_rows(spark, as_table, hot_rows, few_pages):
     urls, pages = inputs(spark, as_table)
-    rows = listed_sections(urls, pages, hot_rows).collect()
+    rows = listed_sections(urls, pages, hot_rows, few_pages).collect()
     got = sorted((r.url_no, r.sec_no, r.url, r.section_title) for r in rows)
     assert got == [
         (0, 1, "a.com", "About us"), (0, 2, "a.com", "Our products"),
@@ -40,3 +41,16 @@ def test_report(spark, as_table):
     # five words, and no category to exclude
     assert ("c.com", "NO_CONTENT", "") in [(r.url, r.section_title, r.ai_category) for r in plain]
     assert site_report(urls, pages, rules=None).count() == 7
+
+
+def test_no_html_is_shuffled(spark, as_table):
+    _, pages = inputs(spark, as_table)
+    wanted = as_table(spark.range(2).withColumnRenamed("id", "page_id"), "wanted")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = extract_sections(pages, wanted=wanted)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # both sides of the join, and no exchange after it
+    assert plan.count("Exchange hashpartitioning(page_id") == 2 == plan.count("Exchange ")
+    assert plan.index("Exchange hashpartitioning") < plan.index("regexp_replace(html")
