@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks import sql as Q
@@ -22,7 +23,7 @@ from pagesift.operators import filters as FL
 from pagesift.operators import numbering as N
 from pagesift.operators import reports as R
 from pagesift.operators import sections as S
-from pagesift.plans.site_report import listed_sections, site_report
+from pagesift.plans.site_report import listed_sections, site_report, submitted_report
 from pagesift.sources import outputs as O
 from pagesift.sources import pages as P
 from pagesift.sources import rules as RU
@@ -196,8 +197,6 @@ def _rules_overlay(spark, sf):
     docs = table(spark, sf, "documents")
 
     def found(rule_type: str, column: str) -> DataFrame:
-        from pyspark.sql import Window as W
-
         patterns = docs.groupBy(F.col(column).alias("pattern")).agg(F.count("*").alias("n"))
         # One row per language or source; the window sorts those few only.
         ord_ = F.row_number().over(W.partitionBy("rule_type").orderBy("pattern")) - 1
@@ -629,8 +628,11 @@ def _content_cap(spark, sf):
     return found.select("page_id", "sec_no", "content", F.length("content").alias("n"))
 
 
-_LISTED_SECTIONS = Q.with_(
-    LAYOUT_PAGES, Q.tokens(), Q.sections(), Q.META, LISTED_URLS, _URLS, _LISTED, """
+
+
+def _listed_sections_sql(urls: str) -> str:
+    return Q.with_(
+        LAYOUT_PAGES, Q.tokens(), Q.sections(), Q.META, LISTED_URLS, urls, _LISTED, """
 listed_sections AS (
   SELECT l.url_no, coalesce(s.sec_no, 1) AS sec_no, l.url,
     CASE WHEN s.page_id IS NULL OR s.content_source = 'none' THEN '' ELSE m.page_title END
@@ -645,12 +647,15 @@ listed_sections AS (
   FROM listed l LEFT JOIN sections s USING (page_id) LEFT JOIN page_meta m USING (page_id))""")
 
 
+_LISTED_SECTIONS = _listed_sections_sql(_URLS)
+
+
 @register("section_order", _LISTED_SECTIONS + """
 SELECT url_no, sec_no, url, page_title, description, canonical_url, section_title, section_level,
   content, row_number() OVER (ORDER BY url_no, sec_no) AS row_no FROM listed_sections""")
 def _section_order(spark, sf):
     found = listed_sections(_urls(spark, sf), layout_pages(spark, sf))
-    return N.with_row_number(found, ["url_no", "sec_no"])
+    return N.with_row_number(stage(found, "sections"), ["url_no", "sec_no"])
 
 
 @register("sentinel_rows", _LISTED_SECTIONS + """
@@ -675,3 +680,32 @@ def _pages_to_report(spark, sf):
     return site_report(
         SU.url_list(listed, "row_id"), layout_pages(spark, sf), SU.url_metadata(listed, "row_id")
     )
+
+
+_SUBMITTED = "raw_" + _URLS.strip() + f""",
+urls AS (SELECT n AS url_no, {_NORMAL} AS url FROM (
+    SELECT url, row_number() OVER (ORDER BY url_no) AS n FROM raw_urls) WHERE {_VALID})"""
+
+
+def _typed(spark, sf) -> DataFrame:
+    """The URL table as texts of thirty rows each, one URL per line."""
+    rows = listed_urls(spark, sf).where(F.col("Website").isNotNull())
+    grouped = rows.groupBy(F.floor(F.col("row_id") / 30).alias("text_id")).agg(
+        F.sort_array(F.collect_list(F.struct("row_id", "Website"))).alias("lines")
+    )
+    text = F.array_join(F.transform("lines", lambda x: x["Website"]), "\n")
+    return grouped.select("text_id", text.alias("text"))
+
+
+@register("url_submitted", Q.with_(LISTED_URLS, _SUBMITTED) + " SELECT * FROM urls")
+def _url_submitted(spark, sf):
+    return SU.submitted_urls(_typed(spark, sf), "text", "text_id")
+
+
+@register("text_to_report", _listed_sections_sql(_SUBMITTED) + "," + ",".join((f"""
+shaped AS (SELECT *, {category_sql('section_title')} AS ai_category FROM listed_sections)""",
+    Q.cleaned("shaped"), Q.filtered("cleaned", "url_no, sec_no"))) + """
+SELECT url_no, sec_no, url, page_title, description, canonical_url, section_title, section_level,
+  content, ai_category FROM kept""")
+def _text_to_report(spark, sf):
+    return submitted_report(_typed(spark, sf), "text", "text_id", layout_pages(spark, sf))

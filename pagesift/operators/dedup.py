@@ -31,6 +31,20 @@ def first_wins(
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
+def with_probes(sections: DataFrame) -> DataFrame:
+    """Adds the length of the content and, for long sub-sections, its opening.
+
+    Kept in a staged table, they let ``page_dumps`` read the contents of ``h1`` rows only.
+    """
+    is_long_sub = F.col("section_level").isin(*SUB_LEVELS) & (F.length("content") > LONG_SECTION)
+    return sections.withColumns(
+        {
+            "_length": F.length("content").cast("long"),
+            "_opening": F.when(is_long_sub, F.substring("content", 1, PROBE_LENGTH)),
+        }
+    )
+
+
 def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The ``h1`` rows that repeat the page: a subset of ``sections``, all columns.
 
@@ -41,12 +55,14 @@ def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ``sections`` should be a table. The lengths are compared before any text moves:
     where an ``h1`` can still be a dump, the sub-sections of its URL together are
     shorter than 1.25 times that ``h1``, which bounds the openings collected per URL
-    whatever number of rows the URL has. URLs with very many ``h1`` rows are salted.
+    whatever number of rows the URL has. URLs with very many rows are salted.
     """
-    is_sub = F.col("section_level").isin(*SUB_LEVELS)
-    length = F.length("content").cast("long")
+    n_rows = sections.count()
+    probed = sections if "_opening" in sections.columns else with_probes(sections)
+    is_sub, length = F.col("section_level").isin(*SUB_LEVELS), F.col("_length")
+    share = F.lit(MIN_LENGTH_SHARE)
     numbers = (
-        sections.where(is_sub | (F.col("section_level") == "h1"))
+        probed.where(is_sub | (F.col("section_level") == "h1"))
         .groupBy("url")
         .agg(
             F.count_if(is_sub).alias("_n_sub"),
@@ -55,29 +71,33 @@ def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         )
         .where(
             (F.col("_n_sub") >= MIN_SUB_SECTIONS)
-            & (F.col("_h1_length") > F.col("_sub_length") * F.lit(MIN_LENGTH_SHARE))
+            & (F.col("_h1_length") > F.col("_sub_length") * share)
         )
-    )
-    starts = sections.where(is_sub & (F.length("content") > LONG_SECTION)).select(
-        "url", F.substring("content", 1, PROBE_LENGTH).alias("_opening")
+        .drop("_h1_length")
     )
     # The URLs with most rows are those the semi join removes, so it is salted, too.
+    starts = probed.where(F.col("_opening").isNotNull()).select("url", "_opening")
     openings = (
-        join_skewed(starts, numbers.select("url"), ["url"], "left_semi", hot_rows)
+        join_skewed(starts, numbers.select("url"), ["url"], "left_semi", hot_rows, n_rows=n_rows)
         .groupBy("url")
         .agg(F.collect_list("_opening").alias("_openings"))
     )
-    suspects = numbers.drop("_h1_length").join(openings, "url")
-    heads = sections.where(F.col("section_level") == "h1")
-    tested = join_skewed(heads, suspects, ["url"], "inner", hot_rows)
-    long_enough = F.length("content") > F.col("_sub_length") * F.lit(MIN_LENGTH_SHARE)
+    heads = probed.where(F.col("section_level") == "h1").drop("_opening")
+    tested = join_skewed(
+        heads, numbers.join(openings, "url"), ["url"], "inner", hot_rows, n_rows=n_rows
+    )
     held = F.size(F.filter("_openings", lambda o: F.col("content").contains(o)))
-    is_dump = (F.col("content") != "") & long_enough & (2 * held >= F.col("_n_sub"))
-    return tested.where(is_dump).select(*sections.columns)
+    is_dump = (length > F.col("_sub_length") * share) & (2 * held >= F.col("_n_sub"))
+    return (
+        tested.where((F.col("content") != "") & is_dump)
+        .withColumn("_opening", F.lit(None).cast("string"))
+        .select(*sections.columns)
+    )
 
 
 def remove_page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Drops every row that shares URL, title and level with a page dump."""
     keys = ["url", "section_title", "section_level"]
     doomed = page_dumps(sections, hot_rows).select(*keys).distinct()
-    return join_skewed(sections, doomed, keys, "left_anti", hot_rows).select(*sections.columns)
+    left = join_skewed(sections, doomed, keys, "left_anti", hot_rows)
+    return left.select(*[c for c in sections.columns if c not in ("_length", "_opening")])

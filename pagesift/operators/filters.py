@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.text import clean_text, contains_any, strip_phrases, text_or_empty
-from pagesift.operators.dedup import first_wins, page_dumps, remove_page_dumps
+from pagesift.functions.text import clean_text, contains_any, strip_phrases
+from pagesift.operators.dedup import first_wins, remove_page_dumps, with_probes
 from pagesift.sources.rules import DEFAULT_RULES, FilterRules
 from pagesift.sources.staging import stage
 
@@ -50,7 +50,8 @@ def clean_sections(df: DataFrame, rules: FilterRules = DEFAULT_RULES) -> DataFra
 
 
 def has_excluded_category(category: Column, rules: FilterRules) -> Column:
-    return text_or_empty(category).isin(*rules.excluded_categories)
+    """Written so that its negation can go down to the scan."""
+    return category.isNotNull() & category.isin(*rules.excluded_categories)
 
 
 def has_boilerplate_keyword(
@@ -121,8 +122,8 @@ def filter_sections(
     order_by: Sequence[str] = ORDER,
 ) -> DataFrame:
     """Clean, apply every row filter, drop repeats within a URL, drop page dumps."""
-    unique = stage(first_wins(keep_rows(df, rules), order_by), "unique")
-    return remove_page_dumps(unique)
+    unique = first_wins(keep_rows(df, rules), order_by)
+    return remove_page_dumps(stage(with_probes(unique), "unique"))
 
 
 def with_drop_reason(df: DataFrame, rules: FilterRules = DEFAULT_RULES) -> DataFrame:
@@ -157,7 +158,8 @@ def step_report(
     )
     count = F.count("*").alias("n")
     local = staged.groupBy(F.coalesce("drop_reason", F.lit("alive")).alias("step")).agg(count)
-    unique = stage(first_wins(staged.where(alive), order_by).drop("drop_reason"), "unique")
+    first = first_wins(staged.where(alive), order_by).drop("drop_reason")
+    unique = stage(with_probes(first), "unique")
     n_unique = unique.agg(F.lit("unique").alias("step"), count)
     kept = remove_page_dumps(unique).agg(F.lit("kept").alias("step"), count)
     known = local.unionByName(n_unique).unionByName(kept)
@@ -169,8 +171,3 @@ def step_report(
     rows = [F.struct(F.lit(s).alias("step"), n[s].alias("n_rows")) for s in (*STEPS, "kept")]
     return totals.select(F.inline(F.array(*rows)))
 
-
-__all__ = [
-    "FilterRules", "clean_sections", "filter_sections", "freeze", "keep_rows", "page_dumps",
-    "step_report", "with_drop_reason",
-]

@@ -19,6 +19,7 @@ def with_row_number(
 ) -> DataFrame:
     """Adds 1..N in the order of ``order_by``, which must identify a row.
 
+    ``df`` is read twice, to sample its order and to sort it, so pass a table.
     The rows are range-partitioned and sorted once and written with their place in
     their partition. The number of rows per partition then gives each partition its
     offset; that table has one row per shuffle partition, so it is broadcast and

@@ -21,6 +21,7 @@ def join_skewed(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """``left`` joined to ``right`` with the hot keys of ``left`` spread over many tasks.
 
@@ -30,9 +31,11 @@ def join_skewed(
     rows on the left get a salt from all their columns, their rows on the right one
     copy per salt; all other keys have the salt 0 and are not copied. Rows whose key
     is null match nothing and are spread as well. Nothing is dropped.
+
+    ``n_rows`` may give a bound of the rows of ``left`` that is cheaper to know.
     """
     on = list(on)
-    total = left.count()
+    total = left.count() if n_rows is None else n_rows
     if total < hot_rows:
         return left.join(right, on, how)
     threshold = max(hot_rows, total // HOT_SHARE)

@@ -15,6 +15,7 @@ from pagesift.operators.skew import HOT_ROWS, join_skewed
 from pagesift.sources.pages import pages_for_urls
 from pagesift.sources.rules import DEFAULT_RULES, FilterRules
 from pagesift.sources.staging import stage
+from pagesift.sources.urls import submitted_urls
 
 
 # So many page ids are sent to every task; more are joined by a shuffle.
@@ -74,3 +75,12 @@ def site_report(
         sections = add_source_columns(stage(sections, "sections"), metadata, hot_rows)
     shaped = shape_sections(sections, keep=ORDER)
     return shaped if rules is None else filter_sections(shaped, rules)
+
+
+def submitted_report(
+    texts: DataFrame, text: str, order_by: str, pages: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The report of URLs typed one per line: invalid lines are left out, the rest is
+    normalised; always categorised and filtered, without further columns."""
+    urls = stage(submitted_urls(texts, text, order_by), "submitted")
+    return site_report(urls, pages, hot_rows=hot_rows)

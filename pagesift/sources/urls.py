@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import strip
 from pagesift.functions.urls import is_valid_url, normalize_url
+from pagesift.operators.numbering import with_row_number
 
 # The column names tried, in order, after the requested one.
 URL_COLUMNS = ("url", "link", "website")
@@ -88,3 +89,10 @@ def route_urls(urls: DataFrame) -> DataFrame:
 
 def route_counts(urls: DataFrame) -> DataFrame:
     return route_urls(urls).groupBy("is_valid").agg(F.count("*").alias("n_urls"))
+
+
+def submitted_urls(texts: DataFrame, text: str, order_by: str) -> DataFrame:
+    """``(url_no, url)`` of the valid lines of a text column, normalised, in line order."""
+    lines = urls_from_text(texts, text, order_by)
+    routed = route_urls(with_row_number(lines, [order_by, "line_no"], "url_no"))
+    return routed.where("is_valid").select("url_no", F.col("target").alias("url"))
