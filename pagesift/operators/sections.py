@@ -438,8 +438,10 @@ def container_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT)
     opened the container it lies in at that depth.
     """
     rows = _located(page_pieces(pages, holders=True))
+    in_title = F.col("in_heading").isNotNull()
     title = F.array_join(
-        F.collect_list(F.when(F.col("text") != "", F.col("text"))).over(
+        # Rows outside of headings share a window, too; nothing is collected in it.
+        F.collect_list(F.when(in_title & (F.col("text") != ""), F.col("text"))).over(
             W.partitionBy("page_id", "in_heading").orderBy("pos").rowsBetween(
                 W.unboundedPreceding, W.unboundedFollowing
             )
@@ -450,7 +452,7 @@ def container_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT)
     is_head = F.col("tag").isin(*HEADINGS)
     parts = (
         rows.where(is_open | is_head | (F.col("text") != ""))
-        .withColumn("title", F.when(F.col("in_heading").isNotNull(), title))
+        .withColumn("title", F.when(in_title, title))
         .where((F.col("depth") > 0) & (~is_head | (F.col("title") != "")))
         .select(
             "page_id", "pos", "text", "title", "depth", "holder", "opens",
@@ -480,14 +482,29 @@ def container_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT)
             _joined(F.col("text") != "", "pos", " ").alias("whole"),
             F.collect_list(F.when(F.col("is_head"), F.struct("pos", "title"))).alias("heads"),
         )
-        .select("page_id", "whole", F.inline("heads"))
     )
-    rest = strip(F.substr("whole", F.length("title") + 1, F.length("whole")))
-    content = F.when(F.startswith("whole", "title"), rest).otherwise(F.col("whole"))
-    if max_content is not None:
-        content = F.substring(content, 1, max_content)
-    number = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
-    return boxes.select(
-        "page_id", number.cast("int").alias("box_no"), F.col("title").alias("section_title"),
-        content.alias("content"),
+
+    def content(head: Column) -> Column:
+        """Cut per heading before the headings become rows, so that none carries the whole."""
+        title = head["title"]
+        rest = strip(F.substr("whole", F.length(title) + 1, F.length("whole")))
+
+        def cut(text: Column) -> Column:
+            return text if max_content is None else F.substring(text, 1, max_content)
+
+        return F.when(F.startswith("whole", title), cut(rest)).otherwise(cut(F.col("whole")))
+
+    found = boxes.select(
+        "page_id",
+        F.inline(
+            F.transform(
+                "heads",
+                lambda h: F.struct(
+                    h["pos"].alias("pos"), h["title"].alias("section_title"),
+                    content(h).alias("content"),
+                ),
+            )
+        ),
     )
+    number = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
+    return found.select("page_id", number.cast("int").alias("box_no"), "section_title", "content")

@@ -134,6 +134,18 @@ def test_long_pages_and_many_attributes(spark):
     assert got[0][2].startswith("x | y | y") and got[0][2].endswith("a < b U z")
 
 
+def test_many_headings_on_one_page(spark):
+    n = 4000
+    html = "<div class=card><h1>Top</h1>" + "".join(
+        f"<div><h2>H{i}</h2><p>text <b>bold</b> {i}</p></div>" for i in range(n)
+    )
+    got = found(spark, html, max_content=None)
+    assert got[-1] == (f"H{n - 1}", "h2", f"text | bold | {n - 1}", "siblings")
+    assert len(got) == n + 1 and got[0][2].endswith(f"| bold | {n - 1}")
+    boxed = S.container_sections(pages(spark, html)).collect()
+    assert len(boxed) == n + 1 and {len(r.content) for r in boxed} == {5000}
+
+
 def test_one_shuffle(spark, as_table):
     table = as_table(pages(spark, "<h1>T</h1>x"))
     plan = S.extract_sections(table)._jdf.queryExecution().executedPlan().toString()

@@ -62,3 +62,11 @@ def test_pages_for_urls_keeps_repeats_and_raw_urls(spark, as_table):
     for hot_rows in (1_000_000, 2):
         got = pages_for_urls(urls, pages, hot_rows).collect()
         assert sorted((r.url_no, r.url, r.page_id) for r in got) == want
+
+
+def test_submitted_urls(spark):
+    texts = spark.createDataFrame([(2, "x.org"), (1, " a.com \nlocalhost\n\nhttp://b.org/y")],
+                                  "id long, text string")
+    got = U.submitted_urls(texts, "text", "id").orderBy("url_no").collect()
+    assert [(r.url_no, r.url) for r in got] == [
+        (1, "https://a.com"), (3, "http://b.org/y"), (4, "https://x.org")]
