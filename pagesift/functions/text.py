@@ -121,33 +121,33 @@ def contains_any(c: Column, needles: Iterable[str]) -> Column:
 
 def _entity(name: Column) -> Column:
     """The character an entity name stands for, or null."""
-    code = (
-        F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10))
-        .when(name.startswith("#"), F.substring(name, 2, 10))
-        .try_cast("long")
+    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(
+        F.substring(name, 2, 10)
     )
-    legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    numeric = F.when(
-        legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    ).otherwise("�")
+
+    def char(code: Column) -> Column:
+        legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        utf_32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
+        return F.when(legal, F.decode(utf_32, "UTF-32")).otherwise("\ufffd")
+
     pairs = "\n".join(f"{k}\t{v}" for k, v in ENTITIES.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
-    return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(table, name))
+    return F.when(name.startswith("#"), let(digits.try_cast("long"), char)).when(
+        name != "", F.try_element_at(table, name)
+    )
 
 
 def decode_entities(c: Column | str) -> Column:
     """Resolve character references once, left to right (``&amp;nbsp;`` gives ``&nbsp;``)."""
     text = _col(c)
+    pattern = r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]*);"
 
     def piece(p: Column, i: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]*);", 1)
-        char = F.when(name != "", _entity(name))
-        return F.when(i == 0, p).otherwise(
-            F.coalesce(
-                F.concat(char, F.substr(p, F.length(name) + 2, F.length(p))),
-                F.concat(F.lit("&"), p),
-            )
-        )
+        def solved(name: Column) -> Column:
+            after = F.substr(p, F.length(name) + 2, F.length(p))
+            return F.coalesce(F.concat(_entity(name), after), F.concat(F.lit("&"), p))
+
+        return F.when(i == 0, p).otherwise(let(F.regexp_extract(p, pattern, 1), solved))
 
     decoded = F.array_join(F.transform(F.split(text, "&"), piece), "")
     return F.when(text.contains("&"), decoded).otherwise(text)
