@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.functions.text import contains_any, strip, text_or_empty
 
 # The categories offered to a classifier.
@@ -135,4 +136,4 @@ def apply_replies(
         .otherwise(OTHER)
     )
     keep = [c for c in numbered.columns if c != "ai_category"]
-    return joined.select(*keep, label.alias("ai_category"))
+    return joined.select(*named(keep), label.alias("ai_category"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.operators.skew import HOT_ROWS, join_skewed
 
 # Levels of sub-sections, and when a first heading counts as a dump.
@@ -91,7 +92,7 @@ def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return (
         tested.where((F.col("content") != "") & is_dump)
         .withColumn("_opening", F.lit(None).cast("string"))
-        .select(*sections.columns)
+        .select(*named(sections.columns))
     )
 
 
@@ -100,4 +101,6 @@ def remove_page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     keys = ["url", "section_title", "section_level"]
     doomed = page_dumps(sections, hot_rows).select(*keys).distinct()
     left = join_skewed(sections, doomed, keys, "left_anti", hot_rows)
-    return left.select(*[c for c in sections.columns if c not in ("_length", "_opening")])
+    return left.select(
+        *named(c for c in sections.columns if c not in ("_length", "_opening"))
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.functions.text import text_or_empty
 from pagesift.operators.skew import HOT_ROWS, join_skewed
 
@@ -15,11 +16,11 @@ SECTION_COLUMNS = ("section_title", "section_level", "content", "ai_category")
 
 def shape_sections(sections: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Fixed column order, missing texts as '', after any ``keep`` columns such as the order."""
-    given = {c: F.col(c) for c in sections.columns}
+    given = dict(zip(sections.columns, named(sections.columns)))
     source = [c for c in sections.columns if c.startswith("source_")]
     texts = [*META_COLUMNS, *SECTION_COLUMNS]
     return sections.select(
-        *keep, "url", *source,
+        *keep, "url", *named(source),
         *[text_or_empty(given.get(c, F.lit(None))).alias(c) for c in texts],
     )
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.functions.text import clean_text, contains_any, strip_phrases
 from pagesift.operators.dedup import first_wins, remove_page_dumps, with_probes
 from pagesift.sources.rules import DEFAULT_RULES, FilterRules
@@ -34,9 +35,9 @@ def freeze(df: DataFrame, **columns: Column) -> DataFrame:
     """
     others = [c for c in df.columns if c not in columns]
     made = F.struct(*[c.alias(name) for name, c in columns.items()])
-    out = df.select(*others, F.inline(F.array(made)))
+    out = df.select(*named(others), F.inline(F.array(made)))
     new = [c for c in columns if c not in df.columns]
-    return out.select(*df.columns, *new)
+    return out.select(*named(df.columns), *new)
 
 
 def clean_sections(df: DataFrame, rules: FilterRules = DEFAULT_RULES) -> DataFrame:
@@ -113,7 +114,7 @@ def keep_rows(
     for step, fails in _row_tests(df, rules):
         if step in steps:
             tested = tested.where(~fails)
-    return tested.select(*cleaned.columns)
+    return tested.select(*named(cleaned.columns))
 
 
 def filter_sections(
@@ -133,7 +134,7 @@ def with_drop_reason(df: DataFrame, rules: FilterRules = DEFAULT_RULES) -> DataF
     reason = F.lit(None).cast("string")
     for step, fails in reversed(_row_tests(df, rules)):
         reason = F.when(fails, step).otherwise(reason)
-    return freeze(tested, drop_reason=reason).select(*cleaned.columns, "drop_reason")
+    return freeze(tested, drop_reason=reason).select(*named(cleaned.columns), "drop_reason")
 
 
 def step_report(

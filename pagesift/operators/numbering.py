@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.sources.staging import stage
 
 _IN_PARTITION = 33  # monotonically_increasing_id keeps the row index in its low 33 bits
@@ -41,7 +42,7 @@ def with_row_number(
     return (
         rows.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .select((F.col("_offset") + place + 1).alias(name), *df.columns)
+        .select((F.col("_offset") + place + 1).alias(name), *named(df.columns))
     )
 
 
@@ -59,5 +60,5 @@ def mark_page_breaks(numbered: DataFrame, row_no: str = "row_no") -> DataFrame:
     marked = spread.withColumn("_previous", previous).where(F.col("_block") == block)
     is_break = (F.col("_previous") != "") & (F.col("_previous") != F.col("url"))
     return marked.select(
-        *numbered.columns, F.coalesce(is_break, F.lit(False)).alias("is_break")
+        *named(numbered.columns), F.coalesce(is_break, F.lit(False)).alias("is_break")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.functions.numbers import round_tenth
 
 # The widest a column may be shown, by name and otherwise, and its margin.
@@ -68,13 +69,13 @@ def run_totals(urls: DataFrame, sections: DataFrame, kept: DataFrame) -> DataFra
 def column_widths(table: DataFrame) -> DataFrame:
     """``(column_name, width)``: longest cell or name, capped, plus a margin."""
     longest = table.agg(
-        *[F.max(F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(3))).alias(c)
-          for c in table.columns]
+        *[F.max(F.coalesce(F.length(col.cast("string")), F.lit(3))).alias(c)
+          for c, col in zip(table.columns, named(table.columns))]
     )
     rows = []
-    for c in table.columns:
+    for c, col in zip(table.columns, named(table.columns)):
         cap = WIDE_CAP if c in WIDE_COLUMNS else CAP
-        longest_cell = F.coalesce(F.col(f"`{c}`"), F.lit(0))
+        longest_cell = F.coalesce(col, F.lit(0))
         width = F.least(F.greatest(longest_cell, F.lit(len(c))), F.lit(cap)) + MARGIN
         rows.append(F.struct(F.lit(c).alias("column_name"), width.alias("width")))
     return longest.select(F.inline(F.array(*rows)))

@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
+
 HOT_SHARE = 1000  # a key is hot from 1/1000 of the rows on, so fewer than 1000 can be
 HOT_ROWS = 1_000_000  # and from this many rows on
 SALTS = 64
@@ -44,7 +46,7 @@ def join_skewed(
         .select(*on, F.lit(True).alias("_hot"))
     )
     no_key = reduce(or_, [F.col(k).isNull() for k in on])
-    any_salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    any_salt = F.pmod(F.xxhash64(*named(left.columns)), F.lit(salts)).cast("int")
     salt = F.when(F.col("_hot") | no_key, any_salt)
     spread = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.coalesce(salt, F.lit(0))

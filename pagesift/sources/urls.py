@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.functions.text import strip
 from pagesift.functions.urls import is_valid_url, normalize_url
 from pagesift.operators.numbering import with_row_number
@@ -25,9 +26,8 @@ def read_url_csv(spark: SparkSession, path: str, order: str = "row_id") -> DataF
     options = {"header": True, "inferSchema": True, "quote": '"', "escape": '"', "multiLine": True}
     table = spark.read.options(**options).csv(path)
     cells = [
-        F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c)
-        if t == "string" else F.col(f"`{c}`")
-        for c, t in table.dtypes
+        F.when(~col.isin(*MISSING), col).alias(c) if t == "string" else col
+        for (c, t), col in zip(table.dtypes, named(table.columns))
     ]
     return table.select(F.monotonically_increasing_id().alias(order), *cells)
 
@@ -50,27 +50,30 @@ def url_list(table: DataFrame, order_by: str, wanted: str = "url") -> DataFrame:
     ``order_by`` is the integer column that says in which order the rows came.
     """
     column = resolve_url_column([c for c in table.columns if c != order_by], wanted)
-    url = strip(F.col(f"`{column}`").cast("string"))
+    url = strip(named([column])[0].cast("string"))
     return table.select(F.col(order_by).cast("long").alias("url_no"), url.alias("url")).where(
         F.col("url") != ""
     )
 
 
 def url_metadata(table: DataFrame, order_by: str, wanted: str = "url") -> DataFrame:
-    """One row per URL with every other column, named ``source_*``; the last row wins."""
+    """One row per URL with every other column, named ``source_*``; the last row wins.
+
+    Of columns that get the same name the last one stays.
+    """
     columns = [c for c in table.columns if c != order_by]
     column = resolve_url_column(columns, wanted)
     others = [c for c in columns if c != column]
-    named = [
-        F.col(f"`{c}`").alias("source_" + c.lower().replace(" ", "_")) for c in others
-    ]
+    sources = {
+        "source_" + c.lower().replace(" ", "_"): col for c, col in zip(others, named(others))
+    }
     rows = table.select(
-        strip(F.col(f"`{column}`").cast("string")).alias("url"),
+        strip(named([column])[0].cast("string")).alias("url"),
         F.col(order_by).cast("long").alias("url_no"),
-        F.struct(*named).alias("meta"),
+        F.struct(F.lit(1).alias("_"), *[c.alias(n) for n, c in sources.items()]).alias("meta"),
     ).where(F.col("url") != "")
     last = rows.groupBy("url").agg(F.max_by("meta", "url_no").alias("meta"))
-    return last.select("url", "meta.*")
+    return last.select("url", "meta.*").drop("_")
 
 
 def urls_from_text(texts: DataFrame, text: str, order_by: str) -> DataFrame:

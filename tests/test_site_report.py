@@ -1,8 +1,11 @@
 import pytest
 
+from pagesift.operators.reports import column_widths
 from pagesift.operators.sections import extract_sections
 from pagesift.plans.site_report import listed_sections, site_report
+from pagesift.sources.outputs import write_report
 from pagesift.sources.rules import FALLBACK_RULES
+from pagesift.sources.urls import read_url_csv, url_metadata
 
 
 def inputs(spark, as_table):
@@ -43,6 +46,19 @@ def test_report(spark, as_table):
     assert site_report(urls, pages, rules=None).count() == 7
 
 
+def test_any_column_name_goes_through(spark, as_table, tmp_path):
+    urls, pages = inputs(spark, as_table)
+    (tmp_path / "u.csv").write_text('"No. of (x), `y`",Url\n5,a.com\n')
+    scanned = read_url_csv(spark, str(tmp_path / "u.csv"))
+    report = site_report(urls, pages, url_metadata(scanned, "row_id"), hot_rows=1)
+    path = str(tmp_path / "out.csv")
+    write_report(report, path, ["url_no", "sec_no"], drop=("url_no", "sec_no"))
+    lines = spark.read.csv(path, header=True)
+    assert lines.columns[:3] == ["row_no", "url", "source_no._of_(x),_`y`"]
+    assert sorted(tuple(r)[:3] for r in lines.collect()) == [("1", "a.com", "5"), ("2", "a.com", "5")]
+    assert column_widths(report).count() == len(report.columns)
+
+
 def test_no_html_is_shuffled(spark, as_table):
     _, pages = inputs(spark, as_table)
     wanted = as_table(spark.range(2).withColumnRenamed("id", "page_id"), "wanted")

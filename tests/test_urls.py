@@ -70,3 +70,9 @@ def test_submitted_urls(spark):
     got = U.submitted_urls(texts, "text", "id").orderBy("url_no").collect()
     assert [(r.url_no, r.url) for r in got] == [
         (1, "https://a.com"), (3, "http://b.org/y"), (4, "https://x.org")]
+
+
+def test_metadata_column_names(spark):
+    table = spark.createDataFrame([(1, "u", 1, 2)], "row_id int, url string, `a b` int, `A_B` int")
+    assert U.url_metadata(table, "row_id").collect()[0].asDict() == {"url": "u", "source_a_b": 2}
+    assert U.url_metadata(table.select("row_id", "url"), "row_id").columns == ["url"]
