@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagesift.llm import line_dedup
+from pagesift.llm import line_dedup, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("op6_line_windows", line_dedup.oracle())
 def _op6(spark, sf):
     return line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("op4_nb_support_vectors")
+def _op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@register("op9_bounded_space_packing")
+def _op9(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))

@@ -127,3 +127,12 @@ def shingle_sets(
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column of lists without nulls as numpy arrays."""
+    out = []
+    for chunk in column.chunks:
+        values, off = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+    return out
