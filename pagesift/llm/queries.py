@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import line_dedup, packing, quality
+from pagesift.llm import licenses, line_dedup, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +47,20 @@ def _op4(spark, sf):
 @register("op9_bounded_space_packing")
 def _op9(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
+
+
+@register("op3_fuzzy_notices")
+def _op3(spark, sf):
+    return licenses.digest(licenses.find_notices(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@register("op8_classifier_chain")
+def _op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf, "labels"))
+    scored = toxicity.score(docs, chain).drop("text")
+    toxic = F.when(F.col("p_toxic") >= 0.5, 1).otherwise(0)
+    return scored.select(
+        "doc_id", F.col("p_toxic").alias("score"), toxic.alias("predicted"), toxic.alias("toxic"),
+        "p_insult", "p_contempt",
+    )
