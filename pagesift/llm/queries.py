@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import licenses, line_dedup, packing, quality, toxicity
+from pagesift.llm import (
+    decontaminate, licenses, line_dedup, neighbours, packing, quality, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +66,19 @@ def _op8(spark, sf):
         "doc_id", F.col("p_toxic").alias("score"), toxic.alias("predicted"), toxic.alias("toxic"),
         "p_insult", "p_contempt",
     )
+
+
+@register("op2_template_windows")
+def _op2(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    copies = decontaminate.find_copies(docs, table(spark, sf, "benchmark"))
+    return copies.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"),
+        F.col("start").alias("first_word"), F.col("end").alias("end_word"), "coverage", "kind",
+        F.size("slots").cast("long").alias("n_slots"),
+    )
+
+
+@register("op7_hash_prefix_forest")
+def _op7(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
