@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import (
-    decontaminate, licenses, line_dedup, neighbours, packing, quality, toxicity,
+    decontaminate, licenses, line_dedup, neighbours, packing, quality, secrets, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,13 @@ def _op2(spark, sf):
 @register("op7_hash_prefix_forest")
 def _op7(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op1_secret_forest")
+def _op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs)
+    return found.select(
+        F.col("id").alias("doc_id"), "place", "finding", "score",
+        F.col("is_secret").cast("int").alias("predicted"),
+    )
