@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import (
-    decontaminate, licenses, line_dedup, neighbours, packing, quality, secrets, toxicity,
+    decontaminate, jaccard, licenses, line_dedup, neighbours, packing, quality, secrets, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +18,24 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that see this folder import the package from it.
+
+    On a cluster that does not share it the package is installed or sent with the job.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -92,3 +109,9 @@ def _op1(spark, sf):
         F.col("id").alias("doc_id"), "place", "finding", "score",
         F.col("is_secret").cast("int").alias("predicted"),
     )
+
+
+@register("op5_token_group_matrix")
+def _op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return jaccard.link_components(docs, 90, 100, 3).withColumnRenamed("id", "doc_id")

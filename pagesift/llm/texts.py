@@ -120,10 +120,8 @@ def shingle_sets(
         if c >= n:
             out.append(np.unique(total[a : a + c - n + 1]))
         elif c:
-            few = np.uint64(c)
-            for j in range(c):
-                few = few + h[a + j] * NGRAM[j + 8]
-            out.append(mix(np.array([few], np.uint64)))
+            few = np.sum(h[a : a + c] * NGRAM[8 : 8 + c], keepdims=True, dtype=np.uint64)
+            out.append(mix(few + np.uint64(c)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
