@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import (
-    decontaminate, jaccard, licenses, line_dedup, neighbours, packing, quality, secrets, toxicity,
+    decontaminate, jaccard, licenses, line_dedup, neighbours, packing, quality, secrets, suffixes,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +116,9 @@ def _op1(spark, sf):
 def _op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return jaccard.link_components(docs, 90, 100, 3).withColumnRenamed("id", "doc_id")
+
+
+@register("op10_deep_shallow")
+def _op10(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).withColumnRenamed("id", "doc_id")
