@@ -1,22 +1,68 @@
-"""A corpus cleaned in stages, each written as Parquet and read again by the next."""
+"""A corpus cleaned in stages, each written as Parquet and read again by the next.
+
+The stages keep the columns of documents but for the last, which returns packed pieces:
+
+1. quality classifier: documents that it rejects go;
+2. line dedup: windows of three lines that stood before are removed from the texts, and
+   ``n_chars`` follows;
+3. n-gram Jaccard join on five-word shingles at 0.8: one document of each group stays, the
+   one of the smallest id, so documents without near duplicates stay;
+4. benchmark decontamination: documents that hold a copy of a benchmark item go;
+5. packing: what is left is packed into windows of 1,024 tokens.
+
+A row whose id is null or repeated is treated like any other; only the Jaccard join links
+rows by id, and of rows that share the smallest id of a group all stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagesift.llm.line_dedup import dedup_lines
+from pagesift.llm import decontaminate, jaccard, line_dedup, packing, quality
+from pagesift.llm.queries import importable
 from pagesift.sources.staging import stage
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of windows that stood before are removed from the texts; ``n_chars`` follows."""
-    from pyspark.sql import functions as F
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model)
+    return scored.where(F.col("score") >= 0.5).select(*docs.columns)
 
-    clean = dedup_lines(docs)
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = line_dedup.dedup_lines(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-STAGES = [("line_dedup", lines)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    groups = jaccard.link_components(docs.select("doc_id", "text"), 80, 100, 5)
+    gone = groups.where(F.col("component_id") != F.col("id")).select(F.col("id").alias("doc_id"))
+    return docs.join(stage(gone.distinct(), "pipeline-copies"), "doc_id", "left_anti").select(
+        *docs.columns
+    )
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("line_dedup", fresh_lines),
+    ("ngram_jaccard", one_of_each),
+    ("decontamination", no_benchmark),
+    ("packing", packed),
+]
+
+#: The classifier and the tokenizer cannot be told in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

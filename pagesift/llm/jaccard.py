@@ -122,7 +122,7 @@ def _neighbourhoods(sets: DataFrame, left: DataFrame, num: int, den: int) -> Dat
     return found.select(F.col("node").alias("rep"), "component").unionByName(hub)
 
 
-def _tasks(classes: DataFrame, num: int, den: int) -> DataFrame:
+def _tasks(classes: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(rep, task, part, side): the tasks each class takes part in.
 
     Neighbourhoods of one block go whole to one of the tasks for such; the others are dealt
@@ -131,17 +131,17 @@ def _tasks(classes: DataFrame, num: int, den: int) -> DataFrame:
     size = classes.groupBy("component").agg(F.count("*").alias("size"))
     band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(den / num)))).cast("int")
     joined = classes.join(stage(size, "jaccard-sizes"), "component")
-    small = joined.where(F.col("size") <= BLOCK)
-    n_small = size.where(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    small = joined.where(F.col("size") <= block)
+    n_small = size.where(F.col("size") <= block).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = max(1, -(-n_small // TASK_CLASSES))
     few = small.select(
         "rep", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"),
         F.col("component").alias("part"), F.lit(0).alias("side"),
     )
-    large = joined.where(F.col("size") > BLOCK).withColumn("band", band)
+    large = joined.where(F.col("size") > block).withColumn("band", band)
     bands = stage(
         large.groupBy("component", "band").agg(
-            F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")
+            F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")
         ),
         "jaccard-bands",
     )
@@ -281,7 +281,7 @@ def _link(num: int, den: int):
 
 def link_components(
     docs: DataFrame, num: int, den: int, words: int, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", block: int = BLOCK,
 ) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row of ``docs``.
 
@@ -310,7 +310,7 @@ def link_components(
     )
     left = stage(_not_unique(whole, "rep", num, den), "jaccard-left")
     near = stage(_neighbourhoods(whole, left, num, den), "jaccard-neighbourhoods")
-    tasks = _tasks(near.join(left.select("rep", "n"), "rep"), num, den)
+    tasks = _tasks(near.join(left.select("rep", "n"), "rep"), num, den, block)
     linked = stage(
         tasks.join(whole.select("rep", "tokens", "copies"), "rep").groupBy("task")
         .applyInArrow(_link(num, den), "rep long, root long, links long"),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagesift.functions.columns import named
+from pagesift.llm.texts import map_batches
 
 BASE_PHRASES = {
     "cc by": "cc-by",
@@ -170,7 +171,7 @@ def find_notices(
                 [*keep, "n_words", "hits"],
             )
 
-    return docs.select(*named(keep)).mapInArrow(scan, schema)
+    return map_batches(docs.select(*named(keep)), scan, schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -26,6 +26,14 @@ def _lines(text_col: str):
     return F.split(named([text_col])[0], "\n", -1)
 
 
+def fresh(names: list[str], taken: list[str]) -> list[str]:
+    """``names`` lengthened until none is among ``taken``, whatever the case of letters."""
+    have = {c.lower() for c in taken}
+    while any(n.lower() in have for n in names):
+        names = [n + "_" for n in names]
+    return names
+
+
 def once(value, use):
     """``use(value)`` with the value computed once a row, however often ``use`` reads it."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -91,29 +99,28 @@ def dedup_lines(
     The two counts replace columns of those names.
     """
     doc, text = named([id_col, text_col])
-    starts = covering_windows(docs, id_col, text_col, n).select(
-        F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("starts").alias("_starts")
-    )
+    names = fresh(["_id", "_th", "_starts", "_kept"], docs.columns)
+    i, th, begin, left = (F.col(n) for n in names)
+    starts = covering_windows(docs, id_col, text_col, n).toDF(*names[:3])
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    same = doc.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    lines = _lines(text_col)
-    some = F.col("_starts").isNotNull()
+    same = doc.eqNullSafe(i) & (F.xxhash64(text) == th)
+    lines, some = _lines(text_col), begin.isNotNull()
 
     def kept(lines):
         # A window covers the lines from its start on; the rest is set difference, in order.
-        gone = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (n - 1))))
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-        texts = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-        return F.struct(texts.alias("text"), F.size(left).alias("n"))
+        gone = F.flatten(F.transform(begin, lambda s: F.sequence(s, s + (n - 1))))
+        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        texts = F.array_join(F.transform(rest, lambda k: F.get(lines, k)), "\n")
+        return F.struct(texts.alias("text"), F.size(rest).alias("n"))
 
     joined = docs.select(*named(keep)).join(starts, same, "left").withColumn(
-        "_kept", F.when(some, once(lines, kept))
+        names[3], F.when(some, once(lines, kept))
     )
-    text = F.when(some, F.col("_kept.text")).otherwise(text)
+    new_text = F.when(some, left["text"]).otherwise(text)
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n_removed = F.when(some, F.size(lines) - F.col("_kept.n")).otherwise(0).cast("long")
+    n_removed = F.when(some, F.size(lines) - left["n"]).otherwise(0).cast("long")
     return joined.select(
-        *[text.alias(c) if c == text_col else named([c])[0]
+        *[new_text.alias(c) if c == text_col else named([c])[0]
           for c in keep],
         n_lines.alias("n_lines"), n_removed.alias("n_removed"),
     )

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagesift.functions.columns import named
-from pagesift.llm.texts import lists, mix, slices
+from pagesift.llm.texts import lists, map_batches, mix, slices
 
 #: Labelled rows of each class that the model is fitted on: the first by a hash of the id.
 SAMPLE_PER_CLASS = 4000
@@ -170,4 +170,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             values = pa.array(np.concatenate([*parts, np.zeros(0)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*keep, "score"])
 
-    return docs.select(*named(keep)).mapInArrow(scored, schema)
+    return map_batches(docs.select(*named(keep)), scored, schema)

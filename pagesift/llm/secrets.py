@@ -52,7 +52,7 @@ FEATURES = (
 
 
 def _core(word: Column) -> Column:
-    return F.regexp_extract(word, r"([A-Za-z0-9][A-Za-z0-9+/_.\-]{%d,})" % (MIN_LENGTH - 1), 1)
+    return F.regexp_extract(word, r"([A-Za-z0-9][A-Za-z0-9+/_.\-]{%d,}[A-Za-z0-9])" % (MIN_LENGTH - 2), 1)
 
 
 def findings(

@@ -254,7 +254,7 @@ def deep_shallow(data: np.ndarray, start: np.ndarray, group: np.ndarray, length:
 DECIDED = "row long, first long, last long, w1 long, w2 long"
 
 
-def _sort_block(length: int):
+def _sort_block(length: int, block: int):
     def sort(key, table):
         packed, h = table["at"].to_numpy(), table["h"].to_numpy()
         copies, size = table["n"].to_numpy(), table["size"].to_numpy()
@@ -286,10 +286,10 @@ def _sort_block(length: int):
              none, none], ["row", "first", "last", "w1", "w2"],
         )]
         # Of anchors with more blocks each string goes on once, without a place if decided.
-        alone = (classes < 0) & (size[stretch] > BLOCK)
+        alone = (classes < 0) & (size[stretch] > block)
         lead = np.zeros(len(classes), bool)
         lead[np.unique(classes, return_index=True)[1]] = True
-        lead &= (classes >= 0) & (size[stretch] > BLOCK)
+        lead &= (classes >= 0) & (size[stretch] > block)
         go = np.flatnonzero(alone | lead)
         if len(go):
             open_ = alone[go] & (copies[stretch[go]] == 1)
@@ -309,7 +309,7 @@ def _sort_block(length: int):
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    gram: int = GRAM,
+    gram: int = GRAM, block: int = BLOCK,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     if not 8 <= gram < length <= gram + 255:
@@ -358,12 +358,13 @@ def remove_repeats(
     )
     total = mixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = max(1, -(-total // TASK_STRETCHES))
-    block = F.pmod(F.col("f"), F.ceil(F.col("size") / F.lit(BLOCK)))
-    task = F.when(F.col("size") <= BLOCK, F.pmod(F.col("h"), F.lit(tasks))).otherwise(
-        F.xxhash64("h", block)
+    own = F.pmod(F.col("f"), F.ceil(F.col("size") / F.lit(block)))
+    task = F.when(F.col("size") <= block, F.pmod(F.col("h"), F.lit(tasks))).otherwise(
+        F.xxhash64("h", own)
     )
     sorted_ = stage(
-        cut.groupBy(task.alias("task")).applyInArrow(_sort_block(length), DECIDED), "suffix-sorted"
+        cut.groupBy(task.alias("task")).applyInArrow(_sort_block(length, block), DECIDED),
+        "suffix-sorted",
     )
     single = sorted_.where(F.col("w1").isNotNull())
     twice = stage(

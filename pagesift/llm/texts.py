@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 
@@ -127,6 +128,11 @@ def shingle_sets(
     return out
 
 
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name: ``fn`` goes by place."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(fn, schema)
+
+
 def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The lists of an Arrow column of lists without nulls as numpy arrays."""
     out = []

@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagesift.functions.columns import named
 from pagesift.llm.texts import (
-    LOWER_VALUES, lists, mix, prefix_hashes, slices, span_hashes, words,
+    LOWER_VALUES, lists, map_batches, mix, prefix_hashes, slices, span_hashes, words,
 )
 from pagesift.sources.staging import stage
 
@@ -257,4 +257,4 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             columns = [pa.array(np.ascontiguousarray(v)) for v in values.T]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*keep, *new])
 
-    return docs.select(*named(keep)).mapInArrow(scored, schema)
+    return map_batches(docs.select(*named(keep)), scored, schema)

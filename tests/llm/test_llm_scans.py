@@ -1,0 +1,184 @@
+"""Secret scans, license scans, benchmark decontamination."""
+
+import random
+import re
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from pagesift.llm import decontaminate as D
+from pagesift.llm import licenses as L
+from pagesift.llm import secrets as S
+
+SMALL = "/root/testdata/sf0.001"
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+# --- secrets ------------------------------------------------------------------------------
+
+
+def test_findings_and_neighbours(spark):
+    text = 'set api_key = "A1b2C3d4E5f6G7h8" now; see https://x.io/aaaaaaaaaaaaaaaa and 1234567890123456.'
+    rows = S.findings(spark.createDataFrame([(1, text, None)], "doc_id int, text string, source string"))
+    got = [(r.place, r.finding, r.before, r.before2, r.after) for r in rows.collect()]
+    assert got == [(2, "A1b2C3d4E5f6G7h8", "api_key", "set", "now"),
+                   (8, "1234567890123456", "and", "//x.io/aaaaaaaaaaaaaaaa", "")]
+
+
+def test_forest_removes_false_positives(spark):
+    rng = random.Random(4)
+    rows = []
+    for d in range(120):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        number = "".join(rng.choice("0123456789") for _ in range(16))
+        rows.append((d, f'the token = "{key}" here', "app/config.env"))
+        rows.append((1000 + d, f"the order {number} was sent", "docs/a.txt"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = S.scan(docs).collect()
+    assert len(got) == 240 and all(r.is_secret == (r.id < 1000) for r in got)
+    # Reviewed findings outweigh the seed rule: here numbers are the secrets.
+    review = S.findings(docs).select("id", "place", F.when(F.col("id") < 1000, 0).otherwise(1).alias("label"))
+    got = S.scan(docs, review).collect()
+    assert all(r.is_secret == (r.id >= 1000) for r in got)
+
+
+def test_coverage_counts_words_of_two_texts(spark):
+    docs = spark.createDataFrame(
+        [(1, "house garden", ""), (2, "the house here", ""), (3, "house-4711-xgarden1", "")],
+        "doc_id int, text string, source string",
+    )
+    found = S.findings(docs)
+    assert [tuple(r) for r in S.coverage(found, docs).collect()] == [("house-4711-xgarden1", 5)]
+
+
+def test_secret_edges(edges, empty):
+    got = [(r.id, r.finding, r.score) for r in S.scan(edges).collect()]
+    assert got == [(1, "9f8a7b6c5d4e3f2a1b0c", 1.0)]  # one class only: nothing is removed
+    assert S.scan(empty).count() == 0
+
+
+# --- licenses -----------------------------------------------------------------------------
+
+
+def base(text):
+    """Base phrases by walking over the words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(_LOWER))
+    hits = [
+        (i, label) for phrase, label in L.BASE_PHRASES.items() for i in range(len(words))
+        if words[i : i + len(phrase.split())] == phrase.split()
+    ]
+    starts = [i for i, _ in hits]
+    return (len(words), len(hits), min(starts, default=None), max(starts, default=None),
+            ",".join(sorted({x for _, x in hits})))
+
+
+def test_base_places(spark, documents, edges):
+    extra = spark.createDataFrame(
+        [(900, "CC BY cc-by cc by; All rights\nreserved. general PUBLIC license all rights Reserved"),
+         (901, "xcc by cc byx allrights reserved ccé by")], "doc_id long, text string")
+    for df in (documents.select("doc_id", "text").union(extra), edges):
+        for r in L.digest(L.find_notices(df)).join(
+            df.select("doc_id", "text").distinct(), "doc_id"
+        ).collect():
+            if df is edges and r.doc_id == 1:
+                continue  # two texts
+            got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)
+            assert got == base(r.text)
+            assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+@pytest.mark.parametrize("notice", sorted(L.NOTICES))
+def test_every_match_within_the_edits_is_found(notice):
+    rng, finder = random.Random(notice), L.Finder(L.NOTICES, L.BASE_PHRASES)
+    k = L.edits_allowed(notice)
+    whole = regex.compile(rf"(?b)\b(?:{notice}){{e<={k}}}\b")
+    for edits in range(k + 2):
+        for _ in range(12):
+            chars = list(notice)
+            for _ in range(edits):
+                i = rng.randrange(1, len(chars) - 1)
+                op = rng.random()
+                if op < 0.4:
+                    chars[i] = rng.choice("abcxyz")
+                elif op < 0.7:
+                    chars.insert(i, rng.choice("abcxyz"))
+                else:
+                    del chars[i]
+            text = f"zu qo {''.join(chars)} wi zu"
+            m = whole.search(" ".join(re.findall("[0-9a-z]+", text)))
+            hits = [h for h in finder.hits(text)[1] if not h["base"]]
+            assert bool(m) <= bool(hits)
+            if m:
+                fewest = min(h["edits"] for h in hits)
+                assert fewest <= sum(m.fuzzy_counts)
+
+
+def test_variants_go_to_the_closest_notice(spark):
+    df = spark.createDataFrame(
+        [(1, "Licensed under CC BY-NC 4.0."), (2, "Released under the MIT Licence."),
+         (3, "Lic3nsed under the Apache  Lisense"), (4, "nothing")], "doc_id int, text string")
+    got = {r.doc_id: (r.labels, r.base_labels, round(r.score, 2)) for r in
+           L.digest(L.find_notices(df)).collect()}
+    assert got[1][:2] == ("cc-by,cc-by-nc", "cc-by") and got[2][:2] == ("mit", "")
+    assert got[3][0] == "apache" and 0.9 < got[3][2] < 1 and got[4] == ("", "", 0.0)
+
+
+def test_license_edges(edges, empty):
+    rows = L.find_notices(edges).collect()
+    assert len(rows) == edges.count() and rows[0]["a.b"] == "own a.b"
+    assert L.digest(L.find_notices(empty)).count() == 0
+
+
+# --- decontamination ----------------------------------------------------------------------
+
+
+def test_copies_in_documents(spark, documents):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    got = {(r.id, r.item) for r in D.find_copies(documents, items).collect()}
+    texts, passages = documents.collect(), items.collect()
+    exact = {(d.doc_id, i.item_id) for d in texts for i in passages if i.text in d.text}
+    assert exact and exact <= got
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    for d, i in got - exact:  # the rest holds most of the item's windows
+        a = words(next(x.text for x in texts if x.doc_id == d))
+        b = words(next(x.text for x in passages if x.item_id == i))
+        own = {tuple(a[k : k + 5]) for k in range(len(a) - 4)}
+        inside = [tuple(b[k : k + 5]) in own for k in range(len(b) - 4)]
+        assert sum(inside) >= 0.8 * len(inside) or sum(inside) >= 9
+
+
+ITEM = "A train leaves Paris at 9 with 40 kg of rice, then Paris sends 40 kg more to Rome at 12 today again."
+
+
+@pytest.mark.parametrize("blocks", [10**6, 7])
+def test_slots(spark, blocks):
+    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "too short")], "item_id int, text string")
+    texts = {
+        1: "zzz. " + ITEM + " end",
+        2: ITEM.replace("Paris", "Lima").replace("40", "5,500").replace("Rome", "Oslo"),
+        3: ITEM.replace("Paris", "Lima", 1),  # one name twice becomes two
+        4: ITEM.upper().replace(".", "!!"),
+        5: "something else entirely, with 40 kg of rice",
+        6: ITEM[:50],
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    rows = D.find_copies(df, items, broadcast_windows=blocks).collect()
+    got = {r.id: r.kind for r in rows}
+    assert got[1] == "exact" and got[2] == "reparameterised" and 3 not in got and 5 not in got
+    slots = {tuple(s) for s in next(r for r in rows if r.id == 2).slots}
+    assert ("name", "paris", "lima") in slots and ("number", "40", "5,500") in slots
+    kept = {r.doc_id for r in D.clean(df, items).collect()}
+    assert kept == set(texts) - set(got)
+
+
+def test_decontamination_edges(spark, edges, empty):
+    items = spark.createDataFrame([(1, EDGE_ITEM), (1, EDGE_ITEM)], "item_id int, text string")
+    got = sorted((r.id is None, r.id, r.item) for r in D.find_copies(edges, items).collect())
+    assert got == [(True, None, 1)]
+    assert D.clean(edges, items).count() == edges.count() - 2  # both rows without an id
+    assert D.find_copies(empty, items).count() == 0
+    assert D.clean(edges, items.where("false")).count() == edges.count()
+
+
+EDGE_ITEM = "a row without an id, all rights reserved"
