@@ -27,5 +27,6 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert set(ORACLES) <= entry.oracle_sql().keys() <= entry.queries().keys()
+    assert set(QUERIES) <= entry.queries().keys()
     assert "checks.registry" in sys.modules
