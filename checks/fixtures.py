@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.operators.categorize import KEYWORDS, keyword_category
-from pagesift.sources.staging import spread
 
 TITLES = (
     "About the company", "Our products", "Key features", "Pricing plans", "Customer reviews",
@@ -24,9 +23,7 @@ def quoted(text: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = {"documents": "doc_id", "pages": "page_id"}.get(name)
-    return spread(rows, key) if key else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- sections made of documents -------------------------------------------------
@@ -82,6 +79,8 @@ doc_sections AS (
 
 # What is replaced in the html, in order, by page_id % 7.
 LAYOUTS: dict[int, tuple[tuple[str, str], ...]] = {
+    # end tags that close nothing
+    0: (("</p><p>", "</p></ul><p>"), ("</h1>", "</td></h1></section>"), ("<br>", "</table><br>")),
     # headings of three levels, and one without a title
     1: (
         ("</p><p>", "</p><h3>Product <i>detail</i></h3><p>"),
@@ -101,7 +100,7 @@ LAYOUTS: dict[int, tuple[tuple[str, str], ...]] = {
     ),
     # the heading too deep for its text, in a box
     5: (
-        ("<article><h1>", '<article><section class="Big-Card x"><div><div><h1>'),
+        ("<article><h1>", '<article><section data-y="a class=none" class="Big-Card x"><div><div><h1>'),
         ("</h1>", "</h1></div></div></section>"), ("<h1>", "<h1>News: "),
     ),
     # the heading in a table cell, its text in the next one
@@ -110,13 +109,18 @@ LAYOUTS: dict[int, tuple[tuple[str, str], ...]] = {
         ("</h1>", "</h1></td><td>Size <b>5</b></td></tr><tr><td>no part</td></tr></table>"),
     ),
 }
+# Elements that are never closed, beside others of the same name that are, by page_id % 11.
+OPEN: dict[int, tuple[tuple[str, str], ...]] = {
+    4: (("</p><p>", "</p><table><tr><td>a<td>b</td></tr></table><p>"), ("<br>", "<ul><li>c<li>d</ul>")),
+    7: (("</h1>", "</h1><div>open "), ("</p><p>", "</p><ol><li>e</ol><section><p>f</section><p>")),
+}
 MAIN = (("<article>", "<main>"), ("</article>", "</main>"))  # where page_id % 14 = 3
 # Metadata put behind the charset, by page_id % 4; N stands for the page_id.
 META: dict[int, str] = {
-    0: '<meta content="About &amp; more N" name="description">'
+    0: '<meta content="set name=description here" name="keywords"><meta content="About &amp; more N" name="description">'
     '<link rel="alternate canonical" href="https://canon.example.com/N">',
     1: "<meta name='description' content=''><meta property=\"og:description\" content=\"Social N\">",
-    2: '<meta name="description" content="Plain N"><meta property="og:description" content="S">'
+    2: '<meta data-x="1 content=bad" name="description" content="Plain N"><meta property="og:description" content="S">'
     "<link rel=stylesheet href=x.css><link href='/p/N' rel='canonical'>",
 }
 CHARSET = '<meta charset="utf-8">'
@@ -141,6 +145,8 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html
     for rest, pairs in LAYOUTS.items():
         out = F.when(page_id % 7 == rest, _replaced(html, pairs)).otherwise(out)
+    for rest, pairs in OPEN.items():
+        out = F.when(page_id % 11 == rest, _replaced(out, pairs)).otherwise(out)
     out = F.when(page_id % 14 == 3, _replaced(out, MAIN)).otherwise(out)
     meta = F.lit("")
     for rest, text in META.items():
@@ -159,10 +165,15 @@ def _layout_sql() -> str:
         f"WHEN {rest} THEN replace({quoted(text)}, 'N', page_id::VARCHAR)"
         for rest, text in META.items()
     )
+    opened = " ".join(
+        f"WHEN {rest} THEN {_replaced_sql('html', pairs)}" for rest, pairs in OPEN.items()
+    )
     return f"""
-laid_out AS (
+first_layout AS (
   SELECT page_id, url, CASE page_id % 7 {cases} ELSE html END AS html,
          CASE page_id % 4 {metas} ELSE '' END AS meta FROM pages),
+laid_out AS (
+  SELECT page_id, url, CASE page_id % 11 {opened} ELSE html END AS html, meta FROM first_layout),
 layout_pages AS MATERIALIZED (
   SELECT page_id, url,
     CASE WHEN page_id % 25 = 1 THEN {quoted(EMPTY_HTML)} WHEN page_id % 25 = 2 THEN ''

@@ -23,7 +23,9 @@ from pagesift.operators import filters as FL
 from pagesift.operators import numbering as N
 from pagesift.operators import reports as R
 from pagesift.operators import sections as S
-from pagesift.plans.site_report import listed_sections, site_report, submitted_report
+from pagesift.plans.site_report import (
+    listed_sections, report_prompts, site_report, submitted_report,
+)
 from pagesift.sources import outputs as O
 from pagesift.sources import pages as P
 from pagesift.sources import rules as RU
@@ -208,6 +210,26 @@ def _rules_overlay(spark, sf):
     return RU.overlay_rules(found("sources", "source"), defaults)
 
 
+_USER_RULES = {
+    "min_word_count": 9, "excluded_section_titles": ["pricing", "overview"],
+    "boilerplate_keywords": ["licensed under", "erat"],
+}
+_OVERLAID = RU.FilterRules(**{
+    **vars(RU.DEFAULT_RULES), **{k: v if k == "min_word_count" else tuple(v)
+                                 for k, v in _USER_RULES.items()},
+})
+
+
+@register("filter_custom_rules", Q.with_(
+    DOC_SECTIONS, Q.cleaned("doc_sections"), Q.filtered("cleaned", rules=_OVERLAID)) + f"""
+SELECT {_ROWS} FROM kept""")
+def _filter_custom_rules(spark, sf):
+    user, defaults = (RU.rules_table(spark, r) for r in (_USER_RULES, RU.DEFAULT_RULES))
+    rules = RU.rules_from_table(RU.overlay_rules(user, defaults))
+    kept = FL.filter_sections(doc_sections(spark, sf), rules, order_by=["pos"])
+    return kept.select(*_ROWS.split(", "))
+
+
 # --- repeats and page dumps -----------------------------------------------------------
 
 
@@ -289,13 +311,14 @@ def _prompt_batches(spark, sf):
 
 @register("apply_replies", _NUMBERED + f"""
 SELECT pos, batch_id, batch_pos, CASE
-    WHEN batch_id % 6 IN (3, 4, 5) THEN {category_sql('section_title')}
-    WHEN batch_id % 6 = 1 AND batch_pos >= 2 THEN 'Other'
+    WHEN batch_id % 9 >= 3 THEN {category_sql('section_title')}
+    WHEN batch_id % 9 = 1 AND batch_pos >= 2 THEN 'Other'
     ELSE 'Label ' || ((batch_id + batch_pos) % 7) END AS ai_category FROM batched""")
 def _apply_replies(spark, sf):
-    """Replies in full, too short, fenced and too long, broken, not an array, and missing."""
+    """Replies in full, too short, fenced and too long; broken, not an array, missing, with
+    other quotes, with another key behind the array, and with a comma too many."""
     numbered = C.with_batch(_numbered(spark, sf))
-    batch, kind = F.col("batch_id"), F.col("batch_id") % 6
+    batch, kind = F.col("batch_id"), F.col("batch_id") % 9
     size = F.when(kind == 1, 2).when(kind == 2, 25).otherwise(20)
     labels = F.transform(
         F.sequence(F.lit(0), size - 1),
@@ -306,6 +329,9 @@ def _apply_replies(spark, sf):
         F.when(kind == 2, F.concat(F.lit("```json\n"), array, F.lit("\n```\nDone.")))
         .when(kind == 3, F.concat(array, F.lit(" as you asked")))
         .when(kind == 4, F.concat(F.lit('{"labels": '), array, F.lit("}")))
+        .when(kind == 6, F.translate(array, '"', "'"))
+        .when(kind == 7, F.concat(array, F.lit(', "labels": ["Z"]')))
+        .when(kind == 8, F.concat(F.lit("["), F.array_join(labels, ", "), F.lit(",]")))
         .otherwise(array)
     )
     replies = numbered.select("batch_id").distinct().where(kind != 5)
@@ -315,6 +341,23 @@ def _apply_replies(spark, sf):
     return C.with_batch(applied).select("pos", "batch_id", "batch_pos", "ai_category")
 
 
+_TOPICS = ("Prose & verse", "Lists", "Other")
+
+
+@register("prompt_categories", _NUMBERED + f"""
+SELECT batch_id, count(*) AS n_sections,
+  'Categorize each of the following website sections into one of these categories:' || chr(10)
+  || chr(10) || {" || chr(10) || ".join(quoted('- ' + c) for c in _TOPICS)} || chr(10) || chr(10)
+  || 'Sections to categorize:' || chr(10)
+  || string_agg((batch_pos + 1) || '. Title: "' || section_title || '" | Content preview: "'
+       || content[1:200] || '..."', chr(10) ORDER BY batch_pos) AS head
+FROM batched GROUP BY batch_id""")
+def _prompt_categories(spark, sf):
+    prompts = C.prompt_batches(_numbered(spark, sf), _TOPICS)
+    head = F.substring_index("prompt", "\n\nRespond with a JSON array", 1)
+    return prompts.select("batch_id", "n_sections", head.alias("head"))
+
+
 # --- reports --------------------------------------------------------------------------
 
 
@@ -431,10 +474,10 @@ urls AS (SELECT row_id AS url_no, {Q.strip('"Website"')} AS url FROM listed_urls
          WHERE "Website" IS NOT NULL AND {Q.strip('"Website"')} <> '')"""
 _NORMAL = "CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://' || url END"
 _HOST = f"regexp_extract(regexp_extract({_NORMAL}, '^https?://([^/?#]*)', 1), '^[^:]*')"
-_VALID = (
-    f"regexp_full_match({_HOST}, '([a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?)"
-    r"(\.[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}')"
-)
+_LABELS = f"string_split({_HOST}, '.')"
+_VALID = f"""(len({_LABELS}) >= 2 AND regexp_full_match({_LABELS}[-1], '[a-zA-Z][a-zA-Z]+')
+  AND list_bool_and(list_transform({_LABELS}, lambda x: regexp_full_match(x, '[a-zA-Z0-9-]+')
+    AND NOT starts_with(x, '-') AND NOT ends_with(x, '-'))))"""
 
 
 def _urls(spark, sf) -> DataFrame:
@@ -453,6 +496,27 @@ def _url_csv_scan(spark, sf):
     return urls.join(rows, urls["url_no"] == rows["No"]).drop("No")
 
 
+@register("url_csv_files", Q.with_(LISTED_URLS, """
+ordered AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN row_id % 9 = 0 THEN 0
+    WHEN row_id % 9 < 7 THEN 1 ELSE 2 END, row_id) AS url_no FROM listed_urls)""", f"""
+tidy AS (SELECT url_no, {Q.strip('"Website"')} AS url, "Rank"::INT AS rank FROM ordered
+         WHERE {Q.strip('"Website"')} <> '')""") + """
+SELECT url_no, url, last_value(rank) OVER (PARTITION BY url ORDER BY url_no
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS source_rank FROM tidy""")
+def _url_csv_files(spark, sf):
+    """Files of unequal sizes, the largest one in the middle; the scan's own order counts."""
+    folder, rest = new_folder(spark, "urls"), F.col("row_id") % 9
+    rows = listed_urls(spark, sf)
+    for i, own in enumerate((rest == 0, (rest > 0) & (rest < 7), rest >= 7)):
+        one = rows.where(own).repartition(1).sortWithinPartitions("row_id").drop("row_id")
+        O.write_csv(one, f"{folder}/{i}")
+    scanned = SU.read_url_csv(spark, f"{folder}/*")
+    meta = SU.url_metadata(scanned, "row_id", "Website").select("url", "source_rank")
+    return SU.url_list(scanned, "row_id", "Website").join(meta, "url", "left").select(
+        "url_no", "url", "source_rank"
+    )
+
+
 @register("url_column_resolve", Q.with_(LISTED_URLS) + """
 SELECT row_id AS url_no, trim("Site Name") AS first_column, "Website" AS website
 FROM listed_urls WHERE "Website" IS NOT NULL AND trim("Website") <> ''""")
@@ -543,7 +607,7 @@ _SECTION = "page_id, sec_no, section_title, section_level, content, content_sour
 
 def _meta_query(column: str) -> None:
     def run(spark, sf):
-        return S.page_meta(layout_pages(spark, sf)).select("page_id", column)
+        return S.page_meta(layout_pages(spark, sf), [column]).select("page_id", column)
 
     name = "meta_description" if column == "description" else column
     register(name, Q.with_(LAYOUT_PAGES, Q.tokens(), Q.META) + f"""
@@ -603,7 +667,7 @@ _HOLDERS = "|".join(S.HOLDER_CLASSES)
 boxes AS (
   SELECT o.page_id, o.pos, o.depth, coalesce((SELECT min(s.pos) FROM steps s
       WHERE s.page_id = o.page_id AND s.pos > o.pos AND s.low < o.depth), 1000000000) AS box_end
-  FROM steps o WHERE o.tag IN ('section', 'article', 'div')
+  FROM steps o WHERE o.tag IN ('section', 'article', 'div') AND o.turn = 1
     AND regexp_matches(coalesce({Q.attribute('o.t', 'class')}, ''), '(?i){_HOLDERS}')),
 chosen AS (
   SELECT h.page_id, h.pos, t.title, max_by(struct_pack(a := b.pos, z := b.box_end), b.depth) AS box
@@ -682,6 +746,31 @@ def _pages_to_report(spark, sf):
     )
 
 
+_PICKED = " ".join(f"WHEN {i} THEN {quoted(c)}" for i, c in enumerate(C.CATEGORIES))
+
+
+@register("replies_to_report", _LISTED_SECTIONS + "," + ",".join((f"""
+numbered AS (SELECT *, row_number() OVER (ORDER BY url_no, sec_no) - 1 AS i FROM listed_sections),
+shaped AS (SELECT * EXCLUDE (i), CASE WHEN i // 20 % 3 = 1
+    THEN CASE (i // 20 + i % 20) % {len(C.CATEGORIES)} {_PICKED} END
+    ELSE {category_sql('section_title')} END AS ai_category FROM numbered)""",
+    Q.cleaned("shaped"), Q.filtered("cleaned", "url_no, sec_no"))) + """
+SELECT url_no, sec_no, url, page_title, description, canonical_url, section_title, section_level,
+  content, ai_category FROM kept""")
+def _replies_to_report(spark, sf):
+    """Every third batch is answered, every third with something unreadable, the rest not."""
+    urls, pages = _urls(spark, sf), layout_pages(spark, sf)
+    batch = F.col("batch_id")
+    names = F.array(*[F.lit(c) for c in C.CATEGORIES])
+    labels = F.transform(
+        F.sequence(F.lit(0), F.lit(19)),
+        lambda k: F.get(names, ((batch + k) % len(C.CATEGORIES)).cast("int")),
+    )
+    reply = F.when(batch % 3 == 1, F.to_json(labels)).otherwise("Sorry: ['Other']")
+    prompts = report_prompts(urls, pages).where(batch % 3 > 0)
+    return site_report(urls, pages, replies=prompts.select("batch_id", reply.alias("reply")))
+
+
 _SUBMITTED = "raw_" + _URLS.strip() + f""",
 urls AS (SELECT n AS url_no, {_NORMAL} AS url FROM (
     SELECT url, row_number() OVER (ORDER BY url_no) AS n FROM raw_urls) WHERE {_VALID})"""

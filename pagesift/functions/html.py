@@ -38,14 +38,29 @@ def is_tag(token: Column) -> Column:
     return token.startswith("<") & token.rlike("^<[a-zA-Z/!?]")
 
 
+# One attribute after another from the start of a tag, so that nothing inside a quoted
+# value is taken for an attribute.
+_VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?+)?+"""
+
+
+def _up_to(name: str) -> str:
+    """A tag from its start to the first attribute of a name, without the value."""
+    other = rf"[\s/]++(?!{name}[\s=/>]|{name}\z)[^\s=/>]++{_VALUE}"
+    return rf"(?i)^<[a-zA-Z][^\s/>]*+(?:{other})*+[\s/]++{name}(?=[\s=/>]|\z)"
+
+
 def has_attribute(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?i)\s{name}\s*=")
+    return tag.rlike(rf"{_up_to(name)}\s*+=")
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute; '' if it is empty or missing, null for no tag."""
-    pattern = rf"""(?i)\s{name}\s*=\s*(["']?)((?<=")[^"]*|(?<=')[^']*|[^\s"'>]+)"""
-    return let(F.regexp_extract(tag, pattern, 2), decode_entities)
+    """Decoded value of an attribute; '' if it is empty or missing, null for no tag.
+
+    Of attributes with one name the first counts.
+    """
+    pattern = rf"""{_up_to(name)}\s*+=\s*+("[^"]*+|'[^']*+|[^\s>"'][^\s>]*+)"""
+    value = F.regexp_extract(tag, pattern, 1)
+    return let(F.regexp_replace(value, "^[\"']", ""), decode_entities)
 
 
 def head_tags(markup: Column | str) -> Column:

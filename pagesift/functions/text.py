@@ -121,9 +121,11 @@ def contains_any(c: Column, needles: Iterable[str]) -> Column:
 
 def _entity(name: Column) -> Column:
     """The character an entity name stands for, or null."""
-    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(
-        F.substring(name, 2, 10)
-    )
+    is_hex = name.rlike("^#[xX]")
+    digits = F.regexp_replace(name, "^#[xX]?0*", "")
+    # More than seven digits are beyond the last character, whatever they are.
+    short = F.when(F.length(digits) <= 7, digits).otherwise("9999999")
+    number = F.when(is_hex, F.conv(short, 16, 10)).otherwise(short)
 
     def char(code: Column) -> Column:
         legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -132,7 +134,7 @@ def _entity(name: Column) -> Column:
 
     pairs = "\n".join(f"{k}\t{v}" for k, v in ENTITIES.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
-    return F.when(name.startswith("#"), let(digits.try_cast("long"), char)).when(
+    return F.when(name.startswith("#"), let(F.coalesce(number.try_cast("long"), F.lit(0)), char)).when(
         name != "", F.try_element_at(table, name)
     )
 
@@ -140,7 +142,7 @@ def _entity(name: Column) -> Column:
 def decode_entities(c: Column | str) -> Column:
     """Resolve character references once, left to right (``&amp;nbsp;`` gives ``&nbsp;``)."""
     text = _col(c)
-    pattern = r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]*);"
+    pattern = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 
     def piece(p: Column, i: Column) -> Column:
         def solved(name: Column) -> Column:

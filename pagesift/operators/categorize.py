@@ -105,14 +105,19 @@ def prompt_batches(
 def reply_labels(reply: Column | str) -> Column:
     """The array of labels in a reply, or null if it is not one JSON array.
 
-    A reply may stand in a code fence. It is parsed as the value of a wrapper object,
-    so that text after the array makes it invalid instead of being passed over.
+    A reply may stand in a code fence. It has to be valid both as the value of an object
+    and as the only element of an array: a parser passes over what follows a whole value,
+    and no text that goes on after the array fits into both.
     """
     text = strip(reply)
     fenced = F.regexp_replace(F.split_part(text, F.lit("```"), F.lit(2)), "^json", "")
     body = F.when(text.startswith("```"), fenced).otherwise(text)
-    wrapped = F.concat(F.lit('{"labels":'), body, F.lit("}"))
-    return F.from_json(wrapped, "labels array<string>")["labels"]
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    value = F.from_json(
+        F.concat(F.lit('{"labels":'), body, F.lit("}")), "labels array<string>", strict
+    )["labels"]
+    alone = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<array<string>>", strict)
+    return F.when((F.size(alone) == 1) & F.get(alone, 0).isNotNull(), value)
 
 
 def apply_replies(

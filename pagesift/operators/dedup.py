@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesift.functions.columns import named
-from pagesift.operators.skew import HOT_ROWS, join_skewed
+from pagesift.sources.staging import stage
 
 # Levels of sub-sections, and when a first heading counts as a dump.
 SUB_LEVELS = ("h2", "h3", "h4", "h5", "h6")
@@ -46,7 +46,7 @@ def with_probes(sections: DataFrame) -> DataFrame:
     )
 
 
-def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def page_dumps(sections: DataFrame) -> DataFrame:
     """The ``h1`` rows that repeat the page: a subset of ``sections``, all columns.
 
     An ``h1`` is a dump if its URL has at least three sub-sections, its text is
@@ -56,9 +56,10 @@ def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ``sections`` should be a table. The lengths are compared before any text moves:
     where an ``h1`` can still be a dump, the sub-sections of its URL together are
     shorter than 1.25 times that ``h1``, which bounds the openings collected per URL
-    whatever number of rows the URL has. URLs with very many rows are salted.
+    whatever number of rows the URL has. The openings are written before they are
+    collected: an aggregate on the join's own key would keep adaptive execution from
+    splitting a URL with very many rows.
     """
-    n_rows = sections.count()
     probed = sections if "_opening" in sections.columns else with_probes(sections)
     is_sub, length = F.col("section_level").isin(*SUB_LEVELS), F.col("_length")
     share = F.lit(MIN_LENGTH_SHARE)
@@ -76,17 +77,12 @@ def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         )
         .drop("_h1_length")
     )
-    # The URLs with most rows are those the semi join removes, so it is salted, too.
+    numbers = stage(numbers, "dump-numbers")
     starts = probed.where(F.col("_opening").isNotNull()).select("url", "_opening")
-    openings = (
-        join_skewed(starts, numbers.select("url"), ["url"], "left_semi", hot_rows, n_rows=n_rows)
-        .groupBy("url")
-        .agg(F.collect_list("_opening").alias("_openings"))
-    )
+    found = stage(starts.join(numbers.select("url"), "url", "left_semi"), "dump-openings")
+    openings = found.groupBy("url").agg(F.collect_list("_opening").alias("_openings"))
     heads = probed.where(F.col("section_level") == "h1").drop("_opening")
-    tested = join_skewed(
-        heads, numbers.join(openings, "url"), ["url"], "inner", hot_rows, n_rows=n_rows
-    )
+    tested = heads.join(numbers.join(openings, "url"), "url")
     held = F.size(F.filter("_openings", lambda o: F.col("content").contains(o)))
     is_dump = (length > F.col("_sub_length") * share) & (2 * held >= F.col("_n_sub"))
     return (
@@ -96,11 +92,11 @@ def page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def remove_page_dumps(sections: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def remove_page_dumps(sections: DataFrame) -> DataFrame:
     """Drops every row that shares URL, title and level with a page dump."""
     keys = ["url", "section_title", "section_level"]
-    doomed = page_dumps(sections, hot_rows).select(*keys).distinct()
-    left = join_skewed(sections, doomed, keys, "left_anti", hot_rows)
+    doomed = stage(page_dumps(sections).select(*keys).distinct(), "dumps")
+    left = sections.join(doomed, keys, "left_anti")
     return left.select(
         *named(c for c in sections.columns if c not in ("_length", "_opening"))
     )

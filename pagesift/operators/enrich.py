@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.columns import named
 from pagesift.functions.text import text_or_empty
-from pagesift.operators.skew import HOT_ROWS, join_skewed
 
 # The columns of a published section table, in order.
 META_COLUMNS = ("page_title", "description", "canonical_url")
@@ -25,14 +24,12 @@ def shape_sections(sections: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def add_source_columns(
-    sections: DataFrame, metadata: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def add_source_columns(sections: DataFrame, metadata: DataFrame) -> DataFrame:
     """Joins the ``source_*`` columns of ``metadata`` by URL; unknown URLs get nulls.
 
-    ``sections`` should be a table. ``metadata`` grows with the URL list, so whether
-    it is broadcast is left to Spark's size check.
+    ``metadata`` grows with the URL list, so whether it is broadcast is left to Spark's
+    size check; a URL with very many rows is on the left, where adaptive execution splits it.
     """
     if len(metadata.columns) < 2:
         return sections
-    return join_skewed(sections, metadata, ["url"], "left", hot_rows)
+    return sections.join(metadata, ["url"], "left")

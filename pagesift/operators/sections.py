@@ -13,12 +13,16 @@ keys and runs without another shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
-from pagesift.functions.text import collapse_space, decode_entities, let, strip, text_or_empty
+from pagesift.functions.text import (
+    SPACE_CHARS, collapse_space, decode_entities, let, strip, text_or_empty,
+)
 from pagesift.operators.filters import freeze
 
 # Rows a page without sections stands for, and the length limit.
@@ -27,12 +31,13 @@ EMPTY_ROW = ("NO_CONTENT", "none", "No sections found on page")
 MAIN_ROW = ("Main Content", "body")
 MAX_CONTENT = 5000
 
-# Elements with a mandatory end tag count for depth.
+# Elements that hold others count for depth, each one that is opened and closed.
 CONTAINERS = (
     "html", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside",
     "ul", "ol", "dl", "table", "form", "fieldset", "figure", "blockquote", "details",
+    "li", "dt", "dd", "tr", "td", "th",
 )
-# These count for depth on pages that close them as often as they open them.
+# Those of them that end a heading when they begin.
 CELLS = ("li", "dt", "dd", "tr", "td", "th")
 # The others that start a block are often left open; they tell one sibling from the next.
 LEAVES = ("p", "caption", "pre", "address", "hr", "figcaption", "summary", "option")
@@ -55,8 +60,8 @@ HOLDER_REACH = 5
 
 _PAGE = 0  # heading position that stands for the page itself
 _ITSELF = 1 << 32  # the same, packed: position 0, depth 0, level 0
-_BLOCKS = tuple(f"{s}{t}" for t in (*CONTAINERS, *CELLS, *LEAVES, *HEADINGS, "title") for s in ("", "/"))
-_ENDS_HEADING = tuple(f"/{t}" for t in (*CONTAINERS, *CELLS, *HEADINGS)) + CELLS + LEAVES
+_BLOCKS = tuple(f"{s}{t}" for t in (*CONTAINERS, *LEAVES, *HEADINGS, "title") for s in ("", "/"))
+_ENDS_HEADING = tuple(f"/{t}" for t in (*CONTAINERS, *HEADINGS)) + CELLS + LEAVES
 _INLINE_OPEN, _INLINE_CLOSE, _INLINE_VOID = "+", "-", "0"
 
 
@@ -81,42 +86,50 @@ def _is_holder(token: Column) -> Column:
     return token.rlike(rf"(?i)^<(?:{tag})(?![a-zA-Z0-9])") & classes.rlike(words)
 
 
-def page_markup(pages: DataFrame) -> DataFrame:
-    """Pages without comments, scripts and styles, with their metadata.
+META = ("page_title", "description", "canonical_url")
+
 
-    ``page_id, url, page_title, description, canonical_url, has_html, markup``. Each
-    step is frozen, so that no tag is looked for twice.
+def page_markup(pages: DataFrame, meta: Sequence[str] = META) -> DataFrame:
+    """Pages without comments, scripts and styles, with the metadata in ``meta``.
+
+    ``page_id, url, *meta, has_html, markup``. Each step is frozen, so that no tag is
+    looked for twice; what ``meta`` leaves out is not looked for at all.
     """
     source = pages.select("page_id", "url", text_or_empty("html").alias("html"))
     markup = freeze(
         source.withColumn("has_html", F.col("html") != ""),
         markup=H.strip_elements("html", "script|style"),
     ).drop("html")
-    found = freeze(markup, _title=H.title_source("markup"), _tags=H.head_tags("markup"))
     tags = F.col("_tags")
-    chosen = freeze(
-        found,
-        _plain=H.first_meta(tags, "name", "description"),
-        _social=H.first_meta(tags, "property", "og:description"),
-        _link=H.first_canonical(tags),
-    )
-    return chosen.select(
-        "page_id", "url",
-        H.page_title(F.col("_title")).alias("page_title"),
-        H.meta_description(F.col("_plain"), F.col("_social")).alias("description"),
-        H.canonical_url(F.col("_link"), F.col("url")).alias("canonical_url"),
-        "has_html", "markup",
+    source = {}
+    if "page_title" in meta:
+        source["_title"] = H.title_source("markup")
+    if "description" in meta or "canonical_url" in meta:
+        source["_tags"] = H.head_tags("markup")
+    chosen = {}
+    if "description" in meta:
+        chosen["_plain"] = H.first_meta(tags, "name", "description")
+        chosen["_social"] = H.first_meta(tags, "property", "og:description")
+    if "canonical_url" in meta:
+        chosen["_link"] = H.first_canonical(tags)
+    found = freeze(markup, **source) if source else markup
+    found = freeze(found, **chosen) if chosen else found
+    values = {
+        "page_title": lambda: H.page_title(F.col("_title")),
+        "description": lambda: H.meta_description(F.col("_plain"), F.col("_social")),
+        "canonical_url": lambda: H.canonical_url(F.col("_link"), F.col("url")),
+    }
+    return found.select(
+        "page_id", "url", *[values[c]().alias(c) for c in meta], "has_html", "markup"
     )
 
 
-def page_meta(pages: DataFrame) -> DataFrame:
-    """``page_id, url, page_title, description, canonical_url``."""
-    return page_markup(pages).drop("has_html", "markup")
+def page_meta(pages: DataFrame, meta: Sequence[str] = META) -> DataFrame:
+    """``page_id, url`` and the metadata in ``meta``."""
+    return page_markup(pages, meta).drop("has_html", "markup")
 
 
-def page_pieces(
-    pages: DataFrame, holders: bool = False, wanted: DataFrame | None = None
-) -> DataFrame:
+def page_pieces(pages: DataFrame, holders: bool = False) -> DataFrame:
     """One row per tag and non-blank text of a page, in document order.
 
     ``pos`` counts from 1; ``tag`` is '' for a text and a sign for an inline tag. Every
@@ -125,8 +138,6 @@ def page_pieces(
     ``holders``, ``holder`` marks opening tags that look like section containers.
 
     The pages are hashed by ``page_id`` when all that is left of them are the pieces.
-    ``wanted`` has the ids of the pages to keep, each once; they are joined at that
-    point, so that no html is shuffled (a semi join would be pushed down to the scan).
     """
 
     def piece(t: Column) -> Column:
@@ -150,8 +161,7 @@ def page_pieces(
             F.transform(H.tokens(content), piece), lambda x: (x["tag"] != "") | (x["text"] != "")
         ),
     ).select("page_id", "page", "pieces")
-    placed = narrow.repartition("page_id") if wanted is None else narrow.join(wanted, "page_id")
-    rows = placed.select(
+    rows = narrow.repartition("page_id").select(
         "page_id", "page", F.posexplode_outer("pieces").alias("_i", "piece")
     )
     index = F.coalesce("_i", F.lit(0))
@@ -186,9 +196,39 @@ def _level(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit(7)).cast("int")
 
 
+def _with_turns(pieces: DataFrame) -> DataFrame:
+    """Adds ``_turn``: 1 where a container opens that is closed later, -1 where one is closed.
+
+    Both are told per name from the running balance of its tags: an end tag has no open
+    element if it takes the balance to a new low, and an element is never closed if the
+    balance stays above where it was opened. Such tags turn nothing.
+    """
+    tag = F.col("tag")
+    name = F.when(tag.isin(*CONTAINERS), tag).when(
+        tag.isin(*[f"/{t}" for t in CONTAINERS]), F.substr(tag, F.lit(2))
+    )
+    step = F.when(F.col("_name").isNull(), 0).when(tag.startswith("/"), -1).otherwise(1)
+    own = W.partitionBy("page_id", "_name").orderBy("pos")
+    back = W.partitionBy("page_id", "_name").orderBy(F.col("pos").desc())
+    upto = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    stepped = pieces.withColumn("_name", name).withColumn("_step", step)
+    level = stepped.withColumn("_level", F.sum("_step").over(upto))
+    before = F.min("_level").over(own.rowsBetween(W.unboundedPreceding, -1))
+    after = F.min("_level").over(back.rowsBetween(W.unboundedPreceding, W.currentRow))
+    bounded = level.withColumns({"_before": before, "_after": after})
+    lonely = F.when(
+        F.col("_step") < 0, F.col("_level") < F.least(F.coalesce("_before", F.lit(0)), F.lit(0))
+    ).otherwise(F.col("_after") >= F.col("_level"))
+    turn = F.when(lonely, 0).otherwise(F.col("_step"))
+    return bounded.withColumn("_turn", turn).drop(
+        "_name", "_step", "_level", "_before", "_after"
+    )
+
+
 def _located(pieces: DataFrame) -> DataFrame:
     """Adds to every row its depth, its headings, and what surrounds it.
 
+    Two pages of one id would become one, so that fails.
     ``cover`` has the last heading of level <= L at L - 1, packed into a number that
     grows with its position, so that the last one is the running maximum.
     ``in_heading`` is the position of the heading the row lies in, or null.
@@ -208,23 +248,23 @@ def _located(pieces: DataFrame) -> DataFrame:
     def n(test: Column, frame=upto) -> Column:
         return F.count(F.when(test, 1)).over(frame)
 
-    even = pieces.withColumns({f"_even_{c}": F.sum(balance(c)).over(whole) == 0 for c in CELLS})
-    opens, closes = tag.isin(*CONTAINERS), tag.isin(*[f"/{t}" for t in CONTAINERS])
-    for c in CELLS:
-        opens = opens | ((tag == c) & F.col(f"_even_{c}"))
-        closes = closes | ((tag == f"/{c}") & F.col(f"_even_{c}"))
+    turned = _with_turns(pieces)
     inline = F.when(tag == _INLINE_OPEN, 1).when(tag == _INLINE_CLOSE, -1).otherwise(0)
-    is_block = ~tag.isin("", _INLINE_OPEN, _INLINE_CLOSE, _INLINE_VOID)
-    turned = even.withColumn("_turn", F.when(opens, 1).when(closes, -1).otherwise(0))
+    stray = tag.isin(*[f"/{t}" for t in CONTAINERS]) & (F.col("_turn") == 0)
+    is_block = ~tag.isin("", _INLINE_OPEN, _INLINE_CLOSE, _INLINE_VOID) & ~stray
+    twice = n(F.col("page").isNotNull(), whole) > 1
+    depth = F.when(
+        twice, F.raise_error(F.concat(F.lit("page_id is not unique: "), F.col("page_id")))
+    ).otherwise(F.sum("_turn").over(upto))
     deep = turned.withColumns(
         {
-            "depth": F.sum("_turn").over(upto).cast("int"),
+            "depth": depth.cast("int"),
             "_article": F.sum(balance("article")).over(upto),
             "_inline": F.sum(inline).over(upto),
         }
     )
     # An open leaf or heading is the sibling; what is inline in it separates nothing.
-    is_leaf = tag.isin(*LEAVES, *CELLS, *HEADINGS) & (F.col("_turn") == 0)
+    is_leaf = tag.isin(*LEAVES, *CONTAINERS, *HEADINGS) & (F.col("_turn") == 0)
     block = F.when(is_block, F.struct(F.col("_inline").alias("inline"), is_leaf.alias("leaf")))
     level = F.when(tag.isin(*HEADINGS), F.substring(tag, 2, 1).cast("int"))
     heading = _pack(F.col("pos"), F.col("depth"), level)
@@ -234,7 +274,7 @@ def _located(pieces: DataFrame) -> DataFrame:
             "gap": n(F.col("text") != "", before),
             "cover": F.array(*covers),
             "_block": F.last(block, ignorenulls=True).over(upto),
-            "_ended": F.max(F.when(tag.isin(*_ENDS_HEADING), F.col("pos"))).over(upto),
+            "_ended": F.max(F.when(tag.isin(*_ENDS_HEADING) & ~stray, F.col("pos"))).over(upto),
             "_in_main": (n(tag == "main") > 0) & (n(tag == "/main") == 0),
             "_in_article": (n(tag == "article") > 0)
             & (n((tag == "/article") & (F.col("_article") <= 0)) == 0),
@@ -259,7 +299,7 @@ def _located(pieces: DataFrame) -> DataFrame:
         .otherwise(~F.col("_in_title"))
     )
     return marked.select(
-        *pieces.columns, "depth", "gap", "cover", low.alias("low"), (F.col("_turn") > 0).alias("opens"),
+        *pieces.columns, "depth", "gap", "cover", low.alias("low"), F.col("_turn").alias("turn"),
         F.when(last > F.coalesce("_ended", F.lit(0)), last).alias("in_heading"),
         in_main_text.alias("in_main"),
     )
@@ -301,7 +341,7 @@ def _joined(test: Column, order: str, sep: str = "") -> Column:
     return F.array_join(F.transform(found, lambda x: x["text"]), sep)
 
 
-def _covered(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:
+def _covered(pages: DataFrame) -> DataFrame:
     """One row per text and heading that covers it, with how far it lies from the heading.
 
     ``reach`` is 0 under the heading's own parent, 1 under its grandparent and so
@@ -310,7 +350,7 @@ def _covered(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:
     """
     last_row = F.struct("text", "cover", "in_heading", "in_main")
     texts = (
-        _located(page_pieces(pages, wanted=wanted))
+        _located(page_pieces(pages))
         .groupBy("page_id", "gap")
         .agg(
             F.min("low").alias("low"),
@@ -352,9 +392,7 @@ def _covered(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:
     return reached.withColumn("path", nearest)
 
 
-def extract_sections(
-    pages: DataFrame, max_content: int | None = MAX_CONTENT, wanted: DataFrame | None = None
-) -> DataFrame:
+def extract_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT) -> DataFrame:
     """``pages(page_id, url, html)`` to sections, numbered by ``sec_no`` within a page.
 
     The content of a heading is the text up to the next heading of the same or a
@@ -362,7 +400,7 @@ def extract_sections(
     grandparent, then its great-grandparent; else all of it in document order, each
     piece once. ``content_source`` says which. Pieces of one sibling element are
     joined by a bar, siblings by a blank. A page without headings gives its main
-    text, one without text or html a row that says so. ``wanted`` as for ``page_pieces``.
+    text, one without text or html a row that says so.
     """
     path = F.col("path")
     near = path <= 2
@@ -370,7 +408,7 @@ def extract_sections(
     sibling = F.when(F.col("low") <= F.col("head_depth") - path, " ").otherwise(" | ")
     piece = F.struct("gap", "own", sibling.alias("sep"), "text")
     kept = used & (F.col("text") != "")
-    grouped = _covered(pages, wanted).groupBy("page_id", "head_pos").agg(
+    grouped = _covered(pages).groupBy("page_id", "head_pos").agg(
         F.max("level").alias("level"),
         F.max("path").alias("path"),
         F.first("page", ignorenulls=True).alias("page"),
@@ -434,77 +472,82 @@ def container_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT)
     ``article`` or ``div`` with a telling class; its text loses a leading title.
     Headings without such a container give no row.
 
-    A row knows its containers by depth: the last tag that opened depth d before it
-    opened the container it lies in at that depth.
+    Only headings are told their containers, five at most: the last tag that opened
+    depth d before a heading opened the container it lies in at that depth, and the next
+    one that closes d closes it. A page's texts are joined once; a container's text is a
+    piece of that, cut to what the title and the limit need.
     """
     rows = _located(page_pieces(pages, holders=True))
+    has_text = F.col("text") != ""
     in_title = F.col("in_heading").isNotNull()
+    page = W.partitionBy("page_id").orderBy("pos")
     title = F.array_join(
         # Rows outside of headings share a window, too; nothing is collected in it.
-        F.collect_list(F.when(in_title & (F.col("text") != ""), F.col("text"))).over(
+        F.collect_list(F.when(in_title & has_text, F.col("text"))).over(
             W.partitionBy("page_id", "in_heading").orderBy("pos").rowsBetween(
                 W.unboundedPreceding, W.unboundedFollowing
             )
         ),
         "",
     )
-    is_open = F.col("opens")
-    is_head = F.col("tag").isin(*HEADINGS)
-    parts = (
-        rows.where(is_open | is_head | (F.col("text") != ""))
-        .withColumn("title", F.when(in_title, title))
-        .where((F.col("depth") > 0) & (~is_head | (F.col("title") != "")))
-        .select(
-            "page_id", "pos", "text", "title", "depth", "holder", "opens",
-            is_head.alias("is_head"),
-            F.explode(
-                F.when(is_open, F.array("depth")).otherwise(F.sequence(F.lit(1), "depth"))
-            ).alias("at"),
-        )
+    # Where a row's text begins in the joined texts, from 0.
+    written = F.sum(F.when(has_text, F.length("text") + 1).otherwise(0))
+    placed = rows.withColumns(
+        {
+            "title": F.when(in_title, title),
+            "off": F.coalesce(written.over(page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        }
     )
-    opener = F.last(F.when(F.col("opens"), F.struct("pos", "holder")), ignorenulls=True).over(
-        W.partitionBy("page_id", "at").orderBy("pos")
+    texts = placed.where(has_text).groupBy("page_id").agg(_joined(has_text, "pos", " ").alias("whole"))
+    is_head = F.col("tag").isin(*HEADINGS) & (F.col("title") != "")
+    turn, depth = F.col("turn"), F.col("depth")
+    near = F.sequence(depth, F.greatest(depth - (HOLDER_REACH - 1), F.lit(1)), F.lit(-1))
+    marks = placed.where((turn != 0) | (is_head & (depth > 0))).select(
+        "page_id", "pos", "off", "title", "holder", "turn", is_head.alias("is_head"),
+        F.explode(
+            F.when(turn > 0, F.array(depth)).when(turn < 0, F.array(depth + 1)).otherwise(near)
+        ).alias("at"),
     )
-    inside = parts.withColumn("opener", opener).where(~F.col("opens"))
-    fits = F.col("opener.holder") & (F.col("at") > F.col("depth") - HOLDER_REACH)
-    chosen = F.max(F.when(fits, F.col("at"))).over(W.partitionBy("page_id", "pos"))
-    members = (
-        inside.withColumn("_at", chosen)
-        .where(~F.col("is_head") | (F.col("at") == F.col("_at")))
-        .withColumn("box", F.col("opener.pos"))
+    level = W.partitionBy("page_id", "at")
+    before = level.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = level.orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    opener = F.when(F.col("turn") > 0, F.struct("off", "holder"))
+    held = marks.withColumns(
+        {
+            "opener": F.last(opener, ignorenulls=True).over(before),
+            "end": F.last(F.when(F.col("turn") < 0, F.col("off")), ignorenulls=True).over(after),
+        }
+    ).where(F.col("is_head") & F.col("opener.holder"))
+    chosen = held.groupBy("page_id", "pos").agg(
+        F.max_by(F.struct("title", F.col("opener.off").alias("start"), "end"), "at").alias("box")
     )
-    n_heads = F.count(F.when(F.col("is_head"), 1)).over(W.partitionBy("page_id", "box"))
-    boxes = (
-        members.withColumn("_n", n_heads)
-        .where(F.col("_n") > 0)
-        .groupBy("page_id", "box")
-        .agg(
-            _joined(F.col("text") != "", "pos", " ").alias("whole"),
-            F.collect_list(F.when(F.col("is_head"), F.struct("pos", "title"))).alias("heads"),
-        )
+    heads = chosen.groupBy("page_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "box"))).alias("heads")
     )
 
-    def content(head: Column) -> Column:
-        """Cut per heading before the headings become rows, so that none carries the whole."""
-        title = head["title"]
-        rest = strip(F.substr("whole", F.length(title) + 1, F.length("whole")))
+    def content(box: Column) -> Column:
+        """Cut before the headings become rows, so that none carries the whole page."""
+        size = box["end"] - box["start"] - 1
+        title_size = F.length(box["title"])
+        # Twice the limit, as blanks after the title do not count.
+        wanted = size if max_content is None else F.least(size, title_size + 2 * max_content + 1)
 
-        def cut(text: Column) -> Column:
-            return text if max_content is None else F.substring(text, 1, max_content)
+        def without_title(text: Column) -> Column:
+            rest = F.ltrim(F.substr(text, title_size + 1, F.length(text)), F.lit(SPACE_CHARS))
+            own = F.when(F.startswith(text, box["title"]), rest).otherwise(text)
+            return own if max_content is None else F.substring(own, 1, max_content)
 
-        return F.when(F.startswith("whole", title), cut(rest)).otherwise(cut(F.col("whole")))
+        return let(F.substr("whole", box["start"] + 1, wanted), without_title)
 
-    found = boxes.select(
+    found = heads.join(texts, "page_id").select(
         "page_id",
-        F.inline(
+        F.posexplode(
             F.transform(
                 "heads",
                 lambda h: F.struct(
-                    h["pos"].alias("pos"), h["title"].alias("section_title"),
-                    content(h).alias("content"),
+                    h["box"]["title"].alias("section_title"), content(h["box"]).alias("content")
                 ),
             )
-        ),
+        ).alias("i", "section"),
     )
-    number = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
-    return found.select("page_id", number.cast("int").alias("box_no"), "section_title", "content")
+    return found.select("page_id", (F.col("i") + 1).alias("box_no"), "section.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import flatten_newlines
 from pagesift.operators.numbering import with_row_number
 from pagesift.operators.reports import category_summary
+from pagesift.sources.staging import stage
 
 _CSV = {
     "header": True, "quote": '"', "escape": '"', "emptyValue": "",
@@ -27,8 +28,13 @@ def export_table(
     return numbered.withColumn("content", flatten_newlines("content", newline))
 
 
-def write_csv(df: DataFrame, path: str, sort_by: str | None = "row_no") -> None:
-    """A folder of CSV parts with a header; read part after part they are in order."""
+def write_csv(df: DataFrame, path: str, sort_by: str | None = None) -> None:
+    """A folder of CSV parts with a header.
+
+    What ``export_table`` returns lies in ordered parts and is written as it lies; its
+    ``row_no`` says which part comes first. With ``sort_by`` the parts are sorted
+    anew and in order one after another.
+    """
     rows = df.sort(sort_by) if sort_by else df
     rows.write.options(**_CSV).csv(path)
 
@@ -57,10 +63,15 @@ def write_report(
     summary: bool = False,
     drop: tuple[str, ...] = (),
 ) -> None:
-    """The section table, and beside it the category summary if one is asked for."""
+    """The section table, and beside it the category summary if one is asked for.
+
+    ``df`` is computed once and written before anything reads it.
+    """
+    df = stage(df, "report")
     write_csv(export_table(df, order_by, drop=drop), path)
     if summary and categorized:
         # Both outputs are numbered, the summary by URL and category.
         write_csv(
-            export_table(category_summary(df), ["url", "category"]), summary_path(path)
+            export_table(stage(category_summary(df), "summary"), ["url", "category"]),
+            summary_path(path),
         )

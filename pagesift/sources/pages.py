@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.urls import normalize_url
-from pagesift.operators.skew import HOT_ROWS, join_skewed
 
 
-def pages_for_urls(
-    urls: DataFrame, pages: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def pages_for_urls(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """``(url_no, url, page_id)``: one row per listed URL, repeats included.
 
     URLs are matched after normalising; the URL stays as it was listed. ``page_id``
-    is null where no page is stored, and the lowest one where several are. Only ids
-    and addresses are read and shuffled here, no html. ``urls`` should be a table.
+    is null where no page is stored, and the lowest one where several are. Only ids and
+    addresses are read here, no html, and only those of listed URLs are aggregated.
+    ``urls`` should be a table, as it is read twice.
     """
-    known = pages.groupBy(normalize_url("url").alias("_key")).agg(
-        F.min("page_id").alias("page_id")
-    )
     listed = urls.withColumn("_key", normalize_url("url"))
-    found = join_skewed(listed, known, ["_key"], "left", hot_rows)
-    return found.select("url_no", "url", "page_id")
+    stored = pages.select(normalize_url("url").alias("_key"), "page_id")
+    known = (
+        stored.join(listed.select("_key").distinct(), "_key", "left_semi")
+        .groupBy("_key").agg(F.min("page_id").alias("page_id"))
+    )
+    return listed.join(known, "_key", "left").select("url_no", "url", "page_id")

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RULES_SCHEMA = "rule_type string, ord int, pattern string"
 
@@ -88,16 +89,16 @@ def overlay_rules(user: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def rules_from_table(table: DataFrame) -> FilterRules:
-    """Read a rule table into plan parameters (a rule set is configuration, not data)."""
-    by_type: dict[str, list[str]] = {f.name: [] for f in fields(FilterRules)}
-    for row in table.orderBy("rule_type", "ord").toLocalIterator():
-        if row.rule_type in by_type:
-            by_type[row.rule_type].append(row.pattern)
-    words = by_type.pop("min_word_count")
-    return FilterRules(
-        min_word_count=int(words[0]) if words else FALLBACK_RULES.min_word_count,
-        **{k: tuple(v) for k, v in by_type.items()},
-    )
+    """Read a rule table into plan parameters (a rule set is configuration, not data).
+
+    Rule types without a row have the fallback, as in ``rules_of``.
+    """
+    by_type: dict[str, list[str]] = {}
+    known = table.where(F.col("rule_type").isin([f.name for f in fields(FilterRules)]))
+    for row in known.orderBy("rule_type", "ord").toLocalIterator():
+        by_type.setdefault(row.rule_type, []).append(row.pattern)
+    words = by_type.pop("min_word_count", None)
+    return rules_of(by_type | ({"min_word_count": words[0]} if words else {}))
 
 
 def rules_of(config: Mapping[str, object]) -> FilterRules:

@@ -2,28 +2,59 @@
 
 A stage that several later stages read is written once, to the shared folder the
 cluster names in ``spark.checkpoint.dir``: nothing is computed twice, the lineage
-ends there, and a lost executor costs only its own tasks.
+ends there, and a lost executor costs only its own tasks. ``staged_in`` names another
+folder for a run, and ``remove_staged`` deletes what was staged below one.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDER = "pagesift.staging.dir"
+
 
 def staging_root(spark: SparkSession) -> str:
+    """The folder a caller chose, the session's, or on one machine a temporary one."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    root = spark.conf.get(_FOLDER, "") or spark.conf.get("spark.checkpoint.dir", "")
+    root = root or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="pagesift-")
-        sc.setCheckpointDir(root)
+        spark.conf.set(_FOLDER, root)
     return root.rstrip("/")
 
 
+@contextmanager
+def staged_in(spark: SparkSession, folder: str) -> Iterator[str]:
+    """Tables staged inside the block go below ``folder``, which all executors must share."""
+    before = spark.conf.get(_FOLDER, "")
+    spark.conf.set(_FOLDER, folder)
+    try:
+        yield folder
+    finally:
+        if before:
+            spark.conf.set(_FOLDER, before)
+        else:
+            spark.conf.unset(_FOLDER)
+
+
+def remove_staged(spark: SparkSession, folder: str | None = None) -> bool:
+    """Deletes the tables staged below ``folder`` (default: the session's); True if any were.
+
+    Results that still read them cannot be computed afterwards, so write them first.
+    """
+    jvm, path = spark._jvm, f"{(folder or staging_root(spark)).rstrip('/')}/pagesift"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/pagesift/{name}-{uuid.uuid4().hex}"
 
@@ -33,13 +64,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hashes a small input by ``key`` over all cores; leaves a large one as it is.
-
-    A file of one row group is one task however long the texts in it take. Inputs
-    that already have a partition per core are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

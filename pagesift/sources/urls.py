@@ -9,6 +9,7 @@ from pagesift.functions.columns import named
 from pagesift.functions.text import strip
 from pagesift.functions.urls import is_valid_url, normalize_url
 from pagesift.operators.numbering import with_row_number
+from pagesift.sources.staging import stage
 
 # The column names tried, in order, after the requested one.
 URL_COLUMNS = ("url", "link", "website")
@@ -21,15 +22,32 @@ MISSING = (
 )
 
 
-def read_url_csv(spark: SparkSession, path: str, order: str = "row_id") -> DataFrame:
-    """A CSV file with a header row, types inferred, and its row order as a column."""
-    options = {"header": True, "inferSchema": True, "quote": '"', "escape": '"', "multiLine": True}
-    table = spark.read.options(**options).csv(path)
+def read_url_csv(
+    spark: SparkSession, path: str, order: str = "row_id", multiline: bool = False
+) -> DataFrame:
+    """CSV files with a header row, types inferred, and their row order as a column.
+
+    The order is that of the files' paths and of the rows in each, counted from 1; Spark
+    itself reads files largest first. ``multiline`` allows line feeds in quoted cells;
+    a file is one task then.
+    """
+    options = {"header": True, "inferSchema": True, "quote": '"', "escape": '"'}
+    scan = spark.read.options(multiLine=multiline, **options).csv(path)
+    place = ("_file", "_block", "_row")
+    table = stage(
+        scan.select(
+            *named(scan.columns), F.col("_metadata.file_path").alias(place[0]),
+            F.col("_metadata.file_block_start").alias(place[1]),
+            F.monotonically_increasing_id().alias(place[2]),
+        ),
+        "url-csv",
+    )
+    table = with_row_number(table, place, order).drop(*place)
     cells = [
         F.when(~col.isin(*MISSING), col).alias(c) if t == "string" else col
-        for (c, t), col in zip(table.dtypes, named(table.columns))
+        for (c, t), col in zip(scan.dtypes, named(scan.columns))
     ]
-    return table.select(F.monotonically_increasing_id().alias(order), *cells)
+    return table.select(order, *cells)
 
 
 def resolve_url_column(columns: list[str], wanted: str = "url") -> str:

@@ -102,8 +102,7 @@ def dump_cases():
     }
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
-def test_page_dumps(spark, as_table, hot_rows):
+def test_page_dumps(spark, as_table):
     data = []
     for n, (name, (h1, subs)) in enumerate(dump_cases().items()):
         data.append((n, 0, name, "Top", "h1", h1, ""))
@@ -113,9 +112,9 @@ def test_page_dumps(spark, as_table, hot_rows):
     table = as_table(spark.createDataFrame(data, SCHEMA))
     want = {name for name, (h1, subs) in dump_cases().items() if is_dump(h1, subs)}
     assert want == {"three subs", "half of four", "long prefix"}
-    found = D.page_dumps(table, hot_rows).collect()
+    found = D.page_dumps(table).collect()
     assert {r.url for r in found} == want and {r.sec_no for r in found} == {0}
-    left = {(r.url, r.sec_no) for r in D.remove_page_dumps(table, hot_rows).collect()}
+    left = {(r.url, r.sec_no) for r in D.remove_page_dumps(table).collect()}
     # rows that share URL, title and level with a dump go with it
     assert left == {(r[2], r[1]) for r in data if not (r[2] in want and r[1] in (0, 90))}
 

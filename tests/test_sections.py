@@ -61,7 +61,7 @@ def test_titles_and_entities(spark):
 def test_unclosed_and_odd_markup(spark):
     html = """<h2>T<p>a<b>b<p title="x > y" data-z='<h1>no</h1>'>c 1 < 2</div></div><!-- <h2>no</h2>
       --><script>"<h2>no</h2>"</script><STYLE>h2{}</STYLE><noscript><h2>no</h2></noscript>d<h2"""
-    assert found(spark, html) == [("T", "h2", "a | b c 1 < 2", "siblings")]
+    assert found(spark, html) == [("T", "h2", "a | b c 1 < 2 | d", "siblings")]
     assert found(spark, "<h2>T</h2>d<!-- open <h2>x</h2>") == [("T", "h2", "d", "siblings")]
     assert found(spark, "<H2 class=x>T</H2 >d<hr>e") == [("T", "h2", "d e", "siblings")]
 
@@ -139,6 +139,7 @@ def test_many_headings_on_one_page(spark):
     html = "<div class=card><h1>Top</h1>" + "".join(
         f"<div><h2>H{i}</h2><p>text <b>bold</b> {i}</p></div>" for i in range(n)
     )
+    html += "</div>"
     got = found(spark, html, max_content=None)
     assert got[-1] == (f"H{n - 1}", "h2", f"text | bold | {n - 1}", "siblings")
     assert len(got) == n + 1 and got[0][2].endswith(f"| bold | {n - 1}")
@@ -151,3 +152,51 @@ def test_one_shuffle(spark, as_table):
     plan = S.extract_sections(table)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan and "BatchEvalPython" not in plan
+
+
+def test_stray_end_tags_lose_no_text(spark):
+    for stray in ("</ul>", "</div></div>", "</td>", "</section>", "</article></main>"):
+        html = f"<body><h2>T</h2><p>one</p>{stray}<p>two</p><h2>U</h2><p>three</p></body>"
+        assert found(spark, html) == [
+            ("T", "h2", "one two", "siblings"), ("U", "h2", "three", "siblings")], stray
+    html = "<div><h2>T</h2><p>one</p></ul><p>two</p></div>"
+    assert found(spark, html) == [("T", "h2", "one two", "siblings")]
+
+
+def test_unclosed_elements_change_no_other_section(spark):
+    part = "<div><div><h2>B</h2></div><div>b</div></div><div>other</div>"
+    closed = "<table><tr><td>x</td></tr></table>"
+    for name in ("td", "li", "div", "section", "tr"):
+        html = f"<h1>A</h1><p>a</p><{name}>open<p>c</p><h1>N</h1>{part}{closed}"
+        got = found(spark, html)
+        assert ("B", "h2", "b", "parent_siblings") in got, name
+        assert got[0][2].replace(" | ", " ") == "a open c", name
+    broken = "<h1>A</h1><table><tr><td>x</tr></table><p>y</p>" + part
+    assert ("B", "h2", "b", "parent_siblings") in found(spark, broken)
+
+
+def test_attributes_inside_values_do_not_count(spark):
+    html = """<meta content="set name=description here" name="keywords">
+      <meta data-x="1 content=bad" content="  Real  " NAME='description' name=other>
+      <link data-rel="x rel=canonical href=/no" rel=next href=/n><link rel=canonical href=/yes/>"""
+    row = S.page_meta(pages(spark, html)).first()
+    assert row.description == "  Real  " and row.canonical_url == "/yes/"
+    box = '<div title="a class=card"><div class=x data-class="box"><h2>T</h2>text</div></div>'
+    assert S.container_sections(pages(spark, box)).count() == 0
+
+
+def test_repeated_page_ids_fail(spark):
+    import pytest
+
+    twice = pages(spark, "<h1>A</h1>a").union(pages(spark, "<h1>B</h1>b"))
+    with pytest.raises(Exception, match="page_id is not unique"):
+        S.extract_sections(twice).collect()
+
+
+def test_deep_nesting_of_boxes(spark):
+    n = 1600
+    html = "".join(f"<div class=box><h3>T{i}</h3>x{i} " for i in range(n)) + "</div>" * n
+    got = S.container_sections(pages(spark, html), max_content=12).orderBy("box_no").collect()
+    assert len(got) == n
+    assert [(r.section_title, r.content) for r in got[-2:]] == [
+        ("T1598", "x1598 T1599 "), ("T1599", "x1599")]

@@ -1,7 +1,7 @@
-import pytest
+
 
 from pagesift.operators.reports import column_widths
-from pagesift.operators.sections import extract_sections
+from pagesift.operators.sections import page_meta
 from pagesift.plans.site_report import listed_sections, site_report
 from pagesift.sources.outputs import write_report
 from pagesift.sources.rules import FALLBACK_RULES
@@ -20,10 +20,9 @@ def inputs(spark, as_table):
     return urls, pages
 
 
-@pytest.mark.parametrize("hot_rows, few_pages", [(1_000_000, 1_000_000), (1, 0)])
-def test_every_listed_url_gives_rows(spark, as_table, hot_rows, few_pages):
+def test_every_listed_url_gives_rows(spark, as_table):
     urls, pages = inputs(spark, as_table)
-    rows = listed_sections(urls, pages, hot_rows, few_pages).collect()
+    rows = listed_sections(urls, pages).collect()
     got = sorted((r.url_no, r.sec_no, r.url, r.section_title) for r in rows)
     assert got == [
         (0, 1, "a.com", "About us"), (0, 2, "a.com", "Our products"),
@@ -50,7 +49,7 @@ def test_any_column_name_goes_through(spark, as_table, tmp_path):
     urls, pages = inputs(spark, as_table)
     (tmp_path / "u.csv").write_text('"No. of (x), `y`",Url\n5,a.com\n')
     scanned = read_url_csv(spark, str(tmp_path / "u.csv"))
-    report = site_report(urls, pages, url_metadata(scanned, "row_id"), hot_rows=1)
+    report = site_report(urls, pages, url_metadata(scanned, "row_id"))
     path = str(tmp_path / "out.csv")
     write_report(report, path, ["url_no", "sec_no"], drop=("url_no", "sec_no"))
     lines = spark.read.csv(path, header=True)
@@ -59,14 +58,17 @@ def test_any_column_name_goes_through(spark, as_table, tmp_path):
     assert column_widths(report).count() == len(report.columns)
 
 
-def test_no_html_is_shuffled(spark, as_table):
-    _, pages = inputs(spark, as_table)
-    wanted = as_table(spark.range(2).withColumnRenamed("id", "page_id"), "wanted")
+def test_ids_are_joined_below_every_regex(spark, as_table):
+    urls, pages = inputs(spark, as_table)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = extract_sections(pages, wanted=wanted)._jdf.queryExecution().executedPlan().toString()
+        plan = listed_sections(urls, pages)._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # both sides of the join, and no exchange after it
-    assert plan.count("Exchange hashpartitioning(page_id") == 2 == plan.count("Exchange ")
-    assert plan.index("Exchange hashpartitioning") < plan.index("regexp_replace(html")
+    assert plan.index("regexp_replace(html") < plan.index("Join LeftSemi")  # the tree is upside down
+
+
+def test_titles_are_read_where_pages_lie(spark, as_table):
+    _, pages = inputs(spark, as_table)
+    plan = page_meta(pages, ["page_title"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "canonical" not in plan and "meta|link" not in plan

@@ -59,9 +59,8 @@ def test_pages_for_urls_keeps_repeats_and_raw_urls(spark, as_table):
         "page_id long, url string, html string")
     want = [(i, u, {"a.com": 5, "https://a.com": 5, "http://a.com": 9}.get(u))
             for i, u in enumerate(["a.com", "https://a.com", "b.com", "http://a.com"] * 5)]
-    for hot_rows in (1_000_000, 2):
-        got = pages_for_urls(urls, pages, hot_rows).collect()
-        assert sorted((r.url_no, r.url, r.page_id) for r in got) == want
+    got = pages_for_urls(urls, pages).collect()
+    assert sorted((r.url_no, r.url, r.page_id) for r in got) == want
 
 
 def test_submitted_urls(spark):
