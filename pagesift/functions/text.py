@@ -80,12 +80,16 @@ def literal_start(pattern: str) -> str:
 _ODD_CASE = ("\u017f", "\u0131", "\u0130", "\u212a")
 
 
-def strip_phrases(c: Column | str, phrases: Iterable[str], collapsed: bool = False) -> Column:
+def strip_phrases(
+    c: Column | str, phrases: Iterable[str], collapsed: bool = False,
+    lowered: Column | None = None,
+) -> Column:
     """Delete each pattern in order, ignoring case, then collapse whitespace.
 
     Few texts hold any phrase. A text that holds the literal start of none of them
     stays as it is, which a plain search tells far sooner than the patterns would.
-    ``collapsed`` says that the whitespace of the input is already in order.
+    ``collapsed`` says that the whitespace of the input is already in order; ``lowered``
+    may give the lower-case text where it is a column already.
     """
     text, phrases = _col(c), list(phrases)
     out = text
@@ -94,10 +98,12 @@ def strip_phrases(c: Column | str, phrases: Iterable[str], collapsed: bool = Fal
     starts = {literal_start(p) for p in phrases}
     if not phrases or "" in starts:
         return collapse_space(out)
-    # An array of one: its only element is computed once for all the searches.
-    suspect = F.exists(
-        F.array(F.lower(text)), lambda low: contains_any(low, sorted(starts))
-    ) | contains_any(text, _ODD_CASE)
+    if lowered is not None:
+        found = contains_any(lowered, sorted(starts))
+    else:
+        # An array of one: its only element is computed once for all the searches.
+        found = F.exists(F.array(F.lower(text)), lambda low: contains_any(low, sorted(starts)))
+    suspect = found | contains_any(text, _ODD_CASE)
     untouched = text if collapsed else collapse_space(text)
     return F.when(suspect, collapse_space(out)).otherwise(untouched)
 

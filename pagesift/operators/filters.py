@@ -45,9 +45,11 @@ def clean_sections(df: DataFrame, rules: FilterRules = DEFAULT_RULES) -> DataFra
     plain = freeze(
         df, section_title=clean_text("section_title"), content=clean_text("content")
     )
-    return freeze(
-        plain, content=strip_phrases("content", rules.boilerplate_phrases, collapsed=True)
+    low = freeze(plain, _low=F.lower("content"))
+    stripped = strip_phrases(
+        "content", rules.boilerplate_phrases, collapsed=True, lowered=F.col("_low")
     )
+    return freeze(low, content=stripped).drop("_low")
 
 
 def has_excluded_category(category: Column, rules: FilterRules) -> Column:
@@ -55,12 +57,9 @@ def has_excluded_category(category: Column, rules: FilterRules) -> Column:
     return category.isNotNull() & category.isin(*rules.excluded_categories)
 
 
-def has_boilerplate_keyword(
-    lower_title: Column, lower_content: Column, rules: FilterRules
-) -> Column:
-    """A keyword stands in the title, the content, or across a blank between them."""
-    both = F.array(F.concat(lower_title, F.lit(" "), lower_content))
-    return F.exists(both, lambda text: contains_any(text, rules.boilerplate_keywords))
+def has_boilerplate_keyword(lower_text: Column, rules: FilterRules) -> Column:
+    """For title and content with a blank between them: a keyword may stand across it."""
+    return contains_any(lower_text, rules.boilerplate_keywords)
 
 
 def has_excluded_title(lower_title: Column, rules: FilterRules) -> Column:
@@ -88,7 +87,8 @@ def has_too_few_words(content: Column, rules: FilterRules) -> Column:
 
 
 def _lowered(cleaned: DataFrame) -> DataFrame:
-    return freeze(cleaned, _title=F.lower("section_title"), _content=F.lower("content"))
+    lower = freeze(cleaned, _title=F.lower("section_title"), _content=F.lower("content"))
+    return freeze(lower, _both=F.concat("_title", F.lit(" "), "_content"))
 
 
 def _row_tests(df: DataFrame, rules: FilterRules) -> list[tuple[str, Column]]:
@@ -96,7 +96,7 @@ def _row_tests(df: DataFrame, rules: FilterRules) -> list[tuple[str, Column]]:
     if "ai_category" in df.columns:
         tests.append(("category", has_excluded_category(F.col("ai_category"), rules)))
     return tests + [
-        ("keyword", has_boilerplate_keyword(F.col("_title"), F.col("_content"), rules)),
+        ("keyword", has_boilerplate_keyword(F.col("_both"), rules)),
         ("title", has_excluded_title(F.col("_title"), rules)),
         ("product_link", is_product_link(F.col("_title"), F.col("_content"))),
         ("words", has_too_few_words(F.col("content"), rules)),

@@ -25,6 +25,13 @@ def test_reply_labels(values):
         "[]": [],
         '["a", null, 3]': ["a", None, "3"],
         '["a"] and more': None,
+        "['a','b']": None,
+        '["a"], "x": 1': None,
+        '["a"], "labels": ["z"]': None,
+        '["a"], ["b"]': None,
+        '["a"]], [["b"]': None,
+        '["a"]}, {"x": 1': None,
+        '["a",]': None,
         '["a"': None,
         '{"x": ["a"]}': None,
         '"text"': None,

@@ -16,3 +16,9 @@ def test_overlay_and_back(spark):
     assert rules.min_word_count == 2
     assert rules.excluded_categories == R.FALLBACK_RULES.excluded_categories
     assert R.rules_from_table(R.rules_table(spark, R.DEFAULT_RULES)) == R.DEFAULT_RULES
+
+
+def test_missing_types_have_the_fallback(spark):
+    rules = R.rules_from_table(R.rules_table(spark, {"min_word_count": 7}))
+    assert rules == R.rules_of({"min_word_count": 7})
+    assert rules.boilerplate_keywords == R.FALLBACK_RULES.boilerplate_keywords

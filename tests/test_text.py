@@ -92,6 +92,8 @@ def test_decode_entities(values):
         "&#8212;&#x1F600;&#X41;": "—\U0001f600A",
         "&unknown; &copy &": "&unknown; &copy &",
         "&#0;&#xD800;": "��",
+        "&#0000000169;&#x000000A9;&#00000000000000;": "©©�",
+        "&#99999999999999999999;&#xFFFFFFFFFFFFFFFFFF;": "��",
         "plain": "plain",
         None: None,
     }

@@ -36,7 +36,7 @@ def test_url_csv(spark, tmp_path):
     scanned = U.read_url_csv(spark, str(tmp_path / "u.csv"))
     assert dict(scanned.dtypes)["Year"] == "int"
     urls = U.url_list(scanned, "row_id").collect()
-    assert [(r.url_no, r.url) for r in urls] == [(0, "a.com"), (3, "a.com")]
+    assert [(r.url_no, r.url) for r in urls] == [(1, "a.com"), (4, "a.com")]
     meta = U.url_metadata(scanned, "row_id").collect()
     assert [(r.url, r.source_name, r.source_year) for r in meta] == [("a.com", "D", 2004)]
 
