@@ -332,3 +332,34 @@ def link_components(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"),
     )
+
+
+def oracle(num: int, den: int, words: int, table: str = "documents") -> str:
+    """DuckDB SQL for ``doc_id, n_shingles, component_id, n_links`` of a table with unique ids."""
+    upper = "".join(chr(c) for c in range(65, 91))
+    gram = " || ' ' || ".join(f"ws[i + {k}]" for k in range(words))
+    return f"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x09-\\x0D\\x20]+'),
+        lambda x: x <> '') AS ws FROM {table}),
+sets AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
+        WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - {words} + 2), lambda i: {gram}))
+        END AS grams FROM cut),
+sizes AS (SELECT doc_id, len(grams) AS n FROM sets),
+flat AS MATERIALIZED (SELECT doc_id, unnest(grams) AS gram FROM sets),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i
+    FROM flat x JOIN flat y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE {den} * i >= {num} * (x.n + y.n - i)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n_links FROM ways GROUP BY a)
+SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id,
+       coalesce(n_links, 0) AS n_links
+FROM sizes s LEFT JOIN lowest l ON l.a = s.doc_id LEFT JOIN degrees d ON d.a = s.doc_id"""

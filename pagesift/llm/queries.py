@@ -112,7 +112,7 @@ def _op1(spark, sf):
     )
 
 
-@register("op5_token_group_matrix")
+@register("op5_token_group_matrix", jaccard.oracle(90, 100, 3))
 def _op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return jaccard.link_components(docs, 90, 100, 3).withColumnRenamed("id", "doc_id")
