@@ -6,9 +6,10 @@ else, in the same document or another. Texts are UTF-8 bytes; matches stay in a
 Not every suffix is sorted. Each string of ``LENGTH`` bytes has an anchor, the substring of
 ``GRAM`` bytes with the least hash in it, so equal strings have equal anchors at the same
 distance. Consecutive strings with one anchor are a stretch. Anchors that occur once are
-done. Stretches equal in whole repeat in whole. What is left, stretches around the same
-anchor that differ, as where a repeated passage begins and ends, is decided by a deep-shallow
-sort of their suffixes, one of each distinct stretch: multikey quicksort orders them by the
+done. Stretches equal in whole repeat in whole. What is left are stretches around the same
+anchor that differ, as where a repeated passage begins and ends. Beside the anchor, each of
+their strings has half of its other bytes before or behind it, so only those that share that
+half as well are looked at, and decided by a deep-shallow sort of their suffixes, one of each distinct stretch: multikey quicksort orders them by the
 first ``SHALLOW`` bytes, and blind tries order the groups that agree so far.
 
 The stretches of an anchor are dealt into blocks of a bounded number. Each block is sorted
@@ -37,23 +38,24 @@ from pagesift.sources.staging import stage
 LENGTH = 200
 GRAM = 64
 SHALLOW = 32
-BLOCK = 512
-TASK_STRETCHES = 2048
+BLOCK = 4096
+TASK_STRETCHES = 4096
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(first, last, anchor, h, f): stretches of string starts with a common anchor.
+    """(first, last, anchor, h, f, sides): stretches of string starts with a common anchor.
 
     ``h`` is a hash of the anchor's bytes, ``f`` of all bytes of the stretch and the
-    anchor's place in it. Of equal least substrings the first is the anchor.
+    anchor's place in it; ``sides`` packs 32-bit hashes of the anchor with the half before
+    and with the half behind it. Of equal least substrings the first is the anchor.
     """
-    n, none = len(data), np.zeros(0, np.int64)
+    n, none, half = len(data), np.zeros(0, np.int64), (length - gram) // 2
     starts_ok = np.zeros(n, bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         starts_ok[a : max(a, b - length + 1)] = True
     at = np.flatnonzero(starts_ok)
     if not len(at):
-        return none, none, none, none, none
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
     prefix = prefix_hashes(BYTE_VALUES[data])
     grams = n - gram + 1
     h = mix((prefix[gram:] - prefix[:grams]) * powers(INVERSE, grams))
@@ -71,7 +73,10 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
     anchor = anchor[new]
     f = mix(span_hashes(prefix, first, last + length) + (anchor - first).astype(np.uint64))
-    return first, last, anchor, h[anchor], f
+    before = span_hashes(prefix, np.maximum(anchor - half, 0), anchor + gram)
+    behind = span_hashes(prefix, anchor, np.minimum(anchor + gram + half, n))
+    low = np.uint64(2**32 - 1)
+    return first, last, anchor, h[anchor], f, (before << np.uint64(32)) | (behind & low)
 
 
 def _stretch_rows(length: int, gram: int):
@@ -79,13 +84,13 @@ def _stretch_rows(length: int, gram: int):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for lo, data, offsets in slices(batch.column(1)):
-                first, last, anchor, h, f = stretches(data, offsets, length, gram)
+                first, last, anchor, h, f, sides = stretches(data, offsets, length, gram)
                 doc = np.searchsorted(offsets, first, "right") - 1
                 place = first - offsets[doc]
                 packed = (place << 16) | ((last - first) << 8) | (anchor - first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h.view(np.int64), f.view(np.int64), keys[lo + doc], packed)],
-                    ["h", "f", "row", "at"],
+                    [pa.array(x.view(np.int64)) for x in (h, f, keys[lo + doc], packed, sides)],
+                    ["h", "f", "row", "at", "sides"],
                 )
 
     return rows
@@ -268,9 +273,8 @@ def _sort_block(length: int, block: int):
         step = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
         start = off[:-1].astype(np.int64)[stretch] + step
         # Equal strings have the anchor at the same distance.
-        group = np.unique(
-            np.stack([h[stretch], (packed[stretch] & 255) - step]), axis=1, return_inverse=True
-        )[1].reshape(-1)
+        away = ((packed[stretch] & 255) - step).astype(np.uint64)
+        group = mix(h.view(np.uint64)[stretch] + away).view(np.int64)
         classes = deep_shallow(data, start, group, length)
         place = (packed >> 16)[stretch] + step
         dup = (classes >= 0) & (copies[stretch] == 1)
@@ -307,6 +311,31 @@ def _sort_block(length: int, block: int):
     return sort
 
 
+def _halves(kinds: DataFrame, half: int) -> DataFrame:
+    """(h, f, n, row, at): stretches cut where the longer rest of their strings changes sides.
+
+    ``h`` then stands for the anchor with the half before or behind it.
+    """
+    at, sides = F.col("one.at"), F.col("one.sides")
+    first, more = F.shiftright(at, 16), F.shiftright(at, 8).bitwiseAND(F.lit(255))
+    away = at.bitwiseAND(F.lit(255))
+
+    def part(side: int, key, skip, size, ok):
+        packed = F.shiftleft(first + skip, 16) + F.shiftleft(size, 8) + (away - skip)
+        return F.when(
+            ok, F.struct(F.xxhash64("h", F.lit(side), key).alias("h"), packed.alias("at"))
+        )
+
+    zero = F.lit(0).cast("long")
+    skip = F.greatest(away - (half - 1), zero)
+    parts = F.array(
+        part(0, F.shiftrightunsigned(sides, 32), zero, F.least(more, away - half), away >= half),
+        part(1, sides.bitwiseAND(F.lit(2**32 - 1)), skip, more - skip, more >= skip),
+    )
+    cut = kinds.select("f", "n", F.col("one.row").alias("row"), F.explode(parts).alias("part"))
+    return cut.where(F.col("part").isNotNull()).select("part.h", "f", "n", "row", "part.at")
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     gram: int = GRAM, block: int = BLOCK,
@@ -318,7 +347,7 @@ def remove_repeats(
     texts = docs.select(doc.alias("id"), text.alias("text"), F.xxhash64(doc, text).alias("row"))
     found = stage(
         texts.where(F.octet_length("text") >= length).select("row", "text")
-        .mapInArrow(_stretch_rows(length, gram), "h long, f long, row long, at long"),
+        .mapInArrow(_stretch_rows(length, gram), "h long, f long, row long, at long, sides long"),
         "suffix-stretches",
     )
     often = stage(
@@ -328,18 +357,23 @@ def remove_repeats(
     near = stage(found.join(often, "h"), "suffix-near")
     kinds = stage(
         near.groupBy("h", "f").agg(
-            F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")
+            F.count("*").alias("n"), F.min(F.struct("row", "at", "sides")).alias("one")
         ),
         "suffix-kinds",
     )
+    several = stage(
+        kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"),
+        "suffix-several",
+    )
+    halves = stage(_halves(kinds.join(several, "h"), (length - gram) // 2), "suffix-halves")
     mixed = stage(
-        kinds.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "suffix-mixed"
+        halves.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "suffix-mixed"
     )
     # One stretch of each kind stands for all in the sort; kinds of several repeat in whole.
     many = stage(kinds.where("n > 1").select("h", "f"), "suffix-whole")
     known = near.join(many, ["h", "f"]).groupBy("row").agg(F.collect_set("at").alias("known"))
-    opened = kinds.join(mixed, "h").groupBy(F.col("one.row").alias("row")).agg(
-        F.collect_list(F.struct("h", "f", "n", "size", F.col("one.at").alias("at"))).alias("opened")
+    opened = halves.join(mixed, "h").groupBy("row").agg(
+        F.collect_list(F.struct("h", "f", "n", "size", "at")).alias("opened")
     )
     marks = stage(known.join(opened, "row", "full"), "suffix-marks")
     first = stage(
