@@ -9,7 +9,8 @@ where the phrase's words stand consecutively; the same pass finds them.
 
 Defined results: a null or empty text has no words and no hits; repeated rows are scanned
 each; very long texts are scanned whole; equal spans of one label are one hit; of
-overlapping notices only those with the fewest edits count. Other columns pass through, but for ``n_words`` and ``hits``, which are replaced.
+overlapping notices only those with the fewest edits count. Other columns pass through,
+but for ``n_words`` and ``hits``, which are replaced.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ distance. Consecutive strings with one anchor are a stretch. Anchors that occur
 done. Stretches equal in whole repeat in whole. What is left are stretches around the same
 anchor that differ, as where a repeated passage begins and ends. Beside the anchor, each of
 their strings has half of its other bytes before or behind it, so only those that share that
-half as well are looked at, and decided by a deep-shallow sort of their suffixes, one of each distinct stretch: multikey quicksort orders them by the
-first ``SHALLOW`` bytes, and blind tries order the groups that agree so far.
+half as well are looked at, and decided by a deep-shallow sort of their suffixes, one of
+each distinct stretch: multikey quicksort orders them by the first ``SHALLOW`` bytes, and blind tries order the groups that agree so far.
 
 The stretches of an anchor are dealt into blocks of a bounded number. Each block is sorted
 alone; strings that a block of several has once meet by a hash of 128 bits.
