@@ -1,7 +1,5 @@
 import re
 
-import pytest
-
 from pagesift.operators import dedup as D
 from pagesift.operators import filters as FL
 from pagesift.sources.rules import DEFAULT_RULES, rules_of
