@@ -7,13 +7,12 @@ windows of documents are joined with them by hash. Windows of an item that lie i
 in the item's own order and distance are one alignment; it counts as a copy if it covers
 ``COVERAGE`` of the item's windows or ``RUN`` consecutive words. A copy's slots, the
 placeholders, are then filled in with what stands there in item and document: a slot value
-of the item must have one value throughout the copy, and distinct values of a type must stay
-distinct. A consistent copy is ``exact`` if all slots are equal, else ``reparameterised``.
-Copies with inconsistent slots share a form only; they are kept out unless ``RUN`` words
+of the item must have one value throughout the copy. A consistent copy is ``exact`` if all
+slots are equal, else ``reparameterised``. Copies with inconsistent slots share a form only; they are kept out unless ``RUN`` words
 without a slot agree.
 
 Defined results: null and empty texts, and texts shorter than a window, have no copies; an
-item shorter than a window has none either; repeated items each give rows; repeated document
+item shorter than a window has none either; items equal in id and text count once; repeated document
 rows give the same rows once per row; a null id is an id of its own. Only the named columns
 are read, so other columns cannot clash.
 """
@@ -26,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.columns import named
-from pagesift.llm.line_dedup import once
+from pagesift.llm.line_dedup import fresh, once
+from pagesift.sources.staging import stage
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -41,40 +41,30 @@ UNITS = (
     "volts gb mb kb"
 ).split()
 
-_TOKEN = r"\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*|[.!?:\n]"
-NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
+NUMBER, UNIT, NAME = "\uE000", "\uE001", "\uE002"
+PLACEHOLDERS = {NUMBER: "number", UNIT: "unit", NAME: "name"}
 
+_WORD = r"\p{L}[\p{L}\p{M}]*"
+_DIGITS = r"[0-9]+(?:[.,][0-9]+)*"
+_BETWEEN = rf"[^\p{{L}}\p{{M}}{NUMBER}{UNIT}{NAME}]+"
+_CAPITALISED = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+_UNIT_AFTER = rf"(?i)({NUMBER} )\s*(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 
-def tokens(text: Column) -> Column:
-    """Words, numbers, and the marks after which a capital letter says nothing."""
-    return F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1))
 
+def forms(text: Column) -> Column:
+    """Canonical tokens of a text: words in lower case, and placeholders."""
+    numbers = F.regexp_replace(text, _DIGITS, f" {NUMBER} ")
+    units = F.regexp_replace(numbers, _UNIT_AFTER, f"$1 {UNIT} ")
+    named_ = F.regexp_replace(F.when(text.rlike("[0-9]"), units).otherwise(text), _CAPITALISED, NAME)
+    return F.array_remove(F.split(F.lower(named_), _BETWEEN), "")
 
-def _number(x: Column) -> Column:
-    return F.substring(x, 1, 1).between("0", "9")
 
+def raw_tokens(text: Column) -> Column:
+    """The tokens as they stand, one for each canonical one."""
+    return F.regexp_extract_all(text, F.lit(f"({_WORD}|{_DIGITS})"), F.lit(1))
 
-def _canonical(raw: Column) -> Column:
-    """(raw, form) of the words and numbers of a token list; marks are left out."""
-
-    def form(x: Column, i: Column) -> Column:
-        before = F.get(raw, i - 1)
-        first, low = F.substring(x, 1, 1), F.lower(x)
-        marks = (".", "!", "?", ":", "\n")
-        capital = (first != F.lower(first)) & before.isNotNull() & ~before.isin(*marks)
-        lone = capital & (x != F.upper(x))  # capitals throughout are not a name
-        unit = _number(before) & low.isin(*UNITS)
-        return (
-            F.when(x.isin(*marks), F.lit(None)).when(_number(x), NUMBER).when(unit, UNIT).when(lone, NAME).otherwise(low)
-        )
-
-    pairs = F.transform(raw, lambda x, i: F.struct(x.alias("raw"), form(x, i).alias("form")))
-    return F.filter(pairs, lambda p: p["form"].isNotNull())
-
-
-def _windows(pairs: Column, n: int) -> Column:
-    """Hashes of the windows at each place."""
 
+def _window_hashes(tokens: Column, n: int) -> Column:
     def of(hashes: Column) -> Column:
         last = F.size(hashes) - n
         places = F.when(last >= 0, F.sequence(F.lit(0), last))
@@ -83,34 +73,21 @@ def _windows(pairs: Column, n: int) -> Column:
             F.array(),
         )
 
-    return once(F.transform(pairs, lambda p: F.xxhash64(p["form"])), of)
+    return once(F.transform(tokens, lambda w: F.xxhash64(w)), of)
 
 
-def template_windows(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, row, pairs, hashes) of each row; computed once, not by every later expression."""
-    doc, text = named([id_col, text_col])
-    parts = once(
-        tokens(text),
-        lambda raw: once(
-            _canonical(raw),
-            lambda pairs: F.struct(pairs.alias("pairs"), _windows(pairs, n).alias("hashes")),
-        ),
-    )
-    cut = df.where(text.isNotNull()).select(
-        doc.alias("id"), F.xxhash64(text).alias("row"), F.explode(F.array(parts)).alias("parts")
+def _items(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
+    """(key, item, forms, raws) of the items that have a window."""
+    item, text = named([item_col, text_col])
+    cut = benchmark.where(text.isNotNull()).select(
+        F.xxhash64(item, text).alias("key"), item.alias("item"), forms(text).alias("forms"),
+        raw_tokens(text).alias("raws"),
     )
-    return cut.select("id", "row", "parts.pairs", "parts.hashes").where(F.size("hashes") > 0)
+    return cut.where(F.size("forms") >= n).dropDuplicates(["key"])
 
 
-def _place_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """(id, row, item, place, at, raw slices) where a template window of an item stands."""
-    places = docs.select(
-        "id", "row", "pairs", F.posexplode("hashes").alias("place", "hash"),
-    )
-    joined = places.join(items, "hash")
-    raws = F.transform(F.slice("pairs", F.col("place") + 1, n), lambda p: p["raw"])
-    return joined.select("id", "row", "item", "item_windows", "place", "at",
-                         raws.alias("raws"), "item_pairs")
+def _is_slot(form: Column) -> Column:
+    return form.isin(*PLACEHOLDERS)
 
 
 def find_copies(
@@ -124,100 +101,103 @@ def find_copies(
     template windows are counted first; blocks of at most ``broadcast_windows`` of them are
     broadcast in turn, so documents are never shuffled before a window has met.
     """
-    cut = template_windows(benchmark, item_col, item_text_col, window)
-    per_window = cut.select(
-        F.col("id").alias("item"), F.size("hashes").alias("item_windows"), "pairs",
-        F.posexplode("hashes").alias("at", "hash"),
+    items = stage(_items(benchmark, item_col, item_text_col, window), "benchmark-items")
+    windows = items.select(
+        "key", F.posexplode(_window_hashes(F.col("forms"), window)).alias("at", "hash"),
+        F.size("forms").alias("size"), "forms",
+    ).select(
+        "hash", "key", "at", (F.col("size") - (window - 1)).alias("item_windows"),
+        F.exists(F.slice("forms", F.col("at") + 1, window), _is_slot).alias("has_slot"),
     )
-    items = per_window.select(
-        "hash", "item", "item_windows", "at",
-        F.slice("pairs", F.col("at") + 1, window).alias("item_pairs"),
+    windows = stage(windows, "benchmark-windows")
+    blocks = -(-windows.count() // broadcast_windows)
+    parts = [windows.where(F.pmod("hash", F.lit(blocks)) == b) for b in range(blocks)]
+    parts = parts if blocks > 1 else [windows]
+    doc, text = named([id_col, text_col])
+    places = docs.where(text.isNotNull()).select(
+        doc.alias("id"), text.alias("text"),
+        F.posexplode(_window_hashes(forms(text), window)).alias("place", "hash"),
     )
-    count = items.count()
-    blocks = max(1, -(-count // broadcast_windows))
-    texts = template_windows(docs, id_col, text_col, window)
     hits = reduce(
         DataFrame.unionByName,
         [
-            _place_hits(
-                texts,
-                F.broadcast(items.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b)),
-                window,
+            places.join(F.broadcast(block), "hash").select(
+                "id", F.xxhash64("text").alias("row"), "key", "item_windows",
+                (F.col("place") - F.col("at")).alias("shift"), "at",
+                F.when(F.col("has_slot"), F.col("text")).alias("text"),
+                F.when(~F.col("has_slot"), F.col("at")).alias("plain"),
             )
-            for b in range(blocks)
+            for block in parts
         ],
     )
-    return _align(hits, window, coverage, run)
+    return _align(hits, items, window, coverage, run)
 
 
-def _align(hits: DataFrame, n: int, coverage: float, run: int) -> DataFrame:
-    """Alignments of window hits that are copies, with their slots checked."""
-    alignment = hits.groupBy(
-        "id", "row", "item", (F.col("place") - F.col("at")).alias("shift")
-    ).agg(
-        F.max("item_windows").alias("item_windows"),
-        F.sort_array(F.collect_set(F.struct("at", "raws", "item_pairs"))).alias("found"),
+def _longest(starts: Column, n: int) -> Column:
+    """Words of the longest run of consecutive windows, from their sorted starts."""
+    ranks = F.transform(starts, lambda x, i: x - i)
+    runs = F.transform(
+        F.array_distinct(ranks), lambda g: F.size(F.filter(ranks, lambda x: x == g))
     )
-    found, size = F.col("found"), F.size("found")
-    # Runs of consecutive windows: at - rank is constant in one.
-    groups = F.transform(found, lambda w, i: w["at"] - i)
-    longest = F.array_max(
-        F.transform(F.array_distinct(groups),
-                    lambda g: F.size(F.filter(groups, lambda x: x == g)))
+    return F.coalesce(F.array_max(runs) + (n - 1), F.lit(0))
+
+
+def _align(hits: DataFrame, items: DataFrame, n: int, coverage: float, run: int) -> DataFrame:
+    """Alignments of window hits that are copies, with their slots checked."""
+    copies = hits.groupBy("id", "row", "key", "shift").agg(
+        F.max("item_windows").alias("item_windows"), F.max("text").alias("text"),
+        F.sort_array(F.collect_set("at")).alias("found"),
+        F.sort_array(F.collect_set("plain")).alias("plain"),
+    ).withColumn("coverage", F.size("found") / F.col("item_windows")).where(
+        (F.col("coverage") >= coverage) | (_longest(F.col("found"), n) >= run)
     )
-    share = size / F.col("item_windows")
-    copies = alignment.withColumn("coverage", share).withColumn("run", longest + (n - 1)).where(
-        (F.col("coverage") >= coverage) | (F.col("run") >= run)
+    covered = F.array_distinct(
+        F.flatten(F.transform("found", lambda a: F.sequence(a, a + (n - 1))))
     )
-    slot = F.flatten(
-        F.transform(
-            found,
-            lambda w: F.filter(
-                F.transform(
-                    w["raws"],
-                    lambda raw, k: F.struct(
-                        (w["at"] + k).alias("at"), F.get(w["item_pairs"], k)["form"].alias("type"),
-                        F.lower(F.get(w["item_pairs"], k)["raw"]).alias("of_item"),
-                        F.lower(raw).alias("of_doc"),
-                    ),
-                ),
-                lambda s: s["type"].isin(NUMBER, UNIT, NAME),
+
+    def slots(raws):
+        here = F.filter(covered, lambda p: _is_slot(F.get("forms", p)))
+        return F.transform(
+            here,
+            lambda p: F.struct(
+                F.get("forms", p).alias("type"), F.lower(F.get("raws", p)).alias("of_item"),
+                F.lower(F.get(raws, F.col("shift") + p)).alias("of_doc"),
             ),
         )
-    )
-    copies = copies.withColumn("slots", F.array_distinct(slot))
-
-    def values(s):
-        return F.struct(s["type"], s["of_item"], s["of_doc"])
 
-    pairs = F.array_distinct(F.transform("slots", values))
+    filled = copies.join(items, "key").withColumn(
+        "slots",
+        F.when(F.col("text").isNull(), F.array().cast(
+            "array<struct<type:string,of_item:string,of_doc:string>>"
+        )).otherwise(once(raw_tokens(F.col("text")), slots)),
+    )
+    pairs = F.array_distinct("slots")
     ones = F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["of_item"])))
-    twos = F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["of_doc"])))
-    consistent = (F.size(pairs) == F.size(ones)) & (F.size(pairs) == F.size(twos))
-    equal = F.forall("slots", lambda s: s["of_item"] == s["of_doc"])
-    # Words that agree without any slot, for copies whose slots contradict each other.
-    plain = F.filter(found, lambda w: ~F.exists(
-        w["item_pairs"], lambda p: p["form"].isin(NUMBER, UNIT, NAME)))
-    plain_groups = F.transform(plain, lambda w, i: w["at"] - i)
-    plain_run = F.coalesce(F.array_max(
-        F.transform(F.array_distinct(plain_groups),
-                    lambda g: F.size(F.filter(plain_groups, lambda x: x == g)))
-    ), F.lit(0)) + (n - 1)
+    consistent = F.size(pairs) == F.size(ones)
     kind = (
-        F.when(equal, "exact").when(consistent, "reparameterised")
-        .when(plain_run >= run, "partial")
+        F.when(F.forall("slots", lambda s: s["of_item"].eqNullSafe(s["of_doc"])), "exact")
+        .when(consistent, "reparameterised")
+        .when(_longest(F.col("plain"), n) >= run, "partial")
     )
-    first, last = F.get(found, 0)["at"], F.element_at(found, -1)["at"]
-    return copies.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
+    first, last = F.get("found", 0), F.element_at("found", -1)
+    kinds = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
+    return filled.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
         "id", "item", (F.col("shift") + first).cast("long").alias("start"),
         (F.col("shift") + last + n).cast("long").alias("end"), "coverage",
-        F.transform("slots", lambda s: F.struct(s["type"], s["of_item"], s["of_doc"]))
-        .alias("slots"), "kind",
+        F.transform(
+            "slots",
+            lambda s: F.struct(F.element_at(kinds, s["type"]).alias("type"), s["of_item"], s["of_doc"]),
+        ).alias("slots"),
+        "kind",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold a copy of a benchmark item."""
     doc = named([id_col])[0]
-    hit = find_copies(docs, benchmark, id_col, **options).select(F.col("id").alias("_hit"))
-    return docs.join(hit.distinct(), doc.eqNullSafe(F.col("_hit")), "left_anti")
+    name = fresh(["_hit"], docs.columns)[0]
+    hit = stage(
+        find_copies(docs, benchmark, id_col, **options).select(F.col("id").alias(name)).distinct(),
+        "benchmark-hits",
+    )
+    return docs.join(hit, doc.eqNullSafe(F.col(name)), "left_anti")
