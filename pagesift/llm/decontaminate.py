@@ -3,16 +3,17 @@
 Texts are cut into tokens. A token's canonical form is its lower-case word, or a typed
 placeholder: a number, a unit after a number, or a name (a capitalised word inside a
 sentence). Every ``WINDOW`` canonical tokens of a benchmark item are a template window; the
-windows of documents are joined with them by hash. Windows of an item that lie in a document
-in the item's own order and distance are one alignment; it counts as a copy if it covers
-``COVERAGE`` of the item's windows or ``RUN`` consecutive words. A copy's slots, the
+windows of documents are joined with them by hash. Stretches of windows that lie in a document
+in the item's own order, at most ``GAP`` tokens apart, are one chain, so single words put in,
+left out or replaced do not split a copy; it counts as one if it covers ``COVERAGE`` of the
+item's tokens or ``RUN`` consecutive words. A copy's slots, the
 placeholders, are then filled in with what stands there in item and document: a slot value
 of the item must have one value throughout the copy. A consistent copy is ``exact`` if all
 slots are equal, else ``reparameterised``. Copies with inconsistent slots share a form only; they are kept out unless ``RUN`` words
 without a slot agree.
 
-Defined results: null and empty texts, and texts shorter than a window, have no copies; an
-item shorter than a window has none either; items equal in id and text count once; repeated document
+Defined results: null and empty texts have no copies; an item shorter than a window is found
+as a whole and with its own values only, as so few forms say nothing; items equal in id and text count once; repeated document
 rows give the same rows once per row; a null id is an id of its own. Only the named columns
 are read, so other columns cannot clash.
 """
@@ -31,6 +32,8 @@ from pagesift.sources.staging import stage
 WINDOW = 5
 COVERAGE = 0.8
 RUN = 13
+#: Tokens that two stretches of one copy may stand apart, in item or document.
+GAP = 2 * WINDOW
 #: Template windows broadcast at a time; a larger benchmark is gone through in blocks.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -47,6 +50,9 @@ PLACEHOLDERS = {NUMBER: "number", UNIT: "unit", NAME: "name"}
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 _DIGITS = r"[0-9]+(?:[.,][0-9]+)*"
 _BETWEEN = rf"[^\p{{L}}\p{{M}}{NUMBER}{UNIT}{NAME}]+"
+INSIDE = "\uE003"  # a point or comma inside a number
+_INSIDE = r"(?<=[0-9])[.,](?=[0-9])"
+_NO_TOKEN = rf"[^\p{{L}}\p{{M}}0-9{INSIDE}]+"
 _CAPITALISED = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 _UNIT_AFTER = rf"(?i)({NUMBER} )\s*(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 
@@ -64,6 +70,14 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_WORD}|{_DIGITS})"), F.lit(1))
 
 
+def plain_tokens(text: Column) -> Column:
+    """The tokens in lower case, one for each canonical one, without placeholders."""
+    apart = F.regexp_replace(F.regexp_replace(text, _DIGITS, " $0 "), _INSIDE, INSIDE)
+    return F.array_remove(
+        F.split(F.lower(F.when(text.rlike("[0-9]"), apart).otherwise(text)), _NO_TOKEN), ""
+    )
+
+
 def _window_hashes(tokens: Column, n: int) -> Column:
     def of(hashes: Column) -> Column:
         last = F.size(hashes) - n
@@ -76,20 +90,30 @@ def _window_hashes(tokens: Column, n: int) -> Column:
     return once(F.transform(tokens, lambda w: F.xxhash64(w)), of)
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
-    """(key, item, forms, raws) of the items that have a window."""
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(key, item, forms, plain, raws) of the items that have a token."""
     item, text = named([item_col, text_col])
     cut = benchmark.where(text.isNotNull()).select(
         F.xxhash64(item, text).alias("key"), item.alias("item"), forms(text).alias("forms"),
-        raw_tokens(text).alias("raws"),
+        plain_tokens(text).alias("plain"), raw_tokens(text).alias("raws"),
     )
-    return cut.where(F.size("forms") >= n).dropDuplicates(["key"])
+    return cut.where(F.size("forms") > 0).dropDuplicates(["key"])
 
 
 def _is_slot(form: Column) -> Column:
     return form.isin(*PLACEHOLDERS)
 
 
+def _entries(tokens: Column, plain: Column, n: int, short: list[int]) -> Column:
+    """(at, hash) of the template windows and of windows of ``short`` plain tokens."""
+
+    def placed(hashes):
+        return F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
+
+    parts = [placed(_window_hashes(tokens, n))]
+    return F.concat(*parts, *[placed(_window_hashes(plain, k)) for k in short])
+
+
 def find_copies(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
@@ -101,13 +125,22 @@ def find_copies(
     template windows are counted first; blocks of at most ``broadcast_windows`` of them are
     broadcast in turn, so documents are never shuffled before a window has met.
     """
-    items = stage(_items(benchmark, item_col, item_text_col, window), "benchmark-items")
-    windows = items.select(
-        "key", F.posexplode(_window_hashes(F.col("forms"), window)).alias("at", "hash"),
-        F.size("forms").alias("size"), "forms",
-    ).select(
-        "hash", "key", "at", (F.col("size") - (window - 1)).alias("item_windows"),
-        F.exists(F.slice("forms", F.col("at") + 1, window), _is_slot).alias("has_slot"),
+    items = stage(_items(benchmark, item_col, item_text_col), "benchmark-items")
+    size = F.size("forms")
+    sizes = items.where(size < window).select(size.alias("size")).distinct().collect()
+    short = sorted(r["size"] for r in sizes)
+    whole = [
+        items.where(size >= window).select(
+            "key", "forms", F.explode(_entries(F.col("forms"), F.col("plain"), window, []))
+            .alias("w")
+        )
+    ]
+    for k in short:
+        entry = F.get(_entries(F.col("forms"), F.col("plain"), window, [k]), 0)
+        whole.append(items.where(size == k).select("key", "forms", entry.alias("w")))
+    windows = reduce(DataFrame.unionByName, whole).select(
+        F.col("w.hash").alias("hash"), "key", F.col("w.at").alias("at"), size.alias("size"),
+        F.exists(F.slice("forms", F.col("w.at") + 1, window), _is_slot).alias("has_slot"),
     )
     windows = stage(windows, "benchmark-windows")
     blocks = -(-windows.count() // broadcast_windows)
@@ -116,16 +149,15 @@ def find_copies(
     doc, text = named([id_col, text_col])
     places = docs.where(text.isNotNull()).select(
         doc.alias("id"), text.alias("text"),
-        F.posexplode(_window_hashes(forms(text), window)).alias("place", "hash"),
-    )
+        F.explode(_entries(forms(text), plain_tokens(text), window, short)).alias("w"),
+    ).select("id", "text", F.col("w.at").alias("place"), F.col("w.hash").alias("hash"))
     hits = reduce(
         DataFrame.unionByName,
         [
             places.join(F.broadcast(block), "hash").select(
-                "id", F.xxhash64("text").alias("row"), "key", "item_windows",
-                (F.col("place") - F.col("at")).alias("shift"), "at",
+                "id", F.xxhash64("text").alias("row"), "key", "size",
+                F.struct((F.col("place") - F.col("at")).alias("shift"), "at").alias("hit"),
                 F.when(F.col("has_slot"), F.col("text")).alias("text"),
-                F.when(~F.col("has_slot"), F.col("at")).alias("plain"),
             )
             for block in parts
         ],
@@ -133,35 +165,139 @@ def find_copies(
     return _align(hits, items, window, coverage, run)
 
 
-def _longest(starts: Column, n: int) -> Column:
-    """Words of the longest run of consecutive windows, from their sorted starts."""
-    ranks = F.transform(starts, lambda x, i: x - i)
-    runs = F.transform(
-        F.array_distinct(ranks), lambda g: F.size(F.filter(ranks, lambda x: x == g))
+def _segments(hits: Column, n: Column) -> Column:
+    """(p, a, n): stretches of tokens that windows of one shift cover, in the document's order."""
+
+    def add(acc, hit):
+        last, end = F.get(acc, F.size(acc) - 1), hit["at"] + n
+        grown = F.struct(last["shift"].alias("shift"), last["a"].alias("a"), end.alias("b"))
+        new = F.struct(hit["shift"].alias("shift"), hit["at"].alias("a"), end.alias("b"))
+        joins = (last["shift"] == hit["shift"]) & (hit["at"] <= last["b"])
+        before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(joins, F.concat(before, F.array(grown))).otherwise(
+            F.concat(acc, F.array(new))
+        )
+
+    empty = F.array().cast("array<struct<shift:int,a:int,b:int>>")
+    return F.sort_array(
+        F.transform(
+            F.aggregate(hits, empty, add),
+            lambda s: F.struct(
+                (s["shift"] + s["a"]).alias("p"), s["a"].alias("a"), (s["b"] - s["a"]).alias("n")
+            ),
+        )
     )
-    return F.coalesce(F.array_max(runs) + (n - 1), F.lit(0))
+
+
+_CHAIN = "array<struct<words:int,p:int,a:int,segs:array<struct<p:int,a:int,n:int>>>>"
+
+
+def _chains(segments: Column, is_copy, run: int) -> Column:
+    """(words, p, a, segs): copies, each the best chain of segments where it stands.
+
+    A chain takes its segments in the order of item and document, at most ``GAP`` tokens
+    apart in either; ``words`` counts their tokens, and ``p`` and ``a`` are its ends.
+    """
+
+    def chain(words, s, segs):
+        return F.struct(
+            words.alias("words"), (s["p"] + s["n"]).alias("p"), (s["a"] + s["n"]).alias("a"),
+            segs.alias("segs"),
+        )
+
+    def after(c, s):
+        def trimmed(t):
+            fits = (
+                (t < s["n"]) & (s["p"] + t - c["p"] <= GAP) & (s["a"] + t - c["a"] <= GAP)
+            )
+            rest = F.struct(
+                (s["p"] + t).alias("p"), (s["a"] + t).alias("a"), (s["n"] - t).alias("n")
+            )
+            longer = chain(c["words"] + s["n"] - t, s, F.concat(c["segs"], F.array(rest)))
+            return F.when(fits, longer)
+
+        # What the chain holds already in item or document is cut from the segment.
+        return once(F.greatest(F.lit(0), c["a"] - s["a"], c["p"] - s["p"]), trimmed)
+
+    def add(acc, s):
+        open_ = F.filter(acc["open"], lambda c: c["p"] >= s["p"] - GAP)
+        closed = F.filter(acc["open"], lambda c: (c["p"] < s["p"] - GAP) & is_copy(c))
+        alone = F.array(chain(s["n"], s, F.array(s)))
+        best = F.array(
+            F.array_max(F.concat(F.transform(acc["open"], lambda c: after(c, s)), alone))
+        )
+        # Cutting must not cost a run, so a segment that is a copy stays by itself, too.
+        own = F.when(s["n"] >= run, alone).otherwise(F.array().cast(_CHAIN))
+        return F.struct(
+            F.array_distinct(F.concat(open_, best, own)).alias("open"),
+            F.concat(acc["done"], closed).alias("done"),
+        )
+
+    def start(c):
+        return F.get(c["segs"], 0)["p"]
+
+    def pick(acc, x):
+        c, last = x["c"], F.get(acc, F.size(acc) - 1)
+        before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return (
+            F.when((F.size(acc) == 0) | (start(c) >= last["p"]), F.concat(acc, F.array(c)))
+            .when(c["words"] > last["words"], F.concat(before, F.array(c))).otherwise(acc)
+        )
+
+    empty = F.array().cast(_CHAIN)
+    found = F.aggregate(
+        segments, F.struct(empty.alias("open"), empty.alias("done")), add,
+        lambda acc: F.concat(acc["done"], F.filter(acc["open"], is_copy)),
+    )
+    ordered = F.sort_array(
+        F.transform(found, lambda c: F.struct(start(c).alias("at"), c.alias("c")))
+    )
+    return F.aggregate(ordered, empty, pick)
 
 
 def _align(hits: DataFrame, items: DataFrame, n: int, coverage: float, run: int) -> DataFrame:
-    """Alignments of window hits that are copies, with their slots checked."""
-    copies = hits.groupBy("id", "row", "key", "shift").agg(
-        F.max("item_windows").alias("item_windows"), F.max("text").alias("text"),
-        F.sort_array(F.collect_set("at")).alias("found"),
-        F.sort_array(F.collect_set("plain")).alias("plain"),
-    ).withColumn("coverage", F.size("found") / F.col("item_windows")).where(
-        (F.col("coverage") >= coverage) | (_longest(F.col("found"), n) >= run)
+    """Chains of window hits that are copies, with their slots checked."""
+    met = hits.groupBy("id", "row", "key").agg(
+        F.max("size").alias("size"), F.max("text").alias("text"),
+        F.sort_array(F.collect_set("hit")).alias("hits"),
     )
-    covered = F.array_distinct(
-        F.flatten(F.transform("found", lambda a: F.sequence(a, a + (n - 1))))
+    # Too few windows for either rule, however they stand.
+    different = F.size(F.array_distinct(F.col("hits")["at"]))
+    enough = (different * n >= F.col("size") * coverage) | (different + (n - 1) >= run)
+
+    def is_copy(c):
+        return (c["words"] >= F.col("size") * coverage) | F.exists(
+            c["segs"], lambda s: s["n"] >= run
+        )
+
+    segments = _segments(F.col("hits"), F.least("size", F.lit(n)))
+    copies = met.where(enough).select(
+        "id", "row", "key", "size", "text",
+        F.explode(once(segments, lambda s: _chains(s, is_copy, run))).alias("c"),
     )
+    segs = F.col("c.segs")
+
+    def slot_places(s):
+        tokens = F.sequence(s["a"], s["a"] + s["n"] - 1)
+        return F.filter(tokens, lambda p: _is_slot(F.get("forms", p)))
 
     def slots(raws):
-        here = F.filter(covered, lambda p: _is_slot(F.get("forms", p)))
-        return F.transform(
-            here,
+        return F.flatten(F.transform(segs, lambda s: F.transform(
+            slot_places(s),
             lambda p: F.struct(
                 F.get("forms", p).alias("type"), F.lower(F.get("raws", p)).alias("of_item"),
-                F.lower(F.get(raws, F.col("shift") + p)).alias("of_doc"),
+                F.lower(F.get(raws, p + s["p"] - s["a"])).alias("of_doc"),
+            ),
+        )))
+
+    def plain(s):
+        """Whether ``run`` words between two slots lie in the segment."""
+        first, last = F.array(s["a"] - 1), F.array(s["a"] + s["n"])
+        return once(
+            F.concat(first, slot_places(s), last),
+            lambda cuts: F.exists(
+                F.transform(cuts, lambda p, i: F.get(cuts, i + 1) - p - 1),
+                lambda words: F.coalesce(words >= run, F.lit(False)),
             ),
         )
 
@@ -177,13 +313,12 @@ def _align(hits: DataFrame, items: DataFrame, n: int, coverage: float, run: int)
     kind = (
         F.when(F.forall("slots", lambda s: s["of_item"].eqNullSafe(s["of_doc"])), "exact")
         .when(consistent, "reparameterised")
-        .when(_longest(F.col("plain"), n) >= run, "partial")
+        .when(F.exists(segs, plain), "partial")
     )
-    first, last = F.get("found", 0), F.element_at("found", -1)
     kinds = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
     return filled.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        "id", "item", (F.col("shift") + first).cast("long").alias("start"),
-        (F.col("shift") + last + n).cast("long").alias("end"), "coverage",
+        "id", "item", F.get(segs, 0)["p"].cast("long").alias("start"),
+        F.col("c.p").cast("long").alias("end"), (F.col("c.words") / F.col("size")).alias("coverage"),
         F.transform(
             "slots",
             lambda s: F.struct(F.element_at(kinds, s["type"]).alias("type"), s["of_item"], s["of_doc"]),

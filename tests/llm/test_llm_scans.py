@@ -182,3 +182,42 @@ def test_decontamination_edges(spark, edges, empty):
 
 
 EDGE_ITEM = "a row without an id, all rights reserved"
+
+
+def _with_extra(text, every, extra="zzqx"):
+    """``text`` with a word put in after every ``every`` words."""
+    words = text.split()
+    return " ".join(w + (f" {extra}" if i % every == 0 and i < len(words) else "") for i, w in enumerate(words, 1))
+
+
+def test_copies_with_words_put_in_left_out_or_replaced(spark):
+    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "lu", "te", "ra") for b in ("nd", "rt", "sk", "lm")]
+    item = " ".join(words)  # 24 words
+    long = " ".join(f"{w}{x}" for x in "aeiou" for w in words[:12])  # 60 words
+    items = spark.createDataFrame([(1, item), (2, long), (3, "tiny item 7")], "item_id int, text string")
+    texts = {
+        1: _with_extra(item, 12), 2: _with_extra(long, 12), 3: " ".join(words[:11] + words[12:]),
+        4: " ".join([*words[:12], "zzqx", *words[13:]]),
+        5: "so a Tiny\nitem, 7 stands here", 6: "so a tiny item 8 stands here",
+        7: " ".join(words[12:] + ["zzqx"] + words[:12]),  # halves out of order
+        8: " ".join(words[:12] + ["far"] * 40 + words[12:]),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    rows = D.find_copies(df, items).collect()
+    got = {(r.id, r.item) for r in rows}
+    assert got == {(1, 1), (2, 2), (3, 1), (4, 1), (5, 3)} and len(rows) == len(got)
+    assert {r.id: (r.start, r.end) for r in rows}[1] == (0, 25)
+    assert {r.id: round(r.coverage, 2) for r in rows}[4] == 0.96
+
+
+def test_items_are_found_with_words_put_in(spark):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").withColumn("text", F.lower("text"))
+    docs = spark.createDataFrame(
+        [(r.item_id, _with_extra(r.text, 12)) for r in items.collect()], "doc_id string, text string"
+    )
+    got = {r.id for r in D.find_copies(docs, items).where("id = string(item)").collect()}
+    sizes = {str(r.item_id): len(re.findall(r"[^\W\d_]+|\d+", r.text)) for r in items.collect()}
+    # A last stretch under a window is not seen.
+    seen = {i: n - (n % 12 if n % 12 < 5 else 0) for i, n in sizes.items()}
+    want = {i for i, n in sizes.items() if seen[i] >= 0.8 * n}
+    assert len(want) >= 39 and want <= got
