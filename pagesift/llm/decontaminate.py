@@ -2,8 +2,9 @@
 
 Texts are cut into tokens. A token's canonical form is its lower-case word, or a typed
 placeholder: a number, a unit after a number, or a name (a capitalised word inside a
-sentence). Every ``WINDOW`` canonical tokens of a benchmark item are a template window; the
-windows of documents are joined with them by hash. Stretches of windows that lie in a document
+sentence). Every ``WINDOW`` canonical tokens of a benchmark item are a template window, and every ``WINDOW``
+lower-case words and numbers a plain one, which capitals cannot change; the windows of
+documents are joined with them by hash. Stretches of windows that lie in a document
 in the item's own order, at most ``GAP`` tokens apart, are one chain, so single words put in,
 left out or replaced do not split a copy; it counts as one if it covers ``COVERAGE`` of the
 item's tokens or ``RUN`` consecutive words. A copy's slots, the
@@ -53,12 +54,15 @@ _BETWEEN = rf"[^\p{{L}}\p{{M}}{NUMBER}{UNIT}{NAME}]+"
 INSIDE = "\uE003"  # a point or comma inside a number
 _INSIDE = r"(?<=[0-9])[.,](?=[0-9])"
 _NO_TOKEN = rf"[^\p{{L}}\p{{M}}0-9{INSIDE}]+"
+#: White space that is no single blank.
+_WIDE = r"[\s\x85\p{Z}]{2,}|[\t-\r\x85\p{Z}&&[^ ]]"
 _CAPITALISED = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 _UNIT_AFTER = rf"(?i)({NUMBER} )\s*(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 
 
 def forms(text: Column) -> Column:
     """Canonical tokens of a text: words in lower case, and placeholders."""
+    text = F.regexp_replace(text, _WIDE, " ")
     numbers = F.regexp_replace(text, _DIGITS, f" {NUMBER} ")
     units = F.regexp_replace(numbers, _UNIT_AFTER, f"$1 {UNIT} ")
     named_ = F.regexp_replace(F.when(text.rlike("[0-9]"), units).otherwise(text), _CAPITALISED, NAME)
@@ -105,13 +109,20 @@ def _is_slot(form: Column) -> Column:
 
 
 def _entries(tokens: Column, plain: Column, n: int, short: list[int]) -> Column:
-    """(at, hash) of the template windows and of windows of ``short`` plain tokens."""
+    """(at, hash) of template windows, of plain ones that differ, and of ``short`` plain tokens."""
 
     def placed(hashes):
         return F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
 
-    parts = [placed(_window_hashes(tokens, n))]
-    return F.concat(*parts, *[placed(_window_hashes(plain, k)) for k in short])
+    def both(x):
+        other = F.filter(
+            placed(x["plain"]), lambda w: ~w["hash"].eqNullSafe(F.get(x["template"], w["at"]))
+        )
+        return F.concat(placed(x["template"]), other)
+
+    template, same = _window_hashes(tokens, n), _window_hashes(plain, n)
+    windows = once(F.struct(template.alias("template"), same.alias("plain")), both)
+    return F.concat(windows, *[placed(_window_hashes(plain, k)) for k in short])
 
 
 def find_copies(

@@ -221,3 +221,18 @@ def test_items_are_found_with_words_put_in(spark):
     seen = {i: n - (n % 12 if n % 12 < 5 else 0) for i, n in sizes.items()}
     want = {i for i, n in sizes.items() if seen[i] >= 0.8 * n}
     assert len(want) >= 39 and want <= got
+
+
+def test_copies_in_other_capitals_and_lines(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id int, text string")
+    other = ITEM.replace("Paris", "Lima").replace("40", "5,500").replace("Rome", "Oslo")
+    texts = {
+        1: ITEM.upper(), 2: ITEM.lower(), 3: ITEM.replace(" ", "\n"), 4: ITEM.replace(" ", "  "),
+        5: other.replace(" ", "\u00a0\n"), 6: ITEM.title(),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.id: (r.kind, r.coverage) for r in D.find_copies(df, items).collect()}
+    assert got == {i: ("reparameterised" if i == 5 else "exact", 1.0) for i in texts}
+    tokens = df.select(D.forms(F.col("text")).alias("f"), D.plain_tokens(F.col("text")).alias("p"),
+                       D.raw_tokens(F.col("text")).alias("r")).collect()
+    assert all(len(t.f) == len(t.p) == len(t.r) for t in tokens)
