@@ -10,8 +10,9 @@ left out or replaced do not split a copy; it counts as one if it covers ``COVERA
 item's tokens or ``RUN`` consecutive words. A copy's slots, the
 placeholders, are then filled in with what stands there in item and document: a slot value
 of the item must have one value throughout the copy. A consistent copy is ``exact`` if all
-slots are equal, else ``reparameterised``. Copies with inconsistent slots share a form only; they are kept out unless ``RUN`` words
-without a slot agree.
+slots are equal, else ``reparameterised``. An inconsistent one is ``edited`` if ``SAME`` of its
+slots equal the item's own; others share a form only and are kept out unless ``RUN`` words
+without a slot agree (``partial``).
 
 Defined results: null and empty texts have no copies; an item shorter than a window is found
 as a whole and with its own values only, as so few forms say nothing; items equal in id and text count once; repeated document
@@ -33,6 +34,8 @@ from pagesift.sources.staging import stage
 WINDOW = 5
 COVERAGE = 0.8
 RUN = 13
+#: Share of a copy's slots equal to the item's from which single other values are edits.
+SAME = 0.9
 #: Tokens that two stretches of one copy may stand apart, in item or document.
 GAP = 2 * WINDOW
 #: Template windows broadcast at a time; a larger benchmark is gone through in blocks.
@@ -321,9 +324,11 @@ def _align(hits: DataFrame, items: DataFrame, n: int, coverage: float, run: int)
     pairs = F.array_distinct("slots")
     ones = F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["of_item"])))
     consistent = F.size(pairs) == F.size(ones)
+    equal = F.size(F.filter("slots", lambda s: s["of_item"].eqNullSafe(s["of_doc"])))
     kind = (
         F.when(F.forall("slots", lambda s: s["of_item"].eqNullSafe(s["of_doc"])), "exact")
         .when(consistent, "reparameterised")
+        .when(equal >= SAME * F.size("slots"), "edited")
         .when(F.exists(segs, plain), "partial")
     )
     kinds = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])

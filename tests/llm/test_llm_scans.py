@@ -236,3 +236,15 @@ def test_copies_in_other_capitals_and_lines(spark):
     tokens = df.select(D.forms(F.col("text")).alias("f"), D.plain_tokens(F.col("text")).alias("p"),
                        D.raw_tokens(F.col("text")).alias("r")).collect()
     assert all(len(t.f) == len(t.p) == len(t.r) for t in tokens)
+
+
+def test_single_other_values_are_edits(spark):
+    item = "First Ada has 3 pens, then Ada has 4 cups, then Bob has 3 pens, then Bob has 5 hats, then Ada has 7 caps now"
+    items = spark.createDataFrame([(1, item)], "item_id int, text string")
+    texts = {
+        1: item.replace("3", "8", 1),  # one of ten values
+        2: item.replace("3", "8", 1).replace("Ada", "Eve", 1),  # two
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    assert [(r.id, r.kind) for r in D.find_copies(df, items).collect()] == [(1, "edited")]
+    assert [r.doc_id for r in D.clean(df, items).collect()] == [2]
