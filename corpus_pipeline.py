@@ -5,13 +5,13 @@ The stages keep the columns of documents but for the last, which returns packed
 1. quality classifier: documents that it rejects go;
 2. line dedup: windows of three lines that stood before are removed from the texts, and
    ``n_chars`` follows;
-3. n-gram Jaccard join on five-word shingles at 0.8: one document of each group stays, the
-   one of the smallest id, so documents without near duplicates stay;
-4. benchmark decontamination: documents that hold a copy of a benchmark item go;
+3. n-gram Jaccard join on five-word shingles at 0.8: one row of each group stays, the first
+   one of the smallest id, or of none, so documents without near duplicates stay;
+4. benchmark decontamination: rows that hold a copy of a benchmark item go;
 5. packing: what is left is packed into windows of 1,024 tokens.
 
-A row whose id is null or repeated is treated like any other; only the Jaccard join links
-rows by id, and of rows that share the smallest id of a group all stay.
+A row whose id is null or repeated is treated like any other: the Jaccard join links rows by
+numbers of their own, and decontamination tells rows of one id apart by their texts.
 """
 
 from __future__ import annotations
@@ -38,15 +38,23 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    groups = jaccard.link_components(docs.select("doc_id", "text"), 80, 100, 5)
-    gone = groups.where(F.col("component_id") != F.col("id")).select(F.col("id").alias("doc_id"))
-    return docs.join(stage(gone.distinct(), "pipeline-copies"), "doc_id", "left_anti").select(
-        *docs.columns
+    row = line_dedup.fresh(["_row"], docs.columns)[0]
+    # Numbers that do not change when a task is repeated: they are written with the rows.
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = jaccard.link_components(rows.select(row, "text"), 80, 100, 5, row)
+    groups = groups.select(F.col("id").alias(row), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)
+    placed = stage(
+        groups.join(rows.select(row, "doc_id"), row).select("_group", row, order.alias("_order")),
+        "pipeline-groups",
     )
+    first = placed.groupBy("_group").agg(F.min("_order").alias("_first"))
+    gone = placed.join(first, "_group").where(F.col("_order") != F.col("_first")).select(row)
+    return rows.join(stage(gone, "pipeline-copies"), row, "left_anti").select(*docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

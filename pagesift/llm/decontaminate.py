@@ -111,6 +111,10 @@ def _is_slot(form: Column) -> Column:
     return form.isin(*PLACEHOLDERS)
 
 
+def row_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _entries(tokens: Column, plain: Column, n: int, short: list[int]) -> Column:
     """(at, hash) of template windows, of plain ones that differ, and of ``short`` plain tokens."""
 
@@ -133,9 +137,9 @@ def find_copies(
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
     coverage: float = COVERAGE, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """(id, item, start, end, coverage, slots, kind): copies of items in documents.
+    """(id, row, item, start, end, coverage, slots, kind): copies of items in documents.
 
-    ``start`` and ``end`` are places among the words and numbers of the document. The
+    ``row`` is ``row_hash`` of the text, which tells rows of one id apart. ``start`` and ``end`` are places among the words and numbers of the document. The
     template windows are counted first; blocks of at most ``broadcast_windows`` of them are
     broadcast in turn, so documents are never shuffled before a window has met.
     """
@@ -169,7 +173,7 @@ def find_copies(
         DataFrame.unionByName,
         [
             places.join(F.broadcast(block), "hash").select(
-                "id", F.xxhash64("text").alias("row"), "key", "size",
+                "id", row_hash(F.col("text")).alias("row"), "key", "size",
                 F.struct((F.col("place") - F.col("at")).alias("shift"), "at").alias("hit"),
                 F.when(F.col("has_slot"), F.col("text")).alias("text"),
             )
@@ -333,7 +337,7 @@ def _align(hits: DataFrame, items: DataFrame, n: int, coverage: float, run: int)
     )
     kinds = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
     return filled.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        "id", "item", F.get(segs, 0)["p"].cast("long").alias("start"),
+        "id", "row", "item", F.get(segs, 0)["p"].cast("long").alias("start"),
         F.col("c.p").cast("long").alias("end"), (F.col("c.words") / F.col("size")).alias("coverage"),
         F.transform(
             "slots",
@@ -344,7 +348,7 @@ def _align(hits: DataFrame, items: DataFrame, n: int, coverage: float, run: int)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a copy of a benchmark item."""
+    """``docs`` without the documents, as told by their ids, that hold a copy of a benchmark item."""
     doc = named([id_col])[0]
     name = fresh(["_hit"], docs.columns)[0]
     hit = stage(
@@ -352,3 +356,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
         "benchmark-hits",
     )
     return docs.join(hit, doc.eqNullSafe(F.col(name)), "left_anti")
+
+
+def clean_rows(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """``docs`` without the rows that hold a copy; others of the same or no id stay."""
+    doc, text = named([id_col, text_col])
+    name, row = fresh(["_hit", "_row"], docs.columns)
+    hit = stage(
+        find_copies(docs, benchmark, id_col, text_col, **options)
+        .select(F.col("id").alias(name), F.col("row").alias(row)).distinct(),
+        "benchmark-hits",
+    )
+    same = doc.eqNullSafe(F.col(name)) & (row_hash(text) == F.col(row)) & text.isNotNull()
+    return docs.join(hit, same, "left_anti")

@@ -59,3 +59,20 @@ def test_registered_queries(spark):
         finally:
             del QUERIES[name], ORACLES[name]
         assert ok, note
+
+
+def test_rows_without_an_id_or_of_one_id_are_rows_of_their_own(spark, documents):
+    copied, alone, other = (f"{w} " + " ".join(f"{w}{i}" for i in range(40)) for w in ("ab", "cd", "ef"))
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(3, copied), (7, copied), (7, alone), (None, other), (None, other), (None, copied),
+            (3, copied), (8, item), (8, "clean eight"), (None, item), (None, "clean none"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = C.one_of_each(spark, docs, SMALL)
+    key = lambda x: (str(x[0]), str(x[1]))
+    want = [(3, copied), (7, alone), (None, other), (8, item), (8, "clean eight"),
+            (None, "clean none"), (9, None)]
+    assert sorted(map(tuple, one.collect()), key=key) == sorted(want, key=key)
+    clean = C.no_benchmark(spark, docs, SMALL)
+    assert sorted(map(tuple, clean.collect()), key=key) == sorted(
+        (r for r in rows if r[1] != item), key=key
+    )
