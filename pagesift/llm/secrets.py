@@ -51,8 +51,10 @@ FEATURES = (
 )
 
 
-def _core(word: Column) -> Column:
-    return F.regexp_extract(word, r"([A-Za-z0-9][A-Za-z0-9+/_.\-]{%d,}[A-Za-z0-9])" % (MIN_LENGTH - 2), 1)
+def _cores(word: Column) -> Column:
+    """The runs of a word that have a digit."""
+    run = r"([A-Za-z0-9][A-Za-z0-9+/_.\-]{%d,}[A-Za-z0-9])" % (MIN_LENGTH - 2)
+    return F.filter(F.regexp_extract_all(word, F.lit(run), F.lit(1)), lambda x: x.rlike("[0-9]"))
 
 
 def findings(
@@ -60,23 +62,28 @@ def findings(
 ) -> DataFrame:
     """(id, path, place, finding, before, before2, after): findings and the words beside them.
 
-    Words are what blanks, quotes, brackets and signs of assignment leave; places count them.
+    Words are what blanks, quotes, brackets and signs of assignment leave; places count them,
+    and the findings of one word share its place.
     """
     doc, text, path = named([id_col, text_col, path_col])
     cut = F.split(text, r"[\s\"'`,;(){}<>\[\]|=:]+")
 
     def found(words: Column) -> Column:
         def one(word, i):
-            core = _core(word)
             near = [F.lower(F.coalesce(F.get(words, i + d), F.lit(""))) for d in (-1, -2, 1)]
-            entry = F.struct(
-                i.cast("long").alias("place"), core.alias("finding"), near[0].alias("before"),
-                near[1].alias("before2"), near[2].alias("after"),
-            )
             long = F.length(word) >= MIN_LENGTH
-            return F.when(long & word.rlike("[0-9]") & core.rlike("[0-9]"), entry)
+            return F.when(
+                long & word.rlike("[0-9]"),
+                F.transform(
+                    _cores(word),
+                    lambda core: F.struct(
+                        i.cast("long").alias("place"), core.alias("finding"),
+                        near[0].alias("before"), near[1].alias("before2"), near[2].alias("after"),
+                    ),
+                ),
+            )
 
-        return F.filter(F.transform(words, one), lambda x: x.isNotNull())
+        return F.flatten(F.filter(F.transform(words, one), lambda x: x.isNotNull()))
 
     # Most texts hold no candidate; a plain search tells before anything is split.
     some = docs.where(text.rlike(r"[A-Za-z0-9+/_.\-]{%d}" % MIN_LENGTH) & text.rlike("[0-9]"))
@@ -194,14 +201,16 @@ def scan(
 ) -> DataFrame:
     """(id, place, finding, before, score, is_secret) of every finding.
 
-    ``labelled`` may hold reviewed findings: ``id``, ``place``, ``label``.
+    ``labelled`` may hold reviewed findings: ``id``, ``place``, ``label``, and ``finding`` to
+    tell those of one place apart.
     """
     found = stage(findings(docs, id_col, text_col, path_col), "secret-findings")
     featured = stage(features(found, coverage(found, docs, text_col)), "secret-features")
     if labelled is None:
         training = seed_labels(featured)
     else:
-        training = featured.join(labelled.select("id", "place", "label"), ["id", "place"])
+        keys = [c for c in ("id", "place", "finding") if c in labelled.columns]
+        training = featured.join(labelled.select(*keys, "label"), keys)
     scored = classify(featured, fit(training))
     return scored.select(
         "id", "place", "finding", "before", "score", (F.col("score") >= 0.5).alias("is_secret")
