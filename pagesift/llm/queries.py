@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import (
-    decontaminate, jaccard, licenses, line_dedup, neighbours, packing, quality, secrets, suffixes,
-    toxicity,
+    conversations, decontaminate, jaccard, licenses, line_dedup, neighbours, packing,
+    periodic_runs, pieces, quality, secrets, suffixes, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,48 @@ def _op5(spark, sf):
 def _op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return suffixes.remove_repeats(docs).withColumnRenamed("id", "doc_id")
+
+
+@register("op11_suffix_automaton")
+def _op11(spark, sf):
+    rows = table(spark, sf, "conversations")
+    found, repaired = conversations.repair(conversations.damage(rows))
+    hashes = conversations.text_hashes(repaired)
+    every = rows.select("conv_id").distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    told = every.join(
+        found.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left"
+    ).drop("c").join(
+        hashes.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left"
+    )
+    return told.select(
+        "conv_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@register("op12_backtracking_pieces")
+def _op12(spark, sf):
+    coded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    told = pieces.decode(coded)
+    return told.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@register("op13_grammar_runs")
+def _op13(spark, sf):
+    docs = periodic_runs.plant_runs(table(spark, sf, "documents"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = F.col("best")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -50,7 +50,7 @@ def test_registered_queries(spark):
 
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
     assert not set(LLM_QUERIES) & set(QUERIES)
-    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{n}" for n in range(1, 14)}
     con = duck(SMALL)
     for name in LLM_ORACLES:
         QUERIES[name], ORACLES[name] = LLM_QUERIES[name], LLM_ORACLES[name]
