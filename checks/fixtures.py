@@ -109,9 +109,12 @@ LAYOUTS: dict[int, tuple[tuple[str, str], ...]] = {
         ("</h1>", "</h1></td><td>Size <b>5</b></td></tr><tr><td>no part</td></tr></table>"),
     ),
 }
-# Elements that are never closed, beside others of the same name that are, by page_id % 11.
+# Elements that are closed late or never, beside others of the same name, by page_id % 11.
 OPEN: dict[int, tuple[tuple[str, str], ...]] = {
     4: (("</p><p>", "</p><table><tr><td>a<td>b</td></tr></table><p>"), ("<br>", "<ul><li>c<li>d</ul>")),
+    2: (("<br>", "<div class='card'><ul><li>g</ul><h2>Our services</h2><p>h</p></li><p>i</p></div>"),),
+    5: (("</p><p>", "</p><table><tr><td>j</div><td>k<tr><th>l</table></tr><dl><dt>m<dd>n</dl></dd><p>"),
+        ("</h1>", "</h1><section class='box'><div><ol><li>o</section></ol><p>p</p></div>")),
     7: (("</h1>", "</h1><div>open "), ("</p><p>", "</p><ol><li>e</ol><section><p>f</section><p>")),
 }
 MAIN = (("<article>", "<main>"), ("</article>", "</main>"))  # where page_id % 14 = 3

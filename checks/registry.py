@@ -667,7 +667,7 @@ _HOLDERS = "|".join(S.HOLDER_CLASSES)
 boxes AS (
   SELECT o.page_id, o.pos, o.depth, coalesce((SELECT min(s.pos) FROM steps s
       WHERE s.page_id = o.page_id AND s.pos > o.pos AND s.low < o.depth), 1000000000) AS box_end
-  FROM steps o WHERE o.tag IN ('section', 'article', 'div') AND o.turn = 1
+  FROM steps o WHERE o.tag IN ('section', 'article', 'div') AND o.opens = 1
     AND regexp_matches(coalesce({Q.attribute('o.t', 'class')}, ''), '(?i){_HOLDERS}')),
 chosen AS (
   SELECT h.page_id, h.pos, t.title, max_by(struct_pack(a := b.pos, z := b.box_end), b.depth) AS box

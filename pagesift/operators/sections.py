@@ -23,6 +23,7 @@ from pagesift.functions import html as H
 from pagesift.functions.text import (
     SPACE_CHARS, collapse_space, decode_entities, let, strip, text_or_empty,
 )
+from pagesift.operators.elements import CONTAINERS, element_steps
 from pagesift.operators.filters import freeze
 
 # Rows a page without sections stands for, and the length limit.
@@ -31,13 +32,7 @@ EMPTY_ROW = ("NO_CONTENT", "none", "No sections found on page")
 MAIN_ROW = ("Main Content", "body")
 MAX_CONTENT = 5000
 
-# Elements that hold others count for depth, each one that is opened and closed.
-CONTAINERS = (
-    "html", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside",
-    "ul", "ol", "dl", "table", "form", "fieldset", "figure", "blockquote", "details",
-    "li", "dt", "dd", "tr", "td", "th",
-)
-# Those of them that end a heading when they begin.
+# Containers that end a heading when they begin.
 CELLS = ("li", "dt", "dd", "tr", "td", "th")
 # The others that start a block are often left open; they tell one sibling from the next.
 LEAVES = ("p", "caption", "pre", "address", "hr", "figcaption", "summary", "option")
@@ -132,9 +127,10 @@ def page_meta(pages: DataFrame, meta: Sequence[str] = META) -> DataFrame:
 def page_pieces(pages: DataFrame, holders: bool = False) -> DataFrame:
     """One row per tag and non-blank text of a page, in document order.
 
-    ``pos`` counts from 1; ``tag`` is '' for a text and a sign for an inline tag. Every
-    page has a row, also one without html; its first row carries ``page``: url,
-    metadata, and whether there is html. With
+    ``pos`` counts from 1; ``tag`` is '' for a text and a sign for an inline tag; ``closes``
+    and ``opens`` are the containers that a tag closes and opens. Every page has a row, also
+    one without html; its first row carries ``page``: url, metadata, and whether there is
+    html. A page without an id has no rows: nothing could be told to be of it. With
     ``holders``, ``holder`` marks opening tags that look like section containers.
 
     The pages are hashed by ``page_id`` when all that is left of them are the pieces.
@@ -160,10 +156,17 @@ def page_pieces(pages: DataFrame, holders: bool = False) -> DataFrame:
         pieces=F.filter(
             F.transform(H.tokens(content), piece), lambda x: (x["tag"] != "") | (x["text"] != "")
         ),
-    ).select("page_id", "page", "pieces")
-    rows = narrow.repartition("page_id").select(
-        "page_id", "page", F.posexplode_outer("pieces").alias("_i", "piece")
+    ).select("page_id", "page", "pieces").where(F.col("page_id").isNotNull())
+    stepped = narrow.withColumn(
+        "steps", element_steps(F.transform("pieces", lambda x: x["tag"]))
+    )
+    rows = stepped.repartition("page_id").select(
+        "page_id", "page",
+        F.posexplode_outer(F.arrays_zip("pieces", "steps")).alias("_i", "both"),
+    ).select("page_id", "page", "_i", "both.pieces", "both.steps").toDF(
+        "page_id", "page", "_i", "piece", "step"
     )
+    step = F.coalesce("step", F.lit(0))
     index = F.coalesce("_i", F.lit(0))
     return rows.select(
         "page_id",
@@ -171,6 +174,8 @@ def page_pieces(pages: DataFrame, holders: bool = False) -> DataFrame:
         F.coalesce("piece.tag", F.lit("")).alias("tag"),
         F.coalesce("piece.text", F.lit("")).alias("text"),
         F.when(index == 0, F.col("page")).alias("page"),
+        F.shiftright(step, 1).alias("closes"),
+        step.bitwiseAND(F.lit(1)).alias("opens"),
         *([F.coalesce("piece.holder", F.lit(False)).alias("holder")] if holders else []),
     )
 
@@ -196,35 +201,6 @@ def _level(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit(7)).cast("int")
 
 
-def _with_turns(pieces: DataFrame) -> DataFrame:
-    """Adds ``_turn``: 1 where a container opens that is closed later, -1 where one is closed.
-
-    Both are told per name from the running balance of its tags: an end tag has no open
-    element if it takes the balance to a new low, and an element is never closed if the
-    balance stays above where it was opened. Such tags turn nothing.
-    """
-    tag = F.col("tag")
-    name = F.when(tag.isin(*CONTAINERS), tag).when(
-        tag.isin(*[f"/{t}" for t in CONTAINERS]), F.substr(tag, F.lit(2))
-    )
-    step = F.when(F.col("_name").isNull(), 0).when(tag.startswith("/"), -1).otherwise(1)
-    own = W.partitionBy("page_id", "_name").orderBy("pos")
-    back = W.partitionBy("page_id", "_name").orderBy(F.col("pos").desc())
-    upto = own.rowsBetween(W.unboundedPreceding, W.currentRow)
-    stepped = pieces.withColumn("_name", name).withColumn("_step", step)
-    level = stepped.withColumn("_level", F.sum("_step").over(upto))
-    before = F.min("_level").over(own.rowsBetween(W.unboundedPreceding, -1))
-    after = F.min("_level").over(back.rowsBetween(W.unboundedPreceding, W.currentRow))
-    bounded = level.withColumns({"_before": before, "_after": after})
-    lonely = F.when(
-        F.col("_step") < 0, F.col("_level") < F.least(F.coalesce("_before", F.lit(0)), F.lit(0))
-    ).otherwise(F.col("_after") >= F.col("_level"))
-    turn = F.when(lonely, 0).otherwise(F.col("_step"))
-    return bounded.withColumn("_turn", turn).drop(
-        "_name", "_step", "_level", "_before", "_after"
-    )
-
-
 def _located(pieces: DataFrame) -> DataFrame:
     """Adds to every row its depth, its headings, and what surrounds it.
 
@@ -248,13 +224,13 @@ def _located(pieces: DataFrame) -> DataFrame:
     def n(test: Column, frame=upto) -> Column:
         return F.count(F.when(test, 1)).over(frame)
 
-    turned = _with_turns(pieces)
+    turned = pieces.withColumn("_turn", F.col("opens") - F.col("closes"))
     inline = F.when(tag == _INLINE_OPEN, 1).when(tag == _INLINE_CLOSE, -1).otherwise(0)
-    stray = tag.isin(*[f"/{t}" for t in CONTAINERS]) & (F.col("_turn") == 0)
+    stray = tag.isin(*[f"/{t}" for t in CONTAINERS]) & (F.col("closes") == 0)
     is_block = ~tag.isin("", _INLINE_OPEN, _INLINE_CLOSE, _INLINE_VOID) & ~stray
     twice = n(F.col("page").isNotNull(), whole) > 1
     depth = F.when(
-        twice, F.raise_error(F.concat(F.lit("page_id is not unique: "), F.col("page_id")))
+        twice, F.raise_error(F.concat(F.lit("page_id is not unique: "), F.col("page_id").cast("string")))
     ).otherwise(F.sum("_turn").over(upto))
     deep = turned.withColumns(
         {
@@ -264,7 +240,7 @@ def _located(pieces: DataFrame) -> DataFrame:
         }
     )
     # An open leaf or heading is the sibling; what is inline in it separates nothing.
-    is_leaf = tag.isin(*LEAVES, *CONTAINERS, *HEADINGS) & (F.col("_turn") == 0)
+    is_leaf = tag.isin(*LEAVES, *HEADINGS)
     block = F.when(is_block, F.struct(F.col("_inline").alias("inline"), is_leaf.alias("leaf")))
     level = F.when(tag.isin(*HEADINGS), F.substring(tag, 2, 1).cast("int"))
     heading = _pack(F.col("pos"), F.col("depth"), level)
@@ -289,9 +265,7 @@ def _located(pieces: DataFrame) -> DataFrame:
         | ((tag == _INLINE_CLOSE) & (nested <= 0))
         | ((tag == _INLINE_VOID) & (nested <= 0))
     ) & ~F.coalesce(F.col("_block.leaf"), F.lit(False))
-    low = F.when(is_block, F.col("depth") - F.greatest(F.col("_turn"), F.lit(0))).when(
-        at_top, F.col("depth")
-    )
+    low = F.when(is_block, F.col("depth") - F.col("opens")).when(at_top, F.col("depth"))
     last = _pos(F.col("cover")[5])
     in_main_text = (
         F.when(F.col("_has_main"), F.col("_in_main"))
@@ -299,7 +273,7 @@ def _located(pieces: DataFrame) -> DataFrame:
         .otherwise(~F.col("_in_title"))
     )
     return marked.select(
-        *pieces.columns, "depth", "gap", "cover", low.alias("low"), F.col("_turn").alias("turn"),
+        *pieces.columns, "depth", "gap", "cover", low.alias("low"),
         F.when(last > F.coalesce("_ended", F.lit(0)), last).alias("in_heading"),
         in_main_text.alias("in_main"),
     )
@@ -500,22 +474,26 @@ def container_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT)
     )
     texts = placed.where(has_text).groupBy("page_id").agg(_joined(has_text, "pos", " ").alias("whole"))
     is_head = F.col("tag").isin(*HEADINGS) & (F.col("title") != "")
-    turn, depth = F.col("turn"), F.col("depth")
+    opens, closes, depth = F.col("opens") == 1, F.col("closes"), F.col("depth")
     near = F.sequence(depth, F.greatest(depth - (HOLDER_REACH - 1), F.lit(1)), F.lit(-1))
-    marks = placed.where((turn != 0) | (is_head & (depth > 0))).select(
-        "page_id", "pos", "off", "title", "holder", "turn", is_head.alias("is_head"),
+    # The depths that a tag closes, from the outermost; it opens the same one, if any.
+    outer = F.when(opens, depth).otherwise(depth + 1)
+    closed = F.sequence(outer, outer + closes - 1)
+    marks = placed.where(opens | (closes > 0) | (is_head & (depth > 0))).select(
+        "page_id", "pos", "off", "title", "holder", "depth", "opens", "closes",
+        is_head.alias("is_head"),
         F.explode(
-            F.when(turn > 0, F.array(depth)).when(turn < 0, F.array(depth + 1)).otherwise(near)
+            F.when(closes > 0, closed).when(opens, F.array(depth)).otherwise(near)
         ).alias("at"),
     )
     level = W.partitionBy("page_id", "at")
     before = level.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     after = level.orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    opener = F.when(F.col("turn") > 0, F.struct("off", "holder"))
+    opener = F.when(opens & (F.col("at") == depth), F.struct("off", "holder"))
     held = marks.withColumns(
         {
             "opener": F.last(opener, ignorenulls=True).over(before),
-            "end": F.last(F.when(F.col("turn") < 0, F.col("off")), ignorenulls=True).over(after),
+            "end": F.last(F.when(closes > 0, F.col("off")), ignorenulls=True).over(after),
         }
     ).where(F.col("is_head") & F.col("opener.holder"))
     chosen = held.groupBy("page_id", "pos").agg(
@@ -527,7 +505,8 @@ def container_sections(pages: DataFrame, max_content: int | None = MAX_CONTENT)
 
     def content(box: Column) -> Column:
         """Cut before the headings become rows, so that none carries the whole page."""
-        size = box["end"] - box["start"] - 1
+        end = F.coalesce(box["end"], F.length("whole") + 1)  # a container may stay open
+        size = end - box["start"] - 1
         title_size = F.length(box["title"])
         # Twice the limit, as blanks after the title do not count.
         wanted = size if max_content is None else F.least(size, title_size + 2 * max_content + 1)

@@ -16,6 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "pagesift.staging.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -59,8 +60,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/pagesift/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside the block go as soon as it is written.
+
+    Without it they stay until the driver happens to collect its garbage, and a job of many
+    stages fills the executors' disks with files that nothing reads again.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and return the table read back."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_folder = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Deletes tables that ``stage`` returned, once nothing is left to be computed from them."""
+    for df in staged:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_folder)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

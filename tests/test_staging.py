@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagesift.sources.outputs import write_report
-from pagesift.sources.staging import remove_staged, stage, staged_in
+from pagesift.sources.staging import release, remove_staged, stage, staged_in
 from pagesift.sources.urls import read_url_csv, url_list, url_metadata
 
 
@@ -41,3 +41,15 @@ def test_rows_of_several_files_in_order(spark, tmp_path):
     assert urls == ["a.com", *[f"b{i}.com" for i in range(50)], "a.com"]
     meta = {r.url: r.source_site for r in url_metadata(table, "row_id").collect()}
     assert meta["a.com"] == "last" and meta["b7.com"] == "s7"
+
+
+def test_a_table_goes_and_its_shuffle_files_with_it(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with staged_in(spark, str(tmp_path)):
+        one = stage(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count(), "one")
+        two = stage(one.where("k > 2"), "two")
+        assert spark.conf.get(key) == before
+        release(one)
+    assert two.count() == 4
+    assert [p.name[:3] for p in (tmp_path / "pagesift").iterdir()] == ["two"]
