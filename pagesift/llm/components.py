@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.sources.staging import stage
+from pagesift.sources.staging import release, stage
 
 
 def _lowest(pairs: DataFrame, name: str) -> DataFrame:
@@ -42,6 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             ).distinct(),
             "links-large",
         )
+        release(low)
         low = _lowest(large, "links-low")
         small = large.join(low, "u").select(
             F.explode(
@@ -51,7 +52,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 )
             ).alias("e")
         ).select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
-        edges = stage(small, "links-small")
+        old, edges = edges, stage(small, "links-small")
+        release(low, large, old)
         new = _state(edges)
         if new == state:
             break

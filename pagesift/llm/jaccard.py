@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.columns import named
 from pagesift.llm.components import components
 from pagesift.llm.texts import lists, mix, shingle_sets, slices
-from pagesift.sources.staging import stage
+from pagesift.sources.staging import release, stage
 
 BLOCK = 128
 GROUP = 16
@@ -118,6 +118,7 @@ def _neighbourhoods(sets: DataFrame, left: DataFrame, num: int, den: int) -> Dat
     hubs = stage(prefix.groupBy("token").agg(F.min("rep").alias("hub")), "jaccard-hubs")
     pairs = prefix.join(hubs, "token").where("rep <> hub").select("rep", "hub").distinct()
     found = components(pairs, "rep", "hub")
+    release(tokens, shared, prefix, hubs)
     hub = found.select(F.col("component").alias("rep"), "component").distinct()
     return found.select(F.col("node").alias("rep"), "component").unionByName(hub)
 
@@ -292,8 +293,9 @@ def link_components(
     doc, text = named([id_col, text_col])
     texts = docs.select(doc.cast("long").alias("id"), text.alias("text"))
     share = min(1.0, float(2 * (1 - theta)))
-    all_sets = stage(texts.mapInArrow(_sets(words, share), SETS), "jaccard-sample")
-    usable = all_sets.where((F.col("n") > 0) & F.col("id").isNotNull())
+    sample = stage(texts.mapInArrow(_sets(words, share), SETS), "jaccard-sample")
+    all_sets = stage(sample.drop("tokens"), "jaccard-rows")
+    usable = sample.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = stage(
         usable.groupBy("f1", "f2").agg(
             F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")
@@ -308,6 +310,7 @@ def link_components(
         .where("f1 = own").select(F.col("id").alias("rep"), "n", "tokens", "copies"),
         "jaccard-sets",
     )
+    release(sample)
     left = stage(_not_unique(whole, "rep", num, den), "jaccard-left")
     near = stage(_neighbourhoods(whole, left, num, den), "jaccard-neighbourhoods")
     tasks = _tasks(near.join(left.select("rep", "n"), "rep"), num, den, block)
@@ -316,6 +319,7 @@ def link_components(
         .applyInArrow(_link(num, den), "rep long, root long, links long"),
         "jaccard-links",
     )
+    release(whole, near, left)
     found = components(linked, "rep", "root")
     number = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     of_class = (
@@ -326,6 +330,7 @@ def link_components(
         )
     )
     of_class = stage(of_class, "jaccard-components")
+    release(classes, linked)
     rows = all_sets.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("f1"))
                            .alias("f1"), "f2")
     return rows.join(of_class, ["f1", "f2"], "left").select(
