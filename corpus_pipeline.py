@@ -16,43 +16,66 @@ numbers of their own, and decontamination tells rows of one id apart by their te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import decontaminate, jaccard, line_dedup, packing, quality
 from pagesift.llm.queries import importable
-from pagesift.sources.staging import stage
+from pagesift.sources.staging import (
+    new_folder, release, remove_staged, stage, staged_in, staging_root,
+)
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+OWN = ("doc_id", "text", "n_chars")
+
+
+def same_columns(apply: Stage) -> Stage:
+    """The stage under plain names: other columns may be called like an operator's own, or
+    hold dots, and come back as they were."""
+
+    @wraps(apply)
+    def renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        names = [c if c in OWN else f"_other{i}" for i, c in enumerate(docs.columns)]
+        return apply(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
 
+    return renamed
 
+
+@same_columns
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model)
-    return scored.where(F.col("score") >= 0.5).select(*docs.columns)
+    return quality.score(docs, model).where("score >= 0.5")
 
 
+@same_columns
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup_lines(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@same_columns
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
-    row = line_dedup.fresh(["_row"], docs.columns)[0]
     # Numbers that do not change when a task is repeated: they are written with the rows.
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
-    groups = jaccard.link_components(rows.select(row, "text"), 80, 100, 5, row)
-    groups = groups.select(F.col("id").alias(row), F.col("component_id").alias("_group"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = jaccard.link_components(rows.select("_row", "text"), 80, 100, 5, "_row")
+    groups = groups.select(F.col("id").alias("_row"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
     placed = stage(
-        groups.join(rows.select(row, "doc_id"), row).select("_group", row, order.alias("_order")),
+        groups.join(rows.select("_row", "doc_id"), "_row")
+        .select("_group", "_row", order.alias("_order")),
         "pipeline-groups",
     )
     first = placed.groupBy("_group").agg(F.min("_order").alias("_first"))
-    gone = placed.join(first, "_group").where(F.col("_order") != F.col("_first")).select(row)
-    return rows.join(stage(gone, "pipeline-copies"), row, "left_anti").select(*docs.columns)
+    gone = placed.join(first, "_group").where(F.col("_order") != F.col("_first")).select("_row")
+    gone = stage(gone, "pipeline-copies")
+    release(placed)
+    return rows.join(gone, "_row", "left_anti")
 
 
+@same_columns
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -75,8 +98,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for the table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage for the table ``documents``.
+
+    What a stage writes for itself goes when its rows are written, and so do the rows of
+    the stage before.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    root = staging_root(spark)
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        own = new_folder(spark, f"pipeline-{name}-work")
+        with staged_in(spark, own):
+            out = apply(spark, docs, sf_dir)
+            with staged_in(spark, root):
+                docs = stage(out, f"pipeline-{name}")
+        remove_staged(spark, own)
+        if before is not None:
+            release(before)
+        before = docs
     return docs
