@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from pagesift.functions.columns import named
 from pagesift.llm.texts import map_batches
 
 BLANK = "▁"
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 18  # words, and as many of those before
 SHORT = 64
 PAIRS = 1 << 19
 BATCH = 1 << 20  # characters encoded at a time
@@ -157,14 +158,18 @@ class Pieces:
                 .get(p.type, p.piece.replace(BLANK, " ").encode())
             )
         self.kind = np.array(kinds)
+        self.usable: dict[str, tuple[int, str, int]] = {}
+        self.shorter: dict[str, tuple[int, str, int] | None] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for p, i in self.ids.items():
             # Pieces that merges never give are none.
             if p not in blanks and (len(p) == 1 or merge(list(p), self.rank) == [p]) or p == BLANK:
-                self.automaton.add_word(p, (len(p), p, i))
+                self.usable[p] = len(p), p, i
+                self.automaton.add_word(p, self.usable[p])
         self.automaton.make_automaton()
         self.cut = re.compile(_words({p for p in self.ids if p not in blanks}))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # those known before as many others came
         self.pairs: dict[tuple[str, str], bool] = {}
         self.lone: dict[int, list[int]] = {}
 
@@ -177,47 +182,54 @@ class Pieces:
             ok = self.pairs[one, two] = merge(list(one + two), self.rank) == [one, two]
         return ok
 
-    def _known_letters(self, found: list[list[tuple]], lo: int, hi: int) -> list[int]:
-        """Ids of a stretch of letters that have pieces; ``found`` has them by their beginnings."""
-        failed = bytearray((hi - lo >> 3) + 1)
+    def _shorter(self, piece: str) -> tuple[int, str, int] | None:
+        """The longest piece that the piece begins with."""
+        if piece not in self.shorter:
+            starts = (piece[:n] for n in range(len(piece) - 1, 0, -1))
+            self.shorter[piece] = next((self.usable[p] for p in starts if p in self.usable), None)
+        return self.shorter[piece]
+
+    def _known_letters(self, longest: list[tuple], lo: int, hi: int) -> list[int]:
+        """Ids of a stretch of letters that have pieces; ``longest`` has the longest at each place."""
+        failed = None
         taken: list[tuple[int, str, int]] = []
-        tried: list[int] = []  # how many pieces were tried at each taken one's place
-        at, k = lo, 0
+        at, here = lo, longest[lo] if lo < hi else None
         while at < hi:
-            here = found[at]
-            while k < len(here):
-                size, piece, _ = here[k]
-                end = at + size
-                k += 1
-                bit = end - lo
-                if not failed[bit >> 3] >> (bit & 7) & 1 and (
-                    not taken or self.may_follow(taken[-1][1], piece)
+            while here is not None:
+                bit = at + here[0] - lo
+                if (failed is None or not failed[bit >> 3] >> (bit & 7) & 1) and (
+                    not taken or self.may_follow(taken[-1][1], here[1])
                 ):
-                    taken.append(here[k - 1])
-                    tried.append(k)
-                    at, k = end, 0
                     break
+                here = self._shorter(here[1])
+            if here is not None:
+                taken.append(here)
+                at += here[0]
+                here = longest[at] if at < hi else None
             else:
+                if failed is None:
+                    failed = bytearray((hi - lo >> 3) + 1)
                 failed[at - lo >> 3] |= 1 << (at - lo & 7)
-                at -= taken.pop()[0]
-                k = tried.pop()
-        return [i for _, _, i in taken]
+                last = taken.pop()
+                at -= last[0]
+                here = self._shorter(last[1])
+        return [piece[2] for piece in taken]
 
     def _word(self, word: str) -> list[int]:
         """Ids of at most one blank and what stands before the next one."""
-        found: list[list[tuple]] = [[] for _ in word]
+        longest: list[tuple | None] = [None] * len(word)
         for end, piece in self.automaton.iter(word):
-            found[end - piece[0] + 1].append(piece)  # shorter ones end earlier
+            longest[end - piece[0] + 1] = piece  # shorter ones end earlier
+        if None not in longest:
+            return self._known_letters(longest, 0, len(word))
         out: list[int] = []
         lo = 0
-        for i, here in enumerate(found):
-            if not here:
-                out += self._known_letters(found, lo, i)
+        for i, here in enumerate(longest):
+            if here is None:
+                out += self._known_letters(longest, lo, i)
                 out += [self.bytes[b] for b in word[i].encode()] if self.fallback else [self.unknown]
                 lo = i + 1
-            else:
-                here.reverse()
-        return out + self._known_letters(found, lo, len(word))
+        return out + self._known_letters(longest, lo, len(word))
 
     def _blanks(self, n: int) -> list[int]:
         """Ids of blanks that no word takes."""
@@ -229,31 +241,36 @@ class Pieces:
         return got
 
     def _segment(self, segment: str) -> bytes:
-        word = segment.lstrip(BLANK)
-        blanks = len(segment) - len(word)
-        if not word:
-            ids = self._blanks(blanks)
-        elif not blanks:
-            ids = self._word(word)
-        else:
-            own = self._word(BLANK + word)
-            alone = own[0] == self.ids.get(BLANK)
-            ids = self._blanks(blanks - 1 + alone) + own[alone:]
-        out = np.array(ids, "<i4").tobytes()
+        """Ids of blanks and the word behind them, which is remembered unless it is long."""
+        out = self.older.get(segment)
+        if out is None:
+            ids = self._new(segment)
+            out = struct.pack(f"<{len(ids)}i", *ids)
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        if len(segment) <= 64:
+            self.known, self.older = {}, self.known
+        if len(segment) <= SHORT:
             self.known[segment] = out
         return out
 
+    def _new(self, segment: str) -> list[int]:
+        word = segment.lstrip(BLANK)
+        blanks = len(segment) - len(word)
+        if not word:
+            return self._blanks(blanks)
+        if not blanks:
+            return self._word(word)
+        own = self._word(BLANK + word)
+        alone = own[0] == self.ids.get(BLANK)
+        return self._blanks(blanks - 1 + alone) + own[alone:]
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, four bytes each."""
         if not text:
             return b""
         text = text.replace(" ", BLANK)
-        known, out = self.known, []
+        out = []
         for segment in self.cut.findall(BLANK + text if self.prefix else text):
-            got = known.get(segment)
+            got = self.known.get(segment)
             out.append(self._segment(segment) if got is None else got)
         return b"".join(out)
 
