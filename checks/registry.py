@@ -22,6 +22,7 @@ from pagesift.operators import enrich as E
 from pagesift.operators import filters as FL
 from pagesift.operators import numbering as N
 from pagesift.operators import reports as R
+from pagesift.operators import rule_tables as RT
 from pagesift.operators import sections as S
 from pagesift.plans.site_report import (
     listed_sections, report_prompts, site_report, submitted_report,
@@ -101,28 +102,52 @@ def _flatten_newlines(spark, sf):
 
 
 _ENTITY_ROWS = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in T.ENTITIES.items())
+_LOOSE_ROWS = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in T.LOOSE_ENTITIES.items())
 
 
-@register("entity_decode", f"""
-WITH coded AS (SELECT doc_id, '&lt;p&gt;' || replace(replace(text, 'e ', 'e&amp;nbsp;&#8212;'), 'n ',
-  'n&#x1F600;&eacute;&copy 2 &nosuch; &#0;&') AS text FROM documents),
-entities(name, ch) AS (VALUES {_ENTITY_ROWS}),
+def _entities(start: str, *pairs: tuple[str, str]) -> tuple[str, Query]:
+    """Texts with references put in, and what they are decoded to."""
+    text = Q.replaced("text", pairs)
+    sql = f"""
+WITH coded AS (SELECT doc_id, {quoted(start)} || {text} AS text FROM documents),
+entities(name, ch) AS (VALUES {_ENTITY_ROWS}), loose(name, ch) AS (VALUES {_LOOSE_ROWS}),
 parts AS (SELECT doc_id, unnest(string_split(text, '&')) AS p,
                  unnest(range(len(string_split(text, '&')))) AS i FROM coded),
-named AS (SELECT *, regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);', 1) AS n
-          FROM parts),
-solved AS (SELECT doc_id, i, p, n, CASE WHEN n = '#0' THEN chr(65533) WHEN n = '#8212' THEN chr(8212)
-    WHEN n = '#x1F600' THEN chr(128512) ELSE ch END AS ch
-  FROM named LEFT JOIN entities ON n = name)
-SELECT doc_id, string_agg(CASE WHEN i = 0 THEN p WHEN ch IS NULL THEN '&' || p
-  ELSE ch || p[length(n) + 2:] END, '' ORDER BY i) AS text FROM solved GROUP BY doc_id""")
-def _entity_decode(spark, sf):
-    text = F.replace(F.col("text"), F.lit("e "), F.lit("e&amp;nbsp;&#8212;"))
-    text = F.replace(text, F.lit("n "), F.lit("n&#x1F600;&eacute;&copy 2 &nosuch; &#0;&"))
-    coded = table(spark, sf, "documents").select(
-        "doc_id", F.concat(F.lit("&lt;p&gt;"), text).alias("text")
-    )
-    return coded.select("doc_id", T.decode_entities("text").alias("text"))
+told AS (SELECT *, regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);', 1) AS n,
+           regexp_extract(p, '^[a-zA-Z0-9]+') AS letters,
+           regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+)') AS code FROM parts),
+kinds AS (SELECT letters, max_by(name, length(name)) AS short
+  FROM (SELECT DISTINCT letters FROM told) JOIN loose ON starts_with(letters, name) GROUP BY ALL),
+solved AS (SELECT t.*, CASE code WHEN '#0' THEN chr(65533) WHEN '#8212' THEN chr(8212)
+    WHEN '#65' THEN 'A' WHEN '#x4a' THEN 'J' WHEN '#x1F600' THEN chr(128512) END AS sign,
+    e.ch AS exact, short, l.ch AS open_ch
+  FROM told t LEFT JOIN entities e ON t.n = e.name LEFT JOIN kinds USING (letters)
+  LEFT JOIN loose l ON l.name = short)
+SELECT doc_id, string_agg(CASE WHEN i = 0 THEN p
+  WHEN sign IS NOT NULL THEN sign || p[length(code) + CASE WHEN n = '' THEN 1 ELSE 2 END:]
+  WHEN exact IS NOT NULL THEN exact || p[length(n) + 2:]
+  WHEN short IS NOT NULL THEN open_ch || regexp_replace(p[length(short) + 1:], '^;', '')
+  ELSE '&' || p END, '' ORDER BY i) AS text FROM solved GROUP BY doc_id"""
+
+    def run(spark, sf):
+        text = F.col("text")
+        for old, new in pairs:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        coded = F.concat(F.lit(start), text)
+        docs = table(spark, sf, "documents").select("doc_id", coded.alias("text"))
+        return docs.select("doc_id", T.decode_entities("text").alias("text"))
+
+    return sql, run
+
+
+for _name, *_how in (
+    ("entity_decode", "&lt;p&gt;", ("e ", "e&amp;nbsp;&#8212;"),
+     ("n ", "n&#x1F600;&eacute;&copy 2 &nosuch; &#0;&")),
+    ("entity_without_end", "&ltp&gt", ("e ", "e&copy2024 &ampx&amp "), ("n ", "n&#65 &#x4ag&notit;&notin;"),
+     ("s ", "s&eacuteee&no;&reg=&")),
+):
+    _sql, _run = _entities(*_how)
+    register(_name, _sql)(_run)
 
 
 # --- row filters ----------------------------------------------------------------------
@@ -185,6 +210,20 @@ def _filter_step_report(spark, sf):
     return FL.step_report(doc_sections(spark, sf), order_by=["pos"])
 
 
+@register("filter_with_report", Q.with_(
+    DOC_SECTIONS, Q.cleaned("doc_sections"), Q.filtered("cleaned")) + """
+SELECT url, pos, section_title, section_level, content, ai_category,
+  (SELECT count(*) FROM doc_sections) AS original_rows,
+  (SELECT count(*) FROM kept) AS filtered_rows FROM kept""")
+def _filter_with_report(spark, sf):
+    kept, report = FL.filter_with_report(doc_sections(spark, sf), order_by=["pos"])
+    n = R.report_summary(report).first()
+    return kept.select(
+        *_ROWS.split(", "), F.lit(n.original_rows).cast("long").alias("original_rows"),
+        F.lit(n.filtered_rows).cast("long").alias("filtered_rows"),
+    )
+
+
 @register("rules_overlay", """
 WITH given AS (
   SELECT 'sources' AS rule_type, source AS pattern, count(*) AS n_docs FROM documents GROUP BY ALL),
@@ -230,6 +269,56 @@ def _filter_custom_rules(spark, sf):
     return kept.select(*_ROWS.split(", "))
 
 
+# Rules made of stretches of the texts themselves, of names that occur nowhere, and short ones.
+_MADE_RULES = """
+made_rules AS (
+  SELECT 'boilerplate_keywords' AS rule_type, lower(content[5:20]) AS pattern
+  FROM doc_sections WHERE pos % 97 = 3 AND length(content) >= 20
+  UNION SELECT 'boilerplate_keywords', lower(c_name) FROM customer
+  UNION SELECT 'excluded_section_titles', lower(r_name[1:3]) FROM region
+  UNION SELECT 'excluded_section_titles', lower(content[1:9]) FROM doc_sections
+    WHERE pos % 101 = 5 AND length(content) >= 9)"""
+
+
+def _made_rules(spark, sf) -> DataFrame:
+    ds = doc_sections(spark, sf)
+    pos, size = F.col("pos"), F.length("content")
+    keyword, title = F.lit("boilerplate_keywords"), F.lit("excluded_section_titles")
+    parts = (
+        ds.where((pos % 97 == 3) & (size >= 20)).select(keyword, F.lower(F.substring("content", 5, 16))),
+        table(spark, sf, "customer").select(keyword, F.lower("c_name")),
+        table(spark, sf, "region").select(title, F.lower(F.substring("r_name", 1, 3))),
+        ds.where((pos % 101 == 5) & (size >= 9)).select(title, F.lower(F.substring("content", 1, 9))),
+    )
+    rules = parts[0].toDF("rule_type", "pattern")
+    for part in parts[1:]:
+        rules = rules.unionByName(part.toDF("rule_type", "pattern"))
+    return stage(rules.distinct(), "made-rules")
+
+
+@register("filter_rule_table", Q.with_(DOC_SECTIONS, Q.cleaned("doc_sections"), _MADE_RULES) + f"""
+SELECT {_ROWS} FROM cleaned c WHERE NOT EXISTS (
+    SELECT 1 FROM made_rules r WHERE rule_type = 'boilerplate_keywords'
+      AND contains(lower(c.section_title || ' ' || c.content), r.pattern))
+  AND NOT EXISTS (
+    SELECT 1 FROM made_rules r WHERE rule_type = 'excluded_section_titles'
+      AND contains(lower(c.section_title), r.pattern))""")
+def _filter_rule_table(spark, sf):
+    kept = RT.filter_by_rule_table(doc_sections(spark, sf), _made_rules(spark, sf), ["pos"])
+    return kept.select(*_ROWS.split(", "))
+
+
+@register("rule_table_hits", Q.with_(DOC_SECTIONS, _MADE_RULES) + """
+SELECT pattern, count(*) AS n_rows
+FROM doc_sections JOIN (SELECT DISTINCT pattern FROM made_rules) ON contains(lower(content), pattern)
+GROUP BY pattern""")
+def _rule_table_hits(spark, sf):
+    hits = RT.rule_hits(
+        doc_sections(spark, sf), ["pos"], F.lower("content"), _made_rules(spark, sf)
+    )
+    return hits.groupBy("pattern").agg(F.count("*").alias("n_rows"))
+
+
 # --- repeats and page dumps -----------------------------------------------------------
 
 
@@ -453,6 +542,22 @@ def _summary_side_output(spark, sf):
     return O.read_csv(spark, O.summary_path(path), schema)
 
 
+@register("parquet_roundtrip", Q.with_(DOC_SECTIONS, """
+chosen AS (SELECT url, min(pos) AS pos FROM doc_sections GROUP BY url)""") + """
+SELECT pos, url, section_title, section_level, content, ai_category FROM doc_sections
+WHERE pos IN (SELECT pos FROM chosen) OR url = (SELECT max(url) FROM doc_sections)""")
+def _parquet_roundtrip(spark, sf):
+    path = new_folder(spark, "report") + "/sections.parquet"
+    O.write_parquet(doc_sections(spark, sf), path, ["pos"])
+    back = spark.read.parquet(path)
+    chosen = back.groupBy("url").agg(F.min("pos").alias("pos"))
+    last = back.agg(F.max("url")).first()[0]
+    by_place = back.join(chosen.select("pos"), "pos", "left_semi")
+    return by_place.unionByName(back.where(F.col("url") == last)).distinct().select(
+        "pos", "url", "section_title", "section_level", "content", "ai_category"
+    )
+
+
 @register("shape_sections", Q.with_(DOC_SECTIONS) + """
 SELECT url, CASE WHEN pos % 2 = 0 THEN section_title ELSE '' END AS page_title, '' AS description,
   '' AS canonical_url, section_title, section_level, content,

@@ -60,7 +60,9 @@ def attribute(tag: Column, name: str) -> Column:
     """
     pattern = rf"""{_up_to(name)}\s*+=\s*+("[^"]*+|'[^']*+|[^\s>"'][^\s>]*+)"""
     value = F.regexp_extract(tag, pattern, 1)
-    return let(F.regexp_replace(value, "^[\"']", ""), decode_entities)
+    return let(
+        F.regexp_replace(value, "^[\"']", ""), lambda v: decode_entities(v, attribute=True)
+    )
 
 
 def head_tags(markup: Column | str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Named entities an HTML 4 parser resolves, plus the XML one it lacks.
 ENTITIES: dict[str, str] = {n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}
 
+# Names that are resolved without a semicolon as well, the longest that fits.
+LOOSE_ENTITIES: dict[str, str] = {n: c for n, c in html5.items() if not n.endswith(";")}
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -145,15 +148,38 @@ def _entity(name: Column) -> Column:
     )
 
 
-def decode_entities(c: Column | str) -> Column:
-    """Resolve character references once, left to right (``&amp;nbsp;`` gives ``&nbsp;``)."""
+def decode_entities(c: Column | str, attribute: bool = False) -> Column:
+    """Resolve character references once, left to right (``&amp;nbsp;`` gives ``&nbsp;``).
+
+    A number, or the longest of the old names that a reference begins with, counts without
+    its semicolon too (``&copy 2024``, ``&ampx``); in an attribute not before a letter,
+    a digit or an equals sign, as addresses have them (``?a=1&copy=2``).
+    """
     text = _col(c)
     pattern = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+    names = "|".join(sorted(LOOSE_ENTITIES, key=lambda n: (-len(n), n)))
+    behind = "(?![a-zA-Z0-9=])" if attribute else ""
+    loose = f"^(#[0-9]+|#[xX][0-9a-fA-F]+|{names}){behind}"
+    pairs = "\n".join(f"{k}\t{v}" for k, v in LOOSE_ENTITIES.items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
 
     def piece(p: Column, i: Column) -> Column:
+        def after(n: Column) -> Column:
+            return F.substr(p, n + 1, F.length(p))
+
+        def open_ended(name: Column) -> Column:
+            char = F.when(name.startswith("#"), _entity(name)).when(
+                name != "", F.try_element_at(table, name)
+            )
+            size = F.length(name)
+            size = F.when(F.substr(p, size + 1, F.lit(1)) == ";", size + 1).otherwise(size)
+            return F.coalesce(F.concat(char, after(size)), F.concat(F.lit("&"), p))
+
         def solved(name: Column) -> Column:
-            after = F.substr(p, F.length(name) + 2, F.length(p))
-            return F.coalesce(F.concat(_entity(name), after), F.concat(F.lit("&"), p))
+            return F.coalesce(
+                F.concat(_entity(name), after(F.length(name) + 1)),
+                let(F.regexp_extract(p, loose, 1), open_ended),
+            )
 
         return F.when(i == 0, p).otherwise(let(F.regexp_extract(p, pattern, 1), solved))
 

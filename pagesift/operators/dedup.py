@@ -17,6 +17,8 @@ MIN_SUB_SECTIONS = 3
 MIN_LENGTH_SHARE = 0.8
 LONG_SECTION = 50
 PROBE_LENGTH = 100
+# Characters of the blocks by which openings are looked for: two less one fit the shortest.
+BLOCK = 25
 
 
 def first_wins(
@@ -47,6 +49,37 @@ def with_probes(sections: DataFrame) -> DataFrame:
     )
 
 
+def held_openings(heads: DataFrame, openings: DataFrame) -> DataFrame:
+    """``(url, _print, _opening)``: the openings that a text of the same URL contains.
+
+    ``heads`` has ``url, _print, content``, ``openings`` has ``url, _opening``, each of more than
+    ``LONG_SECTION`` and at most ``PROBE_LENGTH`` characters. A text is cut into blocks
+    of ``BLOCK`` characters. Wherever an opening stands, a whole block stands in its first
+    ``LONG_SECTION`` characters, so one of its first ``BLOCK`` stretches of that length is
+    that block: an equi-join finds the place, and the blocks around it tell the rest. The
+    rows grow with the texts, not with texts times openings.
+    """
+    # The block that an opening begins in, the one that it is found by, and what is behind.
+    around = -(-PROBE_LENGTH // BLOCK) + 2
+    block = F.regexp_extract_all("content", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    cut = heads.select("url", "_print", block.alias("b"))
+    blocks = cut.select("url", "_print", "b", F.posexplode("b").alias("i", "_block")).select(
+        "url", "_print", "_block",
+        F.array_join(F.slice("b", F.greatest(F.col("i"), F.lit(1)), F.lit(around)), "").alias("_around"),
+        F.when(F.col("i") == 0, 0).otherwise(BLOCK).alias("_before"),
+    )
+    starts = F.transform(
+        F.sequence(F.lit(0), F.lit(BLOCK - 1)),
+        lambda k: F.struct(k.alias("_at"), F.substr("_opening", k + 1, F.lit(BLOCK)).alias("_block")),
+    )
+    grams = openings.select("url", "_opening", F.inline(starts))
+    at = F.col("_before") - F.col("_at")
+    there = (at >= 0) & (
+        F.substr(F.col("_around"), at + 1, F.length("_opening")) == F.col("_opening")
+    )
+    return blocks.join(grams, ["url", "_block"]).where(there).select("url", "_print", "_opening").distinct()
+
+
 def page_dumps(sections: DataFrame) -> DataFrame:
     """The ``h1`` rows that repeat the page: a subset of ``sections``, all columns.
 
@@ -56,10 +89,8 @@ def page_dumps(sections: DataFrame) -> DataFrame:
 
     ``sections`` should be a table. The lengths are compared before any text moves:
     where an ``h1`` can still be a dump, the sub-sections of its URL together are
-    shorter than 1.25 times that ``h1``, which bounds the openings collected per URL
-    whatever number of rows the URL has. The openings are written before they are
-    collected: an aggregate on the join's own key would keep adaptive execution from
-    splitting a URL with very many rows.
+    shorter than 1.25 times that ``h1``, which bounds the openings of a URL whatever
+    number of rows it has. Equal openings, and equal texts of a URL, are looked for once.
     """
     probed = sections if "_opening" in sections.columns else with_probes(sections)
     is_sub, length = F.col("section_level").isin(*SUB_LEVELS), F.col("_length")
@@ -80,14 +111,25 @@ def page_dumps(sections: DataFrame) -> DataFrame:
     )
     numbers = stage(numbers, "dump-numbers")
     starts = probed.where(F.col("_opening").isNotNull()).select("url", "_opening")
-    found = stage(starts.join(numbers.select("url"), "url", "left_semi"), "dump-openings")
-    openings = found.groupBy("url").agg(F.collect_list("_opening").alias("_openings"))
-    heads = probed.where(F.col("section_level") == "h1").drop("_opening")
-    tested = heads.join(numbers.join(openings, "url"), "url")
-    held = F.size(F.filter("_openings", lambda o: F.col("content").contains(o)))
-    is_dump = (length > F.col("_sub_length") * share) & (2 * held >= F.col("_n_sub"))
+    openings = stage(
+        starts.join(numbers.select("url"), "url", "left_semi")
+        .groupBy("url", "_opening").agg(F.count("*").alias("_n")),
+        "dump-openings",
+    )
+    heads = (
+        probed.where((F.col("section_level") == "h1") & (F.col("content") != "")).drop("_opening")
+        .join(numbers, "url").where(length > F.col("_sub_length") * share)
+        .withColumn("_print", F.md5("content"))
+    )
+    heads = stage(heads, "dump-heads")
+    once = heads.select("url", "_print", "content").dropDuplicates(["url", "_print"])
+    found = stage(held_openings(once, openings), "dump-held")
+    held = found.join(openings, ["url", "_opening"]).groupBy("url", "_print").agg(
+        F.sum("_n").alias("_held")
+    )
     return (
-        tested.where((F.col("content") != "") & is_dump)
+        heads.join(stage(held, "dump-counts"), ["url", "_print"])
+        .where(2 * F.col("_held") >= F.col("_n_sub"))
         .withColumn("_opening", F.lit(None).cast("string"))
         .select(*named(sections.columns))
     )

@@ -137,38 +137,50 @@ def with_drop_reason(df: DataFrame, rules: FilterRules = DEFAULT_RULES) -> DataF
     return freeze(tested, drop_reason=reason).select(*named(cleaned.columns), "drop_reason")
 
 
-def step_report(
+def filter_with_report(
     df: DataFrame,
     rules: FilterRules = DEFAULT_RULES,
     order_by: Sequence[str] = ORDER,
-) -> DataFrame:
-    """``(step, n_rows)``: rows each step removed, and under ``kept`` those that stay.
-
-    Steps that remove nothing have a row with 0. The texts are cleaned once; the
-    text of rows that already failed is not written again.
+) -> tuple[DataFrame, DataFrame]:
+    """What ``filter_sections`` keeps, and ``(step, n_rows)``: what each step removed.
+
+    The texts are cleaned and tested in one pass, which writes every row with the step it
+    failed at (the texts only of rows that failed none); table and report both come from
+    that. Counters of the tasks themselves would save the column, but they count again
+    what is repeated when an executor with shuffle files is lost. Under ``kept`` the report
+    has the rows that stay; steps that remove nothing have a row with 0.
     """
     reasoned = with_drop_reason(df, rules)
     alive = F.col("drop_reason").isNull()
+    texts = ("section_title", "content")
     staged = stage(
         reasoned.select(
-            "url", "section_level", *order_by, "drop_reason",
-            F.when(alive, F.col("section_title")).alias("section_title"),
-            F.when(alive, F.col("content")).alias("content"),
+            *[F.when(alive, F.col(c)).alias(c) if c in texts else named([c])[0]
+              for c in reasoned.columns]
         ),
         "reasons",
     )
     count = F.count("*").alias("n")
     local = staged.groupBy(F.coalesce("drop_reason", F.lit("alive")).alias("step")).agg(count)
-    first = first_wins(staged.where(alive), order_by).drop("drop_reason")
+    first = first_wins(staged.where(alive).drop("drop_reason"), order_by)
     unique = stage(with_probes(first), "unique")
     n_unique = unique.agg(F.lit("unique").alias("step"), count)
-    kept = remove_page_dumps(unique).agg(F.lit("kept").alias("step"), count)
-    known = local.unionByName(n_unique).unionByName(kept)
+    kept = stage(remove_page_dumps(unique), "kept")
+    n_kept = kept.agg(F.lit("kept").alias("step"), count)
+    known = local.unionByName(n_unique).unionByName(n_kept)
     # One row of at most eight counts; the last steps are differences of totals.
     totals = known.groupBy().pivot("step", ["alive", "unique", "kept", *STEPS[:5]]).agg(F.sum("n"))
     n = {c: F.coalesce(F.col(c), F.lit(0)) for c in totals.columns}
     n["duplicate"] = n["alive"] - n["unique"]
     n["page_dump"] = n["unique"] - n["kept"]
     rows = [F.struct(F.lit(s).alias("step"), n[s].alias("n_rows")) for s in (*STEPS, "kept")]
-    return totals.select(F.inline(F.array(*rows)))
+    return kept, totals.select(F.inline(F.array(*rows)))
 
+
+def step_report(
+    df: DataFrame,
+    rules: FilterRules = DEFAULT_RULES,
+    order_by: Sequence[str] = ORDER,
+) -> DataFrame:
+    """``(step, n_rows)`` alone; see ``filter_with_report``."""
+    return filter_with_report(df, rules, order_by)[1]

@@ -49,7 +49,20 @@ def _share(part: Column, whole: Column) -> Column:
 
 def filter_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows before, after and removed, and the percentage removed to one decimal."""
-    n = _counted(original_rows=before, filtered_rows=after)
+    return _removal(_counted(original_rows=before, filtered_rows=after))
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """``filter_summary`` from the report of ``filter_with_report``: no table is counted again."""
+    n = report.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("original_rows"),
+        F.coalesce(F.sum(F.when(F.col("step") == "kept", F.col("n_rows"))), F.lit(0))
+        .alias("filtered_rows"),
+    )
+    return _removal(n)
+
+
+def _removal(n: DataFrame) -> DataFrame:
     removed = F.col("original_rows") - F.col("filtered_rows")
     percentage = _share(removed, F.col("original_rows")) * 100
     return n.select(

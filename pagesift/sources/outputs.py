@@ -7,6 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.functions.columns import named
 from pagesift.functions.text import flatten_newlines
 from pagesift.operators.numbering import with_row_number
 from pagesift.operators.reports import category_summary
@@ -48,6 +49,25 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+def write_parquet(
+    df: DataFrame, path: str, order_by: list[str], lookup: str | None = "url",
+    rows_per_group: int | None = None,
+) -> None:
+    """Parquet files in ranges of the first order column, sorted inside by all of them.
+
+    Every value of the first order column lies in one file, and the row groups of a file
+    in order, so a reader that asks for a range opens only what holds it. ``lookup`` names a
+    column in no such order that is asked for by value: its row groups carry Bloom filters.
+    """
+    options = {}
+    if rows_per_group is not None:
+        options["parquet.block.row.count.limit"] = str(rows_per_group)
+    if lookup in df.columns:
+        options[f"parquet.bloom.filter.enabled#{lookup}"] = "true"
+    rows = df.repartitionByRange(*named(order_by[:1])).sortWithinPartitions(*named(order_by))
+    rows.write.options(**options).parquet(path)
+
+
 def summary_path(path: str) -> str:
     """``out/report.csv`` gives ``out/report_summary.csv``."""
     name = PurePosixPath(path).name
@@ -62,12 +82,16 @@ def write_report(
     categorized: bool = True,
     summary: bool = False,
     drop: tuple[str, ...] = (),
+    parquet: str | None = None,
 ) -> None:
     """The section table, and beside it the category summary if one is asked for.
 
-    ``df`` is computed once and written before anything reads it.
+    ``df`` is computed once and written before anything reads it. ``parquet`` is a second
+    place, for the table as it is, with its order columns and line feeds.
     """
     df = stage(df, "report")
+    if parquet is not None:
+        write_parquet(df, parquet, order_by)
     write_csv(export_table(df, order_by, drop=drop), path)
     if summary and categorized:
         # Both outputs are numbered, the summary by URL and category.

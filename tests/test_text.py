@@ -1,4 +1,6 @@
 import html
+import html.entities
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -90,7 +92,10 @@ def test_decode_entities(values):
         "&amp;nbsp;": "&nbsp;",
         "&lt;b&gt; &eacute;&apos;": "<b> é'",
         "&#8212;&#x1F600;&#X41;": "—\U0001f600A",
-        "&unknown; &copy &": "&unknown; &copy &",
+        "&unknown; &copy &": "&unknown; © &",
+        "&copy 2024&copy2024 &ampx &ltp&gt &notit; &notin; &#65 &#x42g &#; &#x;": (
+            "© 2024©2024 &x <p> ¬it; ∉ A Bg &#; &#x;"
+        ),
         "&#0;&#xD800;": "��",
         "&#0000000169;&#x000000A9;&#00000000000000;": "©©�",
         "&#99999999999999999999;&#xFFFFFFFFFFFFFFFFFF;": "��",
@@ -104,6 +109,27 @@ def test_decode_entities(values):
         assert html.unescape(f"&{name};") == T.ENTITIES[name]
 
 
+def test_decode_as_the_rules_for_texts_have_it(values):
+    rng = random.Random(1)
+    names = [*T.LOOSE_ENTITIES, *(n + ";" for n in T.ENTITIES if n not in ("lang", "rang")), "no", "am"]
+    texts = []
+    for _ in range(3000):
+        bits = [rng.choice(["&", "&&", "&#65", "&#x4a;", "a&"]) + rng.choice(["", rng.choice(names)])
+                + rng.choice(["", " ", "x", ";", "=1", "9"]) for _ in range(rng.randint(1, 4))]
+        texts.append("".join(bits))
+    # Names that only the later standard has are left out of the comparison.
+    later = {n.rstrip(";") for n in html.entities.html5} - T.LOOSE_ENTITIES.keys() - T.ENTITIES.keys()
+    texts = [t for t in texts if not any(f"&{n};" in t for n in later)]
+    assert len(texts) > 2500
+    assert values(T.decode_entities, texts) == [html.unescape(t) for t in texts]
+
+
+def test_addresses_keep_their_parameters(values):
+    links = ["?a=1&copy=2", "?a&copy2", "x &copy y", "&copy", "?a=1&amp;lt=3&#65;", "?n&#65=1"]
+    want = ["?a=1&copy=2", "?a&copy2", "x © y", "©", "?a=1&lt=3A", "?n&#65=1"]
+    assert values(lambda c: T.decode_entities(c, attribute=True), links) == want
+
+
 def test_space_class_is_pythons(spark):
     chars = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
     df = spark.createDataFrame([(c,) for c in chars], "c string")
