@@ -622,6 +622,18 @@ def _url_csv_files(spark, sf):
     )
 
 
+@register("url_csv_line_feeds", """
+SELECT row_number() OVER (ORDER BY doc_id) AS row_id, 'https://' || source || '/' || doc_id AS url,
+  nullif(text, '') AS text, n_chars FROM documents""")
+def _url_csv_line_feeds(spark, sf):
+    """Whole texts as cells: quotes, commas and line feeds in every block of the files."""
+    path, docs = new_folder(spark, "urls"), table(spark, sf, "documents")
+    url = F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    O.write_csv(docs.select("doc_id", url.alias("url"), "text", "n_chars"), path, sort_by="doc_id")
+    scanned = SU.read_url_csv(spark, path, multiline=True)
+    return scanned.select("row_id", "url", "text", F.col("n_chars").cast("long").alias("n_chars"))
+
+
 @register("url_column_resolve", Q.with_(LISTED_URLS) + """
 SELECT row_id AS url_no, trim("Site Name") AS first_column, "Website" AS website
 FROM listed_urls WHERE "Website" IS NOT NULL AND trim("Website") <> ''""")

@@ -9,6 +9,7 @@ from pagesift.functions.columns import named
 from pagesift.functions.text import strip
 from pagesift.functions.urls import is_valid_url, normalize_url
 from pagesift.operators.numbering import with_row_number
+from pagesift.sources.csv_records import read_csv_records
 from pagesift.sources.staging import stage
 
 # The column names tried, in order, after the requested one.
@@ -28,24 +29,28 @@ def read_url_csv(
     """CSV files with a header row, types inferred, and their row order as a column.
 
     The order is that of the files' paths and of the rows in each, counted from 1; Spark
-    itself reads files largest first. ``multiline`` allows line feeds in quoted cells;
-    a file is one task then.
+    itself reads files largest first. ``multiline`` allows line feeds in quoted cells,
+    of files of any size; see ``csv_records``.
     """
-    options = {"header": True, "inferSchema": True, "quote": '"', "escape": '"'}
-    scan = spark.read.options(multiLine=multiline, **options).csv(path)
-    place = ("_file", "_block", "_row")
-    table = stage(
-        scan.select(
-            *named(scan.columns), F.col("_metadata.file_path").alias(place[0]),
-            F.col("_metadata.file_block_start").alias(place[1]),
-            F.monotonically_increasing_id().alias(place[2]),
-        ),
-        "url-csv",
-    )
+    if multiline:
+        scan, place = read_csv_records(spark, path)
+        table = stage(scan, "url-csv")
+    else:
+        options = {"header": True, "inferSchema": True, "quote": '"', "escape": '"'}
+        scan, place = spark.read.options(**options).csv(path), ("_file", "_block", "_row")
+        table = stage(
+            scan.select(
+                *named(scan.columns), F.col("_metadata.file_path").alias(place[0]),
+                F.col("_metadata.file_block_start").alias(place[1]),
+                F.monotonically_increasing_id().alias(place[2]),
+            ),
+            "url-csv",
+        )
+    kinds = [(c, t) for c, t in scan.dtypes if c not in place]
     table = with_row_number(table, place, order).drop(*place)
     cells = [
         F.when(~col.isin(*MISSING), col).alias(c) if t == "string" else col
-        for (c, t), col in zip(scan.dtypes, named(scan.columns))
+        for (c, t), col in zip(kinds, named(c for c, _ in kinds))
     ]
     return table.select(order, *cells)
 
