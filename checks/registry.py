@@ -777,6 +777,16 @@ _sections_from("sections_grid", S.PARENT, S.GRANDPARENT)
 _sections_from("sections_docorder", S.ORDER)
 _sections_from("main_content", "main")
 
+
+
+@register("sections_stored", _SECTIONS + f" SELECT {_SECTION} FROM sections")
+def _sections_stored(spark, sf):
+    """All sections from a table of parsed pages in buckets."""
+    path = new_folder(spark, "page-store")
+    pages = P.store_pages(layout_pages(spark, sf), "pagesift_" + path[-32:], 8, path)
+    return S.extract_sections(pages).select(*_SECTION.split(", "))
+
+
 _HOLDERS = "|".join(S.HOLDER_CLASSES)
 
 

@@ -124,16 +124,16 @@ def page_meta(pages: DataFrame, meta: Sequence[str] = META) -> DataFrame:
     return page_markup(pages, meta).drop("has_html", "markup")
 
 
-def page_pieces(pages: DataFrame, holders: bool = False) -> DataFrame:
-    """One row per tag and non-blank text of a page, in document order.
+PARSED = ("page_id", "url", "page", "pieces", "steps")
 
-    ``pos`` counts from 1; ``tag`` is '' for a text and a sign for an inline tag; ``closes``
-    and ``opens`` are the containers that a tag closes and opens. Every page has a row, also
-    one without html; its first row carries ``page``: url, metadata, and whether there is
-    html. A page without an id has no rows: nothing could be told to be of it. With
-    ``holders``, ``holder`` marks opening tags that look like section containers.
 
-    The pages are hashed by ``page_id`` when all that is left of them are the pieces.
+def parse_pages(pages: DataFrame, holders: bool = True) -> DataFrame:
+    """Pages as their pieces: ``page_id, url, page, pieces, steps``, one row each.
+
+    ``page`` holds url, metadata, and whether there is html; a piece is a tag or a non-blank
+    text; ``steps`` are the containers that each of them closes and opens. With
+    ``holders``, opening tags that look like section containers are marked. A page
+    without an id has no row: nothing could be told to be of it.
     """
 
     def piece(t: Column) -> Column:
@@ -156,11 +156,26 @@ def page_pieces(pages: DataFrame, holders: bool = False) -> DataFrame:
         pieces=F.filter(
             F.transform(H.tokens(content), piece), lambda x: (x["tag"] != "") | (x["text"] != "")
         ),
-    ).select("page_id", "page", "pieces").where(F.col("page_id").isNotNull())
-    stepped = narrow.withColumn(
-        "steps", element_steps(F.transform("pieces", lambda x: x["tag"]))
-    )
-    rows = stepped.repartition("page_id").select(
+    ).select("page_id", "url", "page", "pieces").where(F.col("page_id").isNotNull())
+    return narrow.withColumn("steps", element_steps(F.transform("pieces", lambda x: x["tag"])))
+
+
+def page_pieces(pages: DataFrame, holders: bool = False) -> DataFrame:
+    """One row per tag and non-blank text of a page, in document order.
+
+    ``pos`` counts from 1; ``tag`` is '' for a text and a sign for an inline tag; ``closes``
+    and ``opens`` are the containers that a tag closes and opens. Every page has a row, also
+    one without html; its first row carries ``page``. With ``holders``, ``holder`` marks
+    opening tags that look like section containers.
+
+    The pages are hashed by ``page_id`` when all that is left of them are the pieces. Where
+    ``pages`` are parsed already (``stored_pages``), they lie as they are to lie.
+    """
+    if set(PARSED) <= set(pages.columns):
+        placed = pages
+    else:
+        placed = parse_pages(pages, holders).repartition("page_id")
+    rows = placed.select(
         "page_id", "page",
         F.posexplode_outer(F.arrays_zip("pieces", "steps")).alias("_i", "both"),
     ).select("page_id", "page", "_i", "both.pieces", "both.steps").toDF(

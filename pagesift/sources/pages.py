@@ -1,11 +1,12 @@
-"""Which stored page belongs to which listed URL."""
+"""Stored pages: which one belongs to which listed URL, and a layout to read them from."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions.urls import normalize_url
+from pagesift.operators.sections import PARSED, parse_pages
 
 
 def pages_for_urls(urls: DataFrame, pages: DataFrame) -> DataFrame:
@@ -23,3 +24,22 @@ def pages_for_urls(urls: DataFrame, pages: DataFrame) -> DataFrame:
         .groupBy("_key").agg(F.min("page_id").alias("page_id"))
     )
     return listed.join(known, "_key", "left").select("url_no", "url", "page_id")
+
+
+def store_pages(pages: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Parsed pages as a table of ``buckets`` by ``page_id``, sorted inside; returns it.
+
+    Pages are parsed once, however many reports read them, and wherever this table
+    stands for ``pages``, lookups by id and all windows over a page's pieces run where its
+    bucket lies: sections are extracted without a shuffle. ``path`` is a folder that all
+    executors share; without one the table is kept by the catalog.
+    """
+    rows = parse_pages(pages).select(*PARSED).repartition(buckets, "page_id")
+    writer = rows.write.bucketBy(buckets, "page_id").sortBy("page_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return stored_pages(pages.sparkSession, table)
+
+
+def stored_pages(spark: SparkSession, table: str) -> DataFrame:
+    """A table that ``store_pages`` made, for every function that takes pages."""
+    return spark.table(table).select(*PARSED)
