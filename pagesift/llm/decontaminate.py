@@ -14,8 +14,12 @@ slots are equal, else ``reparameterised``. An inconsistent one is ``edited`` if
 slots equal the item's own; others share a form only and are kept out unless ``RUN`` words
 without a slot agree (``partial``).
 
+A copy with other values in its slots says something only where enough of it are words: rows
+of numbers of the same length are no copies of each other.
+
 Defined results: null and empty texts have no copies; an item shorter than a window is found
-as a whole and with its own values only, as so few forms say nothing; items equal in id and text count once; repeated document
+as a whole and with its own values only, as so few forms say nothing, and one of fewer than
+``LEAST`` tokens only where it is the whole text; items equal in id and text count once; repeated document
 rows give the same rows once per row; a null id is an id of its own. Only the named columns
 are read, so other columns cannot clash.
 """
@@ -36,6 +40,10 @@ COVERAGE = 0.8
 RUN = 13
 #: Share of a copy's slots equal to the item's from which single other values are edits.
 SAME = 0.9
+#: Tokens from which an item is looked for inside of texts; shorter ones are whole texts.
+LEAST = 3
+#: Share of a reparameterised copy's tokens that are words and no placeholders.
+SAID = 0.25
 #: Tokens that two stretches of one copy may stand apart, in item or document.
 GAP = 2 * WINDOW
 #: Template windows broadcast at a time; a larger benchmark is gone through in blocks.
@@ -129,7 +137,12 @@ def _entries(tokens: Column, plain: Column, n: int, short: list[int]) -> Column:
 
     template, same = _window_hashes(tokens, n), _window_hashes(plain, n)
     windows = once(F.struct(template.alias("template"), same.alias("plain")), both)
-    return F.concat(windows, *[placed(_window_hashes(plain, k)) for k in short])
+    def short_ones(k):
+        found = placed(_window_hashes(plain, k))
+        alone = F.slice(found, F.lit(1), F.when(F.size(plain) == k, 1).otherwise(0))
+        return found if k >= LEAST else alone
+
+    return F.concat(windows, *[short_ones(k) for k in short])
 
 
 def find_copies(
@@ -331,7 +344,7 @@ def _align(hits: DataFrame, items: DataFrame, n: int, coverage: float, run: int)
     equal = F.size(F.filter("slots", lambda s: s["of_item"].eqNullSafe(s["of_doc"])))
     kind = (
         F.when(F.forall("slots", lambda s: s["of_item"].eqNullSafe(s["of_doc"])), "exact")
-        .when(consistent, "reparameterised")
+        .when(consistent & (F.col("c.words") - F.size("slots") >= SAID * F.col("c.words")), "reparameterised")
         .when(equal >= SAME * F.size("slots"), "edited")
         .when(F.exists(segs, plain), "partial")
     )

@@ -303,14 +303,15 @@ def link_components(
         "jaccard-classes",
     )
     some = classes.join(_not_unique(usable, "f1", num, den).select("f1"), "f1", "left_semi")
-    wanted = some.select("rep", F.col("f1").alias("own"), "copies")
+    wanted = stage(some.select("rep", F.col("f1").alias("own"), "copies"), "jaccard-wanted")
+    release(sample)
     whole = stage(
         texts.join(wanted, F.col("id") == F.col("rep")).select("id", "text", "own", "copies")
         .mapInArrow(_sets(words, None), SETS + ", own long, copies long")
         .where("f1 = own").select(F.col("id").alias("rep"), "n", "tokens", "copies"),
         "jaccard-sets",
     )
-    release(sample)
+    release(wanted)
     left = stage(_not_unique(whole, "rep", num, den), "jaccard-left")
     near = stage(_neighbourhoods(whole, left, num, den), "jaccard-neighbourhoods")
     tasks = _tasks(near.join(left.select("rep", "n"), "rep"), num, den, block)

@@ -83,7 +83,7 @@ class Finder:
         for notice, label in notices.items():
             k = edits_allowed(notice)
             self.patterns[notice] = regex.compile(
-                rf"(?b)\b(?:{regex.escape(notice, special_only=True)}){{e<={k}}}\b"
+                rf"(?b)(?<= )(?:{regex.escape(notice, special_only=True)}){{e<={k}}}(?= )"
             )
             cuts = [round(i * len(notice) / (k + 1)) for i in range(k + 2)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -124,12 +124,19 @@ class Finder:
                     if key not in found or found[key]["edits"] > edits:
                         found[key] = {"notice": notice, "edits": edits}
         out, words, last = [], 0, 1
+        notices = sorted(
+            (a, b, more["edits"]) for (a, b, _, base), more in found.items() if not base
+        )
+        longest = max((b - a for a, b, _ in notices), default=0)
+        lo = 0  # the first notice that can reach to this one
         for (a, b, label, base), more in sorted(found.items(), key=lambda x: x[0]):
-            if more["edits"] and any(
-                c < b and a < d and other["edits"] < more["edits"]
-                for (c, d, _, exact), other in found.items()
-                if not exact
-            ):
+            while lo < len(notices) and notices[lo][0] <= a - longest:
+                lo += 1
+            i, better = lo, False
+            while more["edits"] and not better and i < len(notices) and notices[i][0] < b:
+                better = notices[i][1] > a and notices[i][2] < more["edits"]
+                i += 1
+            if better:
                 continue
             words += flat.count(" ", last, a)
             last = a

@@ -19,15 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagesift.functions.columns import named
 from pagesift.llm.texts import lists, map_batches, mix, slices
+from pagesift.sources.staging import stage
 
 #: Labelled rows of each class that the model is fitted on: the first by a hash of the id.
 SAMPLE_PER_CLASS = 4000
+#: Distinct n-grams of both samples together that come to the driver, four bytes each.
+SAMPLE_GRAMS = 1 << 25
 FEATURES = 1 << 18
 ORDERS = (1, 2, 3, 4, 5)
 
@@ -116,13 +120,25 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(named([id_col])[0].cast("string")) % 3 == 1, F.lit(False))
 
 
+def _last(sizes: pa.Table, label: int, most: int) -> int:
+    """The order of the last row of a class that fits; rows of one id go together."""
+    own = sizes.filter(pc.equal(sizes["label"], label))
+    order, n = own["order"].to_numpy(), own["n"].to_numpy()
+    at = np.argsort(order, kind="stable")
+    fits = np.cumsum(n[at]) <= most
+    taken = order[at[: max(1, int(fits.sum()))]]
+    return int(taken[-1]) if len(taken) else -(2**63)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS,
+    label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, most_grams: int = SAMPLE_GRAMS,
 ) -> Model:
     """A model of the first ``per_class`` labelled rows of each class outside the held-out ones.
 
-    Only ids of that number are broadcast and only their features come to the driver.
+    Only ids of that number are broadcast and only their features come to the driver; where
+    the texts are so long that there are more than ``most_grams``, those of the first rows
+    by the same order, of each class half, and of each class one row at least.
     """
     doc, label = named([id_col, label_col])
     usable = labels.where(label.isin(0, 1) & doc.isNotNull() & ~held_out(id_col)).select(
@@ -133,20 +149,26 @@ def fit(
         for y in (0, 1)
     ]
     chosen = parts[0].unionByName(parts[1])
+    order = F.xxhash64("_id").alias("_order")
     text = docs.select(doc.alias("_id"), *named([text_col])).join(
         F.broadcast(chosen), "_id"
-    ).select("_label", named([text_col])[0].alias("text"))
+    ).select("_label", named([text_col])[0].alias("text"), order)
 
     def features(batches):
         for batch in batches:
             for lo, data, offsets in slices(batch.column(1)):
                 own = [np.unique(g).astype(np.int32) for g in shape_features(data, offsets)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(own)), pa.array(own, pa.list_(pa.int32()))],
-                    ["label", "grams"],
+                    [batch.column(0).slice(lo, len(own)), pa.array(own, pa.list_(pa.int32())),
+                     batch.column(2).slice(lo, len(own))],
+                    ["label", "grams", "order"],
                 )
 
-    got = text.mapInArrow(features, "label int, grams array<int>").toArrow()
+    found = stage(text.mapInArrow(features, "label int, grams array<int>, order long"), "quality-grams")
+    sizes = found.select("label", "order", F.size("grams").alias("n")).toArrow()
+    last = [_last(sizes, label, most_grams // 2) for label in (0, 1)]
+    some = F.when(F.col("label") == 1, last[1]).otherwise(last[0])
+    got = found.where(F.col("order") <= some).toArrow()
     y = got["label"].to_numpy()
     if len(set(y)) < 2:
         return Model(np.zeros(FEATURES), 0.0)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
@@ -81,6 +82,29 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start])
 
 
+_BYTES_LEFT = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+LONG_WORD = 32
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end), eight bytes at a time and each step mixed, so that
+    no rule makes two words meet; words over ``LONG_WORD`` bytes are hashed one by one."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    size = end - start
+    out = mix(size.astype(np.uint64))
+    own = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        own = own[size[own] > at]
+        if not len(own):
+            break
+        chunk = eight[start[own] + at] & _BYTES_LEFT[np.minimum(size[own] - at, 8)]
+        out[own] = mix(out[own] ^ chunk)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     """Starts and ends of the words of each document and the documents they are in.
 
@@ -107,7 +131,7 @@ def shingle_sets(
     has none. A-Z count as a-z.
     """
     start, end, doc = words(data, offsets, is_word)
-    h = span_hashes(prefix_hashes(LOWER_VALUES[data]), start, end)
+    h = word_hashes(LOWER[data], start, end)
     bounds = np.searchsorted(doc, np.arange(len(offsets)))
     count = np.diff(bounds)
     m = max(0, len(h) - n + 1)

@@ -102,3 +102,32 @@ def test_edges(edges, empty):
     assert by[7] == [(1, 7, 0)] and {c for _, c, _ in by[None]} == {None}
     assert by[1].count((6, 1, 1)) == 2  # repeated rows link with each other
     assert J.link_components(empty, 90, 100, 3).count() == 0
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(spark):
+    """Two words of 1,024 letters that every odd base modulo a power of two maps to one value."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"{thue} {rest}"), (2, f"{other} {rest}"), (3, thue), (4, other), (5, thue.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id for r in J.link_components(df, 99, 100, 3).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_word_hashes_differ_where_words_do():
+    import random
+
+    import numpy as np
+
+    from pagesift.llm.texts import word_hashes
+
+    rng = random.Random(1)
+    words = {bytes(rng.choice([0, 97, 98, 255]) for _ in range(rng.choice([1, 2, 7, 8, 9, 31, 32, 33, 40])))
+             for _ in range(20000)}
+    words = sorted(words) * 2
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    h = word_hashes(np.frombuffer(b"".join(words), np.uint8), start, end)
+    n = len(words) // 2
+    assert (h[:n] == h[n:]).all() and len(set(h[:n].tolist())) == n

@@ -99,3 +99,61 @@ def test_toxicity_edges(spark, edges, empty):
     assert T.score(empty, chain).count() == 0
     none = T.fit(edges, labels.where("false"))
     assert {r.p_toxic for r in T.score(edges, none).collect()} == {0.5}
+
+
+def shape(text):
+    """Symbols of a text: a run of letters, capitals or digits is one, other bytes are themselves."""
+    out = []
+    for b in (text or "").encode():
+        kind = 1 if b >= 128 or 97 <= b < 123 else 2 if 65 <= b < 91 else 3 if 48 <= b < 58 else b + 10
+        if not out or out[-1] != kind or kind > 3:
+            out.append(kind)
+    return out
+
+
+def test_scores_are_those_of_the_features_spelled_out(spark, documents):
+    """Indicators as n-grams of symbols, ratios and margins by their definitions."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = Q.fit(documents, labels)
+    assert np.count_nonzero(model.weights) > 100
+
+    def grams(text):
+        s, mask = shape(text), 2**64 - 1
+        found = set()
+        for n in Q.ORDERS:
+            for i in range(len(s) - n + 1):
+                h = 0
+                for x in s[i : i + n]:
+                    h = (h * 137 + x) & mask
+                h = (h + (n << 56)) & mask
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                    h = ((h ^ (h >> shift)) * factor) & mask
+                found.add(h & (Q.FEATURES - 1))
+        return found
+
+    rows = Q.score(documents, model).collect()
+    for r in rows[:60]:
+        margin = model.bias + sum(model.weights[g] for g in sorted(grams(r.text)))
+        assert abs(r.score - 1 / (1 + np.exp(-2 * margin))) < 1e-9
+    own = [np.array(sorted(grams(t))) for t in ("Ab 1", "ab", "A-b")]
+    got = Q.ratios(own, np.array([1, 0, 1]))
+    for g in set(np.concatenate(own).tolist()):
+        share = [(sum(g in o for o, y in zip(own, (1, 0, 1), strict=True) if y == k) + 1) / (n + 2)
+                 for k, n in ((0, 1), (1, 2))]
+        assert abs(got[g] - np.log(share[1] / share[0])) < 1e-12
+
+
+def test_what_comes_to_the_driver_is_bounded(spark, documents, monkeypatch):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    taken = []
+    whole = Q.dual_coordinate_descent
+
+    def counted(rows, *rest):
+        taken.append((len(rows), sum(map(len, rows))))
+        return whole(rows, *rest)
+
+    monkeypatch.setattr(Q, "dual_coordinate_descent", counted)
+    for most in (Q.SAMPLE_GRAMS, 4000, 2):
+        Q.fit(documents, labels, most_grams=most)
+    (n, all_grams), (some, grams), (least, _) = taken
+    assert 2 < some < n and grams <= 4000 < all_grams and least == 2

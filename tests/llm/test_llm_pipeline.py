@@ -76,3 +76,30 @@ def test_rows_without_an_id_or_of_one_id_are_rows_of_their_own(spark, documents)
     assert sorted(map(tuple, clean.collect()), key=key) == sorted(
         (r for r in rows if r[1] != item), key=key
     )
+
+
+def test_columns_of_any_name_come_through(spark, documents, edges, as_table):
+    own = {"a.b": "1", "score": "2", "n_lines": "3", "N_Removed": "4", "_row": "5", "_group": "6", "id": "7"}
+    docs = documents.limit(60)
+    for name, value in own.items():
+        docs = docs.withColumn(name, quality.F.lit(value))
+    docs = docs.unionByName(
+        edges.select("doc_id", "text", "lang", "source", "n_chars", *[
+            quality.F.lit(v).alias(k) for k, v in own.items()]))
+    columns = docs.columns
+    for name, apply in C.STAGES[:-1]:
+        docs = as_table(apply(spark, docs, SMALL), name)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert rows and all([r[k] for k in own] == list(own.values()) for r in rows)
+    assert C.packed(spark, docs, SMALL).where("start = 0").count() == len(rows)
+
+
+def test_run_leaves_what_its_result_reads(spark, tmp_path):
+    from pagesift.sources.staging import staged_in
+
+    with staged_in(spark, str(tmp_path)):
+        out = C.run(spark, SMALL)
+    left = [p.name for p in (tmp_path / "pagesift").iterdir() if any(p.iterdir())]
+    assert sorted(n.rsplit("-", 1)[0] for n in left) == ["pipeline-packing"]
+    assert out.count() > 0

@@ -257,3 +257,56 @@ def test_single_other_values_are_edits(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
     assert [(r.id, r.kind) for r in D.find_copies(df, items).collect()] == [(1, "edited")]
     assert [r.doc_id for r in D.clean(df, items).collect()] == [2]
+
+
+def test_items_that_say_little(spark, documents):
+    items = spark.createDataFrame(
+        [(1, "Yes"), (2, "the"), (3, "1 2 3 4 5 6 7 8"), (4, "of them")], "item_id int, text string"
+    )
+    assert D.find_copies(documents, items).count() == 0
+    texts = {1: "Yes!", 2: "yes it is", 3: "9 8 7 6 5 4 3 2 1 0", 4: "see 1 2 3 4 5 6 7 8 here",
+             5: "Of\nthem.", 6: "some of them", 7: "The", 8: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {(r.id, r.item, r.kind) for r in D.find_copies(df, items).collect()}
+    assert got == {(1, 1, "exact"), (4, 3, "exact"), (5, 4, "exact"), (7, 2, "exact")}
+    assert {r.doc_id for r in D.clean(df, items).collect()} == {2, 3, 6, 8}
+
+
+def test_copies_of_both_sides_by_windows(spark, documents):
+    """Every document with 13 consecutive words of an item, or 0.8 of them in a row, and no other
+    but such as hold most of its words in order."""
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
+    got = {(r.id, r.item) for r in D.find_copies(
+        documents, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
+    cut = lambda t: re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*", (t or "").lower())
+    for d in documents.collect():
+        own = cut(d.text)
+        places = {}
+        for i, w in enumerate(own):
+            places.setdefault(w, []).append(i)
+        for x in items:
+            want, longest, ahead = cut(x.text), 0, {}
+            for j, w in enumerate(want):  # the longest common stretch
+                ahead = {p: ahead.get(p - 1, 0) + 1 for p in places.get(w, ())}
+                longest = max([longest, *ahead.values()])
+            if longest >= 13 or longest >= max(5, 0.8 * len(want)):
+                assert (d.doc_id, x.item_id) in got
+            elif (d.doc_id, x.item_id) in got:
+                assert longest >= 5
+
+
+def test_notices_stand_between_blanks():
+    finder = L.Finder(L.NOTICES, L.BASE_PHRASES)
+    for text in ("\u00e9licensed under the mit license", "released under the mit license\u05d0",
+                 "xlicensed under the mit licensex"):
+        assert all(h["edits"] for h in finder.hits(text)[1])
+    assert [h["edits"] for h in finder.hits("\u00e9 licensed under the mit license \u05d0")[1]] == [0]
+
+
+def test_edited_hits_give_way_in_one_sweep():
+    finder = L.Finder(L.NOTICES, L.BASE_PHRASES)
+    one = "licensed under the mit license or lic3nsed under the gnu general public licensx and so on "
+    few, many = finder.hits(one * 3)[1], finder.hits(one * 300)[1]
+    key = lambda h: (h["label"], h["notice"], h["base"], h["edits"], h["span"])
+    assert [key(h) for h in many] == [key(h) for h in few] * 100
+    assert min(h["edits"] for h in few) == 0 < max(h["edits"] for h in few)
