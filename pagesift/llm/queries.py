@@ -82,7 +82,7 @@ def _op8(spark, sf):
     toxic = F.when(F.col("p_toxic") >= 0.5, 1).otherwise(0)
     return scored.select(
         "doc_id", F.col("p_toxic").alias("score"), toxic.alias("predicted"), toxic.alias("toxic"),
-        "p_insult", "p_contempt",
+        "p_kind_1", "p_kind_2",
     )
 
 

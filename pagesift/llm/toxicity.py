@@ -3,7 +3,10 @@
 The categories are predicted one after another by logistic models over indicators; each
 model also sees the probabilities of the categories before it. While fitting, these come
 from models that did not see the row (out-of-fold predictions); the models that are kept
-are fitted on all rows. The last category is toxicity itself.
+are fitted on all rows. The last category is toxicity itself. Those before it are given as
+lists of words, or learned: the strongest indicators of toxicity are parted by which of them
+stand in the same texts, whatever language they are in, and a toxic row belongs to every kind
+that it has an indicator of.
 
 Indicators are the words of a text (A-Z as a-z), beginnings of words, and beginnings that
 two or three different words of the text share. Those that go with a category beyond a
@@ -40,11 +43,8 @@ INDICATORS, CHI_SQUARE = 20000, 30.0
 FOLDS = 5
 BEGINNINGS = (5, 6, 7, 8, 9)
 
-#: Categories before toxicity. A row belongs to one if it is labelled toxic and has a word of it.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "clown", "loser", "scum"),
-    "contempt": ("stupid", "worthless", "pathetic", "disgusting", "trash"),
-}
+#: Categories before toxicity where none are given, and the indicators they are made of.
+KINDS, STRONG = 2, 64
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
@@ -162,17 +162,40 @@ def fit_models(
     return models
 
 
+def kinds_of(places: list[np.ndarray], y: np.ndarray, strong: np.ndarray, kinds: int) -> np.ndarray:
+    """The kind of each of the ``strong`` indicators, strongest first.
+
+    The strongest leads the first kind; each other kind is led by the most frequent one that
+    is hardly seen with the leaders before, and the rest go where they are seen most.
+    """
+    if not len(strong):
+        return np.zeros(0, np.int64)
+    toxic = [p for p, label in zip(places, y, strict=True) if label == 1]
+    has = np.array([np.isin(strong, p) for p in toxic], float).reshape(-1, len(strong))
+    together = has.T @ has
+    n = np.maximum(np.diag(together), 1)
+    share = together / np.minimum.outer(n, n)
+    leaders = [0]
+    while len(leaders) < min(kinds, len(strong)):
+        apart = n * (1 - share[:, leaders].max(1))
+        leaders.append(int(np.argmax(apart)))
+    return np.argmax(share[:, leaders], axis=1)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", categories: dict[str, tuple[str, ...]] | None = None,
-    sample: int = SAMPLE,
+    sample: int = SAMPLE, most: int = INDICATORS, chi_square: float = CHI_SQUARE,
+    kinds: int = KINDS,
 ) -> Chain:
     """A chain fitted on the first ``sample`` labelled rows.
 
-    Indicators are counted by Spark. Ids of that number are broadcast; of the rows only
-    the kept indicators come to the driver.
+    Indicators are counted by Spark; at most ``most`` from ``chi_square`` on are kept. Ids of
+    the sample are broadcast; of its rows only the kept indicators come to the driver.
+    ``categories`` are words by name; without them ``kinds`` are learned.
     """
-    categories = CATEGORIES if categories is None else categories
+    given = [] if categories is None else [_hashes(w) for w in categories.values()]
+    names = [f"kind_{k + 1}" for k in range(kinds)] if categories is None else [*categories]
     doc, label = named([id_col, label_col])
     chosen = labels.where(label.isin(0, 1) & doc.isNotNull()).select(
         doc.alias("_id"), label.cast("int").alias("y")
@@ -203,25 +226,30 @@ def fit(
     chi = (F.col("t") - expected) ** 2 * F.lit(float(n)) / (
         expected * (1 - F.lit(positive / max(n, 1))) * (F.lit(float(n)) - F.col("n"))
     )
-    kept = tests.where(chi >= CHI_SQUARE).orderBy(chi.desc(), "hash").limit(INDICATORS)
-    vocabulary = np.sort(kept.select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
-    wanted = [_hashes(w) for w in categories.values()]
-    chain = Chain([*categories, label_col], vocabulary, [])
+    kept = tests.where(chi >= chi_square).orderBy(chi.desc(), "hash").limit(most)
+    ordered = kept.select("hash").toArrow()["hash"].to_numpy().view(np.uint64)
+    vocabulary = np.sort(ordered)
+    chain = Chain([*names, label_col], vocabulary, [])
 
     def found(batches):
         for batch in batches:
-            for y, h in zip(batch.column(1).to_pylist(), lists(pa.chunked_array([batch.column(2)])),
-                            strict=True):
-                h = h.view(np.uint64)
-                own = [int(y == 1 and bool(np.isin(w, h).any())) for w in wanted]
-                places = chain.places(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([[*own, y]], pa.list_(pa.int32())),
-                     pa.array([np.sort(places)], pa.list_(pa.int64()))], ["targets", "places"],
-                )
-
-    got = table.mapInArrow(found, "targets array<int>, places array<long>").toArrow()
-    places, targets = lists(got["places"]), lists(got["targets"])
+            rows = [h.view(np.uint64) for h in lists(pa.chunked_array([batch.column(2)]))]
+            own = [[int(np.isin(w, h).any()) for w in given] for h in rows]
+            places = [np.sort(chain.places(h)) for h in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(own, pa.list_(pa.int32())),
+                 pa.array(places, pa.list_(pa.int64()))], ["y", "given", "places"],
+            )
+
+    got = table.mapInArrow(found, "y int, given array<int>, places array<long>").toArrow()
+    places, y = lists(got["places"]), got["y"].to_numpy()
+    if categories is None:
+        strong = np.searchsorted(vocabulary, ordered[:STRONG])
+        kind = kinds_of(places, y, strong, kinds)
+        own = [[bool(np.isin(strong[kind == k], p).any()) for k in range(kinds)] for p in places]
+    else:
+        own = lists(got["given"])
+    targets = [np.array([*(int(g) * label for g in has), label]) for has, label in zip(own, y, strict=True)]
     order = sorted(range(len(places)), key=lambda i: (tuple(targets[i]), places[i].tobytes()))
     fold = np.arange(len(order)) % FOLDS
     size = len(chain.categories)

@@ -71,7 +71,7 @@ def test_toxicity_on_rows_that_were_not_fitted(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     chain = T.fit(docs, labels.where("doc_id % 2 = 0"))
-    assert chain.categories == ["insult", "contempt", "toxic"] and len(chain.models) == 3
+    assert chain.categories == ["kind_1", "kind_2", "toxic"] and len(chain.models) == 3
     rows = T.score(docs, chain).join(labels.where("doc_id % 2 = 1 AND quality = 1"), "doc_id").collect()
     toxic = [r.p_toxic >= 0.5 for r in rows if r.toxic == 1]
     clean = [r.p_toxic >= 0.5 for r in rows if r.toxic == 0]
@@ -157,3 +157,48 @@ def test_what_comes_to_the_driver_is_bounded(spark, documents, monkeypatch):
         Q.fit(documents, labels, most_grams=most)
     (n, all_grams), (some, grams), (least, _) = taken
     assert 2 < some < n and grams <= 4000 < all_grams and least == 2
+
+
+def test_kinds_are_learned_in_any_language(spark):
+    """Two vocabularies that never meet, in an invented language, are two kinds."""
+    rng = np.random.default_rng(4)
+    bad = (["zorgul", "wexmat", "krilpo"], ["žluvna", "břindo", "дуремо"])
+    plain = [f"{a}{b}" for a in ("ba", "ko", "mi", "lu") for b in ("nd", "rt", "sk", "lm")]
+    rows, kind = [], {}
+    for i in range(600):
+        text = list(rng.choice(plain, 12))
+        kind[i] = int(rng.integers(0, 4)) if i % 2 else None
+        if kind[i] in (0, 1):
+            text[3:5] = rng.choice(bad[kind[i]], 2)
+        rows.append((i, " ".join(text), int(kind[i] in (0, 1))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = T.fit(df.drop("toxic"), df.drop("text").where("doc_id < 400"))
+    got = {r.doc_id: r for r in T.score(df.drop("toxic"), chain).where("doc_id >= 400").collect()}
+    first = [r["p_kind_1"] >= 0.5 for d, r in got.items() if kind[d] == 0]
+    swap = np.mean(first) < 0.5
+    for d, r in got.items():
+        one, two = (r["p_kind_2"], r["p_kind_1"]) if swap else (r["p_kind_1"], r["p_kind_2"])
+        assert (one >= 0.5, two >= 0.5, r.p_toxic >= 0.5) == (kind[d] == 0, kind[d] == 1, kind[d] in (0, 1))
+
+
+def test_chain_scores_are_those_of_its_weights(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    chain = T.fit(documents, labels, chi_square=3.0, most=500)
+    assert 0 < len(chain.vocabulary) <= 500
+    place = {int(h): i for i, h in enumerate(chain.vocabulary)}
+    for r in T.score(documents, chain).collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        (own,) = T.indicators(data, np.array([0, len(data)]))
+        before = []
+        for model, name in zip(chain.models, chain.categories, strict=True):
+            z = model.bias + sum(model.weights[place[int(h)]] for h in own if int(h) in place)
+            z += sum(w * p for w, p in zip(model.earlier, before, strict=True))
+            before.append(1 / (1 + np.exp(-z)))
+            assert abs(before[-1] - r[f"p_{name}"]) < 1e-9
+
+
+def test_given_words_are_categories(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    chain = T.fit(documents, labels, categories={"insult": ("idiot", "moron"), "rest": ("nowhere",)})
+    assert chain.categories == ["insult", "rest", "toxic"]
+    assert max(r.p_rest for r in T.score(documents, chain).collect()) < 0.01
