@@ -306,7 +306,8 @@ def link_components(
     wanted = stage(some.select("rep", F.col("f1").alias("own"), "copies"), "jaccard-wanted")
     release(sample)
     whole = stage(
-        texts.join(wanted, F.col("id") == F.col("rep")).select("id", "text", "own", "copies")
+        # The classes left grow with the rows: one plan for every number of them.
+        texts.join(wanted.hint("merge"), F.col("id") == F.col("rep")).select("id", "text", "own", "copies")
         .mapInArrow(_sets(words, None), SETS + ", own long, copies long")
         .where("f1 = own").select(F.col("id").alias("rep"), "n", "tokens", "copies"),
         "jaccard-sets",
