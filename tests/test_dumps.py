@@ -57,3 +57,15 @@ def test_work_grows_with_the_text(spark):
         openings = spark.createDataFrame([("u", o) for o, in many], "url string, _opening string")
         got = D.held_openings(heads, openings).collect()
         assert [r._opening for r in got] == [opening]
+
+
+def test_texts_are_not_cut_into_rows(spark):
+    """Only places that may hold an opening are rows; the openings are one row each."""
+    text = "".join(random.Random(5).choice("abcdefghij ") for _ in range(50_000))
+    heads = spark.createDataFrame([("u", "p", text), ("v", "q", text)], "url string, _print string, content string")
+    some = [text[i : i + n] for i, n in ((0, 51), (7_000, 100), (49_900, 100))]
+    openings = spark.createDataFrame([("u", o, i) for i, o in enumerate([*some, "z" * 60])], "url string, _opening string, _n long")
+    found = D.held_openings(heads, openings)
+    assert sorted((r.url, r._print, r._opening, r._n) for r in found.collect()) == sorted(("u", "p", o, i) for i, o in enumerate(some))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 1
