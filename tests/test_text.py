@@ -139,3 +139,33 @@ def test_space_class_is_pythons(spark):
     assert {r.c for r in left} == {c for c in chars if c.isspace()}
     collapsed = df.where(T.collapse_space(F.concat(F.lit("a"), "c", F.lit("b"))) == "a b")
     assert {r.c for r in collapsed.collect()} == {c for c in chars if c.isspace()}
+
+
+def test_phrases_are_looked_for_where_their_start_is(spark):
+    """A phrase that another one's deletion leaves behind counts; odd letters have all looked for."""
+    phrases = list(DEFAULT_RULES.boilerplate_phrases)
+    texts = ["Learn Click here more", "Read mLoading...ore", "Read Loading...more", "clicK here ſee more",
+             "REaD more  x", "Anchor 12 /$a$ Back\tto top", "", "nothing  of it ", None, "İ see more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    plain = F.col("x")
+    for p in phrases:
+        plain = F.regexp_replace(plain, f"(?iuU){p}", "")
+    out = df.select(T.strip_phrases("x", phrases).alias("got"), T.collapse_space(plain).alias("want"))
+    assert all(r.got == r.want for r in out.collect())
+    one = df.select(T.strip_phrases("x", phrases))._jdf.queryExecution().optimizedPlan().toString()
+    assert one.lower().count("contains(") >= 2 * len(set(map(T.literal_start, phrases)))
+
+
+def test_names_of_entities_are_dealt_into_small_maps(spark, values):
+    names = [f"&{n};x&{n}" for n in T.ENTITIES]
+    assert values(T.decode_entities, names) == [
+        T.ENTITIES[n] + "x" + (T.LOOSE_ENTITIES[n] if n in T.LOOSE_ENTITIES else
+                               next((T.LOOSE_ENTITIES[n[:k]] + n[k:] for k in range(len(n), 1, -1) if n[:k] in T.LOOSE_ENTITIES), "&" + n))
+        for n in T.ENTITIES
+    ]
+    codes = [0, 1, 65, 0x7F, 0x80, 0x7FF, 0x800, 0xD7FF, 0xD800, 0xE000, 0xFFFF, 0x10000, 0x10FFFF, 0x110000, 10**9]
+    want = [chr(c) if 0 < c < 0xD800 or 0xDFFF < c < 0x110000 else "�" for c in codes]
+    for form in ("&#{};", "&#x{:x};", "&#0000000{}", "&#X00000000{:X};"):
+        assert values(T.decode_entities, [form.format(c) for c in codes]) == want
+    sizes = T._looked_up(T.ENTITIES, F.lit("amp"))._jc.toString()
+    assert max(part.count("\t") for part in sizes.split("str_to_map")) < 16
