@@ -69,10 +69,12 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").rlike(_IN_TO_IN).cast("int").alias("b"),
     )
     own = ["file", "block"]
-    lines = stage(_composed(lines, F.col("a"), F.col("b"), own, "line"), "csv-lines")
+    lines = stage(lines, "csv-lines")
+    # What tells the states moves without the texts of the lines.
+    marks = stage(_composed(lines.drop("value"), F.col("a"), F.col("b"), own, "line"), "csv-marks")
 
     # The state each block begins in.
-    whole = lines.groupBy(*own).agg(F.max_by("prefix", "line").alias("whole"))
+    whole = marks.groupBy(*own).agg(F.max_by("prefix", "line").alias("whole"))
     leads = whole.select(
         *own, _after(F.col("whole"), F.lit(0)).alias("a"), _after(F.col("whole"), F.lit(1)).alias("b")
     )
@@ -83,8 +85,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     in_block = W.partitionBy(*own).orderBy("line")
     upto = in_block.rowsBetween(W.unboundedPreceding, W.currentRow)
     state = _after(F.col("prefix"), F.col("start"))
-    told = lines.join(starts, own).select(
-        *own, "line", "value", state.alias("after"),
+    told = marks.join(starts, own).select(
+        *own, "line", state.alias("after"),
         F.coalesce(F.lag(state).over(in_block), F.col("start")).alias("before"),
     )
     told = stage(
@@ -96,7 +98,14 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     counts = told.groupBy(*own).agg(F.max("n").alias("n"))
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*own, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    placed = told.join(stage(offsets, "csv-offsets"), own).withColumn("rec", F.col("n") + F.col("offset"))
+    places = told.join(stage(offsets, "csv-offsets"), own).select(
+        "line", "before", "after", (F.col("n") + F.col("offset")).alias("rec")
+    )
+    # The side that is hashed has numbers only, so the texts need not be sorted.
+    placed = lines.select("file", "line", "value").join(places.hint("shuffle_hash"), "line")
+    # Behind a generator, so that both kinds of records read the same joined rows.
+    columns = ("file", "rec", "line", "value", "before", "after")
+    placed = placed.select(F.inline(F.array(F.struct(*columns))))
     alone = (F.col("before") == 0) & (F.col("after") == 0)
     parts = placed.where(~alone).groupBy("file", "rec").agg(
         F.sort_array(F.collect_list(F.struct("line", "value"))).alias("parts")
@@ -116,10 +125,10 @@ def read_csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[s
     folder = new_folder(spark, "csv-header")
     header.select("text").write.text(folder)
     columns = spark.read.options(header=True, multiLine=True, **OPTIONS).csv(folder).columns
-    cells = ", ".join(f"c{i} string" for i in range(len(columns)))
+    kinds = ", ".join(f"c{i} string" for i in range(len(columns)))
     split = (
         records.join(files, "file").where(F.col("rec") > F.col("first"))
-        .select("file_no", "rec", F.from_csv("text", cells, OPTIONS).alias("cells"))
+        .select("file_no", "rec", F.from_csv("text", kinds, OPTIONS).alias("cells"))
         .select("file_no", "rec", "cells.*")
     )
     kept = [
@@ -129,7 +138,8 @@ def read_csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[s
     ]
     folder = new_folder(spark, "csv-cells")
     with shuffles_removed(spark):
-        split.select("file_no", "rec", *kept).write.options(header=True, **OPTIONS, **_AS_IT_IS).csv(folder)
+        cells = split.select("file_no", "rec", *kept).write.options(header=True, compression="gzip")
+        cells.options(**OPTIONS, **_AS_IT_IS).csv(folder)
     back = spark.read.options(header=True, inferSchema=True, **OPTIONS).csv(folder)
     out = [
         F.replace(F.replace(F.replace(c, F.lit(_FEED), F.lit("\n")), F.lit(_MARK + ","), F.lit(_FEED)),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagesift.functions.urls import normalize_url
 from pagesift.operators.sections import PARSED, parse_pages
 
+BUCKET_CHARS = 1 << 26
+
 
 def pages_for_urls(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """``(url_no, url, page_id)``: one row per listed URL, repeats included.
@@ -31,9 +33,13 @@ def store_pages(pages: DataFrame, table: str, buckets: int, path: str | None = N
 
     Pages are parsed once, however many reports read them, and wherever this table
     stands for ``pages``, lookups by id and all windows over a page's pieces run where its
-    bucket lies: sections are extracted without a shuffle. ``path`` is a folder that all
-    executors share; without one the table is kept by the catalog.
+    bucket lies: sections are extracted without a shuffle. One task reads a bucket, so
+    there are more than ``buckets`` where one would get more than ``BUCKET_CHARS`` of html.
+    ``path`` is a folder that all executors share; without one the table is kept by the catalog.
     """
+    if "html" in pages.columns:
+        chars = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+        buckets = max(buckets, -(-chars // BUCKET_CHARS))
     rows = parse_pages(pages).select(*PARSED).repartition(buckets, "page_id")
     writer = rows.write.bucketBy(buckets, "page_id").sortBy("page_id")
     (writer.option("path", path) if path else writer).saveAsTable(table)

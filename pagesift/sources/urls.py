@@ -33,8 +33,8 @@ def read_url_csv(
     of files of any size; see ``csv_records``.
     """
     if multiline:
-        scan, place = read_csv_records(spark, path)
-        table = stage(scan, "url-csv")
+        scan, place = read_csv_records(spark, path)  # of files that were written for it
+        table = scan
     else:
         options = {"header": True, "inferSchema": True, "quote": '"', "escape": '"'}
         scan, place = spark.read.options(**options).csv(path), ("_file", "_block", "_row")

@@ -69,3 +69,15 @@ def test_records_of_many_lines_and_open_ends(spark, tmp_path, small_blocks):
     assert got == [("a.csv", 1, "url,b"), ("a.csv", 2, '"' + "x\n" * 400 + 'y",1'),
                    ("a.csv", 3, 'q,"never\nclosed\n\nz,3'), ("b.csv", 1, "url,b")]
     assert read_url_csv(spark, str(tmp_path / "b.csv"), multiline=True).count() == 0
+
+
+def test_lines_move_once_before_records_are_joined(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as f:
+        f.write('a,b\n' + "".join(f'{i},"x\ny {i}"\n{i},z\n' for i in range(50)))
+    records = csv_records(spark, path)
+    assert records.count() == 101
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]
+    assert "Window" not in plan and "SortMergeJoin" not in plan  # texts are in no window
+    assert len(wide) <= 5

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import filters as FL
 from pagesift.operators import reports as R
+from pagesift.sources import outputs as O
 from pagesift.sources.outputs import write_parquet, write_report
 
 
@@ -72,3 +73,14 @@ def test_table_and_report_from_one_pass(spark):
     summary = R.report_summary(report).first()
     assert tuple(summary) == tuple(R.filter_summary(rows, again).first())
     assert tuple(R.report_summary(report.where("false")).first())[:3] == (0, 0, 0)
+
+
+def test_parts_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """A file whose cells may hold line feeds is read by one task."""
+    monkeypatch.setattr(O, "FILE_ROWS", 10)
+    df = spark.createDataFrame([(i, "a\nb") for i in range(95)], "i int, t string").coalesce(1)
+    path = str(tmp_path / "csv")
+    O.write_csv(df, path, sort_by="i")
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) >= 10
+    back = O.read_csv(spark, path, "i int, t string")
+    assert sorted(map(tuple, back.collect())) == [(i, "a\nb") for i in range(95)]

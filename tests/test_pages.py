@@ -5,6 +5,7 @@ import pytest
 from checks.fixtures import layout_pages
 from pagesift.operators.sections import container_sections, extract_sections, page_headings
 from pagesift.plans.site_report import listed_sections
+from pagesift.sources import pages as P
 from pagesift.sources.pages import store_pages, stored_pages
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,3 +44,13 @@ def test_listed_pages(spark, both):
     )
     assert rows(listed_sections(urls, stored)) == rows(listed_sections(urls, pages))
     assert stored_pages(spark, "stored_for_the_tests").columns == stored.columns
+
+
+def test_more_buckets_for_more_html(spark, tmp_path, monkeypatch):
+    """One task reads a bucket, so its size does not grow with the table."""
+    monkeypatch.setattr(P, "BUCKET_CHARS", 1000)
+    pages = spark.createDataFrame([(i, f"u{i}", "<h1>a</h1>" + "b " * 400) for i in range(20)], "page_id long, url string, html string")
+    store_pages(pages, "many_buckets", 4, str(tmp_path / "t"))
+    n = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED many_buckets").collect()}["Num Buckets"]
+    spark.sql("DROP TABLE many_buckets")
+    assert int(n) == 17
